@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskspark.functions.risk import finite_or_null
 
@@ -26,7 +25,7 @@ def percent(value: Column) -> Column:
 
 
 def risk_text(value: Column) -> Column:
-    text = F.format_string("%.0f / 100", finite_or_null(value))
+    text = F.format_string("%.0f / 100", F.bround(finite_or_null(value), 0))
     return F.when(finite_or_null(value).isNull(), "0 / 100").otherwise(text)
 
 
@@ -54,7 +53,3 @@ def artifact_path(value: Column, fallback: Column | None = None) -> Column:
 
 def compact_json(*columns: Column | str) -> Column:
     return F.to_json(F.struct(*columns))
-
-
-def parse_json(value: Column, schema: T.StructType) -> Column:
-    return F.from_json(value, schema)

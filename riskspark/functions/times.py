@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskspark.functions.risk import column_or_null, finite, finite_or_null
+from riskspark.functions.risk import finite, finite_or_null
 
 EVENT_TIMES = ["event_time_utc", "transaction_time_utc"]
 STORE_TIMES = ["processing_timestamp", "scored_at_utc", "stored_at_utc"]
@@ -63,7 +63,7 @@ def time_column(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, T.TimestampType):
         return F.col(name)
     if isinstance(dtype, T.TimestampNTZType):
-        return F.to_utc_timestamp(F.col(name).cast("timestamp"), F.current_timezone())
+        return F.from_utc_timestamp(F.col(name).cast("timestamp"), F.current_timezone())
     return parse_timestamp(F.col(name).cast("string"))
 
 
@@ -120,7 +120,3 @@ def display_time(df: DataFrame, name: str) -> Column:
 
 def format_time_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.withColumns({name: display_time(df, name) for name in names if name in df.columns})
-
-
-def event_time_or_null(df: DataFrame) -> Column:
-    return column_or_null(df, "event_time_utc", "timestamp")
