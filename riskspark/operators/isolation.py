@@ -8,8 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,12 +68,12 @@ class IsolationModel:
     of the training table, so it can be sent to every executor."""
 
     features: list[str]
-    scaler: StandardScalerModel
+    scaling: list[tuple[float, float]]
     nodes: pd.DataFrame
     rows_per_tree: int
 
     def raw_score(self, spark: SparkSession) -> Column:
-        """Anomaly score of the ``scaled`` vector, higher for rows isolated sooner."""
+        """Anomaly score of a row, higher for rows isolated sooner."""
         forest = [
             {name: tree[name].to_numpy() for name in ("feature", "threshold", "left", "right", "depth")}
             for _, tree in self.nodes.sort_values(["tree", "node"]).groupby("tree")
@@ -100,21 +99,44 @@ class IsolationModel:
                 total += tree["depth"][at]
             return pd.Series(2.0 ** (-(total / len(shared.value)) / typical))
 
-        return score(vector_to_array("scaled"))
+        return score(scaled_array(self.features, self.scaling))
 
     def transform(self, df: DataFrame, output: str = "raw_score") -> DataFrame:
-        scaled = self.scaler.transform(assemble(df, self.features))
-        return scaled.withColumn(output, self.raw_score(df.sparkSession)).drop("features", "scaled")
+        return df.withColumn(output, self.raw_score(df.sparkSession))
+
+    def scaler_table(self, spark: SparkSession) -> DataFrame:
+        rows = [(f, mean, std) for f, (mean, std) in zip(self.features, self.scaling, strict=True)]
+        return spark.createDataFrame(rows, "feature string, mean double, std double")
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(df)
 
 
-def fit_scaler(df: DataFrame, features: Sequence[str]) -> StandardScalerModel:
-    """Standardisation with mean and deviation, from one distributed pass."""
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-    return scaler.fit(assemble(df, features))
+def fit_scaling(df: DataFrame, features: Sequence[str]) -> list[tuple[float, float]]:
+    """Mean and population deviation per feature, from one pass; a constant feature gets 1."""
+    row = df.agg(
+        *[F.avg(name).alias(f"mean_{name}") for name in features],
+        *[F.stddev_pop(name).alias(f"std_{name}") for name in features],
+    ).first()
+    return [(row[f"mean_{name}"] or 0.0, row[f"std_{name}"] or 1.0) for name in features]
+
+
+def scaled_columns(features: Sequence[str], scaling: Sequence[tuple[float, float]]) -> list[Column]:
+    return [
+        ((F.col(name) - F.lit(mean)) / F.lit(std)).alias(name)
+        for name, (mean, std) in zip(features, scaling, strict=True)
+    ]
+
+
+def scaled_array(features: Sequence[str], scaling: Sequence[tuple[float, float]]) -> Column:
+    return F.array(*scaled_columns(features, scaling))
+
+
+def standardize(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Features shifted to mean 0 and scaled to deviation 1; other columns are kept."""
+    columns = dict(zip(features, scaled_columns(features, fit_scaling(df, features)), strict=True))
+    return df.withColumns(columns)
 
 
 def fit_isolation_forest(
@@ -131,7 +153,7 @@ def fit_isolation_forest(
     and does not grow with the table.
     """
     features = list(features)
-    scaler = fit_scaler(negatives, features)
+    scaling = fit_scaling(negatives, features)
     rows = negatives.count()
     size = min(TREE_ROWS, rows)
     hashed = negatives.withColumn("_row", row_hash(negatives, seed, key))
@@ -139,7 +161,7 @@ def fit_isolation_forest(
     if rows > wanted:
         unit = F.shiftrightunsigned(F.xxhash64("_row", F.lit("pool")), 11) / F.lit(float(2**53))
         hashed = hashed.filter(unit < wanted / rows)
-    scaled = scaler.transform(assemble(hashed, features)).select("_row", vector_to_array("scaled").alias("x"))
+    scaled = hashed.select("_row", scaled_array(features, scaling).alias("x"))
     # A row competes for a tree only with a low hash; twice the needed rows per tree come through.
     share = min(1.0, 2.0 * TREE_ROWS / max(min(rows, wanted), 1) + 0.02)
 
@@ -162,7 +184,7 @@ def fit_isolation_forest(
         return table
 
     nodes = entries.select("tree", "place", "x").groupBy("tree").applyInPandas(fit, NODE_SCHEMA).toPandas()
-    return IsolationModel(features, scaler, nodes, size)
+    return IsolationModel(features, scaling, nodes, size)
 
 
 def min_max_scaled(df: DataFrame, raw: str = "raw_score", output: str = "score") -> DataFrame:

@@ -33,14 +33,10 @@ def _report_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def hourly_profile(df: DataFrame) -> DataFrame:
-    """Alerts per hour of day, all 24 hours present. Flagged counts REVIEW and FLAGGED together.
-
-    The aggregate shrinks the alerts to 24 rows before anything is joined; the total is a window
-    over those rows. No rows at all give an empty report.
-    """
+def hourly_counts(df: DataFrame) -> DataFrame:
+    """Figures per hour that has alerts. 24 keys at most, so it also serves as a streaming aggregate."""
     hour = F.least(F.greatest(F.coalesce("hour_of_day", F.lit(0)), F.lit(0)), F.lit(23))
-    grouped = (
+    return (
         _report_rows(df)
         .groupBy(hour.cast("int").alias("hour_of_day"))
         .agg(
@@ -54,7 +50,15 @@ def hourly_profile(df: DataFrame) -> DataFrame:
             F.count_if(_is(S.REVIEW, S.FLAGGED)).alias("flagged_count"),
         )
     )
-    return fill_hours(grouped)
+
+
+def hourly_profile(df: DataFrame) -> DataFrame:
+    """Alerts per hour of day, all 24 hours present. Flagged counts REVIEW and FLAGGED together.
+
+    The aggregate shrinks the alerts to 24 rows before anything is joined; the total is a window
+    over those rows. No rows at all give an empty report.
+    """
+    return fill_hours(hourly_counts(df))
 
 
 def fill_hours(grouped: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from riskspark import schema as S
 from riskspark.operators.alerts import above_cutoff, assemble_alerts
 from riskspark.operators.features import split_complete
-from riskspark.operators.reports import fill_hours
+from riskspark.operators.reports import fill_hours, hourly_counts
 from riskspark.sources.alerts import storable
 from riskspark.sources.transactions import read_or_none
 
@@ -107,21 +107,6 @@ def read_stream_alerts(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], S.ALERT_SCHEMA) if rows is None else rows
 
 
-def hourly_counts(alerts: DataFrame) -> DataFrame:
-    """Per-hour figures of a normalised alert stream; 24 keys, so the state stays small."""
-    blocked = F.col("decision") == S.BLOCKED
-    return alerts.groupBy("hour_of_day").agg(
-        F.count("*").alias("fraud_alerts"),
-        F.avg("fraud_probability").alias("avg_probability"),
-        F.max("fraud_probability").alias("max_probability"),
-        F.avg("risk_score").alias("avg_risk_score"),
-        F.max("risk_score").alias("max_risk_score"),
-        F.sum("Amount").alias("total_amount"),
-        F.count_if(blocked).alias("blocked_count"),
-        F.count_if(F.col("decision").isin(S.REVIEW, S.FLAGGED)).alias("flagged_count"),
-    )
-
-
 def _start_view(
     counts: DataFrame, finish: Scorer, path: str, checkpoint: str, trigger: str | None
 ) -> StreamingQuery:
