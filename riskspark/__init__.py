@@ -1 +1,8 @@
 """Transaction-risk analytics written as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
+# Functions that run in Python workers travel with the job, so executors need no installed copy.
+register_pickle_by_value(sys.modules[__name__])

@@ -15,9 +15,9 @@ INFINITY = float("inf")
 
 
 def finite_or_null(value: Column) -> Column:
-    """Number, or null for unreadable text, NaN and infinities."""
+    """Number, or null for unreadable text, NaN and infinities (NaN is not below infinity)."""
     number = value.try_cast("double")
-    return F.when(~F.isnan(number) & (F.abs(number) < INFINITY), number)
+    return F.when(F.abs(number) < INFINITY, number)
 
 
 def finite(value: Column, default: float = 0.0) -> Column:
@@ -58,26 +58,31 @@ def block_threshold(model_threshold: Column | float) -> Column:
     return normalize_threshold(as_column(model_threshold), S.FLAG_THRESHOLD)
 
 
+def band_of(probability: Column, block_at: Column | float, save_at: Column | float) -> Column:
+    """Decision band of a probability and thresholds that are already clean."""
+    return (
+        F.when(probability >= block_at, S.BLOCKED)
+        .when(probability >= S.FLAG_THRESHOLD, S.FLAGGED)
+        .when(probability >= save_at, S.REVIEW)
+        .otherwise(S.APPROVED)
+    )
+
+
 def decision_band(
     probability: Column,
     model_threshold: Column | float = S.MODEL_THRESHOLD,
     save_threshold: Column | float = S.SAVE_THRESHOLD,
 ) -> Column:
-    p = clip_probability(probability)
-    return (
-        F.when(p >= block_threshold(model_threshold), S.BLOCKED)
-        .when(p >= S.FLAG_THRESHOLD, S.FLAGGED)
-        .when(p >= clip_probability(as_column(save_threshold)), S.REVIEW)
-        .otherwise(S.APPROVED)
+    return band_of(
+        clip_probability(probability),
+        block_threshold(model_threshold),
+        clip_probability(as_column(save_threshold)),
     )
 
 
 def action_for(decision: Column) -> Column:
     """Recommended action of a decision band."""
-    text = F.lit(S.ACTIONS[S.APPROVED])
-    for band in (S.REVIEW, S.FLAGGED, S.BLOCKED):
-        text = F.when(decision == band, S.ACTIONS[band]).otherwise(text)
-    return text
+    return F.element_at(F.create_map(*[F.lit(x) for pair in S.ACTIONS.items() for x in pair]), decision)
 
 
 def classify(

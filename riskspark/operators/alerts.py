@@ -27,29 +27,40 @@ def normalize_alerts(
     def field(name: str, dtype: str) -> Column:
         return risk.column_or_null(df, name, dtype)
 
-    probability = risk.clip_probability(field("fraud_probability", "double"))
     threshold = risk.normalize_threshold(
         F.coalesce(field("threshold", "double"), F.lit(float(default_threshold))), S.FLAG_THRESHOLD
     )
-    computed = risk.decision_band(probability, threshold, save_threshold)
-    given = F.upper(field("decision", "string"))
-    decision = computed if recompute_decision else F.when(given.isin(S.DECISIONS), given).otherwise(computed)
     given_id = field("transaction_id", "string").cast("string")
     given_action = field("recommended_action", "string")
-    columns = {
+    # First the fields that are cleaned on their own, then those derived from the clean ones: an
+    # expensive input is then evaluated once, not once for each place that uses it.
+    clean = {
         "transaction_id": F.coalesce(F.when(given_id != "", given_id), F.uuid()),
-        "fraud_probability": probability,
-        "risk_score": risk.risk_score(probability),
+        "fraud_probability": risk.clip_probability(field("fraud_probability", "double")),
         "threshold": threshold,
-        "block_threshold": risk.block_threshold(threshold),
-        "decision": decision,
-        "recommended_action": F.coalesce(F.when(given_action != "", given_action), risk.action_for(computed)),
+        "Amount": risk.normalize_amount(risk.amount_column(df)),
         "hour_of_day": F.coalesce(times.document_hour(df), F.lit(0)),
+        "_given": F.upper(field("decision", "string")),
+        "recommended_action": F.when(given_action != "", given_action),
     }
-    columns |= {name: times.time_column(df, name) for name in S.ALERT_TIMES if name in df.columns}
-    amount = risk.normalize_amount(risk.amount_column(df))
-    kept = [name for name in df.columns if name.lower() != "amount" and name not in columns]
-    return df.select(*kept, amount.alias("Amount"), *[c.alias(name) for name, c in columns.items()])
+    clean |= {name: times.time_column(df, name) for name in S.ALERT_TIMES if name in df.columns}
+    derived = ["risk_score", "block_threshold", "decision"]
+    kept = [n for n in df.columns if n.lower() != "amount" and n not in clean and n not in derived]
+    rows = df.select(*kept, *[c.alias(name) for name, c in clean.items()])
+
+    p = F.col("fraud_probability")
+    computed = risk.band_of(p, F.col("threshold"), min(max(float(save_threshold), 0.0), 1.0))
+    given = F.when(F.col("_given").isin(S.DECISIONS), F.col("_given"))
+    decision = computed if recompute_decision else F.coalesce(given, computed)
+    action = F.coalesce(F.col("recommended_action"), risk.action_for(computed))
+    return rows.select(
+        *kept,
+        *[name for name in clean if name not in ("_given", "recommended_action")],
+        F.round(p * 100.0, 2).alias("risk_score"),
+        F.col("threshold").alias("block_threshold"),
+        decision.alias("decision"),
+        action.alias("recommended_action"),
+    )
 
 
 def conform(df: DataFrame) -> DataFrame:

@@ -27,8 +27,13 @@ def threshold_grid(spark: SparkSession) -> DataFrame:
     return segments.distinct().orderBy("threshold")
 
 
-def grid_values(spark: SparkSession) -> list[float]:
-    return [row["threshold"] for row in threshold_grid(spark).collect()]
+def grid_values() -> list[float]:
+    """The same thresholds as numbers."""
+    values = set()
+    for first, last, points in GRID_SEGMENTS:
+        step = (last - first) / (points - 1)
+        values |= {first + i * step for i in range(points - 1)} | {last}
+    return sorted(values)
 
 
 def rates(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
@@ -60,7 +65,7 @@ def threshold_sweep(
     threshold are then sums over one row per interval. Rows are never multiplied by thresholds.
     """
     spark = scored.sparkSession
-    grid = sorted(set(grid_values(spark) if thresholds is None else map(float, thresholds)))
+    grid = sorted(set(grid_values() if thresholds is None else map(float, thresholds)))
     placed = ranks.with_range(scored.select("label", "score"), F.col("score"), grid)
     per_interval = placed.groupBy(ranks.RANGE).agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")

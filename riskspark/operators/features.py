@@ -159,9 +159,9 @@ def dataset_statistics(df: DataFrame, approximate_median: bool = False) -> DataF
     mean = F.sum("total") / F.sum("amounts")
     square = F.sum(F.col("amounts") * (F.col("variance") + F.col("mean") * F.col("mean"))) / F.sum("amounts")
     if approximate_median:
-        median = df.agg(F.percentile_approx(amount, 0.5).alias("value"))
+        median = df.agg(F.percentile_approx(amount, 0.5).alias("value")).select("value").scalar()
     else:
-        median = exact_quantiles(df, "Amount", {"value": 0.5})
+        median = F.lit(exact_quantiles(df, "Amount", [0.5]).get(0, [0.0])[0])
 
     def or_zero(value: Column) -> Column:
         return F.coalesce(value, F.lit(0.0))
@@ -182,7 +182,7 @@ def dataset_statistics(df: DataFrame, approximate_median: bool = False) -> DataF
                 "generated_at_utc": F.current_timestamp(),
                 "fraud_rate": F.coalesce(F.try_divide("fraud_count", "row_count"), F.lit(0.0)),
                 "amount_avg": F.col("amount_mean"),
-                "amount_median": or_zero(median.select("value").scalar()),
+                "amount_median": or_zero(median),
                 "feature_columns": F.array(*[F.lit(name) for name in S.FEATURES]),
             }
         )

@@ -91,36 +91,37 @@ def score_transactions(
         if explain
         else F.lit([]).cast(S.DRIVERS_TYPE)
     )
-    verdict = risk.classify(p, threshold, save_threshold)
-    return (
-        scored.withColumns(
-            {
-                "risk_score": risk.risk_score(p),
-                "threshold": F.lit(threshold),
-                "top_shap_features": drivers,
-                "_verdict": verdict,
-            }
-        )
-        .withColumns({f: F.col(f"_verdict.{f}") for f in ("decision", "block_threshold", "recommended_action")})
-        .drop("_verdict", *engineered)
-    )
+    block_at = max(threshold, S.FLAG_THRESHOLD)
+    decision = risk.band_of(p, block_at, min(max(float(save_threshold), 0.0), 1.0))
+    return scored.withColumns(
+        {
+            "risk_score": F.round(p * 100.0, 2),
+            "threshold": F.lit(threshold),
+            "block_threshold": F.lit(block_at),
+            "decision": decision,
+            "recommended_action": risk.action_for(decision),
+            "top_shap_features": drivers,
+        }
+    ).drop(*engineered)
 
 
 def driver_array(contributions: Column, features: Sequence[str]) -> Column:
     """Top five drivers from an array of contributions in feature order; an empty array without one."""
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("feature"),
-                F.col(name).cast("double").alias("feature_value"),
-                F.col(name).cast("double").alias("value"),
-                contributions[i].alias("shap_value"),
-                F.when(contributions[i] >= 0, "risk_increasing").otherwise("risk_decreasing").alias("direction"),
-            )
-            for i, name in enumerate(features)
-        ]
+    observed = F.array(
+        *[F.struct(F.lit(name).alias("feature"), F.col(name).cast("double").alias("value")) for name in features]
     )
-    return F.when(contributions.isNotNull(), top_drivers(rows)).otherwise(F.lit([]).cast(S.DRIVERS_TYPE))
+
+    def driver(feature: Column, contribution: Column) -> Column:
+        return F.struct(
+            feature["feature"].alias("feature"),
+            feature["value"].alias("feature_value"),
+            feature["value"].alias("value"),
+            contribution.alias("shap_value"),
+            F.when(contribution >= 0, "risk_increasing").otherwise("risk_decreasing").alias("direction"),
+        )
+
+    drivers = top_drivers(F.zip_with(observed, contributions, driver))
+    return F.coalesce(drivers, F.lit([]).cast(S.DRIVERS_TYPE))
 
 
 def linear_drivers(

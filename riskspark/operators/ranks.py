@@ -11,7 +11,8 @@ The range ends only steer balance, never the result.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -115,82 +116,90 @@ def expand_copies(df: DataFrame, copies: str, position: str) -> DataFrame:
     return few.unionByName(many)
 
 
+@dataclass(frozen=True)
+class Found:
+    """The value at a 0-based rank of a group, the rows below it and the rows equal to it."""
+
+    group: object
+    rank: int
+    value: float
+    below: int
+    equal: int
+
+
+Ranks = Mapping[object, Sequence[int]] | Callable[[int], Sequence[int]]
+
+
 def order_statistics(
     df: DataFrame,
     value: str,
-    ranks: DataFrame,
-    by: Sequence[str] = (),
+    ranks: Ranks,
+    by: str | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
-) -> DataFrame:
-    """Values at given 0-based ranks of each group.
+) -> list[Found]:
+    """Values at given ranks of each group, exact, for a small number of groups.
 
-    ``ranks`` has the ``by`` columns and a ``rank`` column; its size is the number of ranks asked
-    for. The result adds ``value``, ``below`` (rows with a smaller value) and ``equal`` (rows with
-    the same value). Only the ranges that hold an asked rank are looked at value by value. Null
-    values are not counted.
+    ``ranks`` maps a group to its ranks, or gives the ranks for a group size; without ``by`` the one
+    group is 0. The data is passed twice: rows are counted per group and key range, then only the
+    ranges that hold an asked rank are counted value by value. What comes to the driver is one row
+    per group and range, then one per asked rank. Null values and null groups are not counted.
     """
-    by = list(by)
-    rows = df.select(*by, F.col(value).alias("value")).filter(F.col("value").isNotNull())
+    group = F.col(by) if by else F.lit(0)
+    rows = df.select(group.alias("g"), F.col(value).alias("value"))
+    rows = rows.filter(F.col("g").isNotNull() & F.col("value").isNotNull())
     ends = range_ends(rows, F.col("value"), rows_per_range)
     ranged = with_range(rows, F.col("value"), ends)
-    per_range = ranged.groupBy(*by, RANGE).agg(F.count("*").alias("n"))
-    earlier = (
-        Window.partitionBy(*by).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-        if by
-        else Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    spans = per_range.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    asked = F.broadcast(ranks.select(*by, "rank"))
-    inside = (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n"))
-    # One row per asked rank: which range holds it, and how many rows lie before that range.
-    targets = _match(spans, asked, by).filter(inside).select(*by, RANGE, "start", "rank")
-    needed = targets.select(*by, RANGE, "start").distinct()
+    targets = []
+    sizes: dict[object, list[tuple[int, int]]] = {}
+    for row in ranged.groupBy("g", RANGE).agg(F.count("*").alias("n")).collect():
+        sizes.setdefault(row["g"], []).append((row[RANGE], row["n"]))
+    for g, parts in sizes.items():
+        asked = ranks(sum(n for _, n in parts)) if callable(ranks) else ranks.get(g, ())
+        start = 0
+        for number, n in sorted(parts):
+            targets += [(g, number, start, int(r)) for r in set(asked) if start <= r < start + n]
+            start += n
+    if not targets:
+        return []
+    kind = rows.schema["g"].dataType.simpleString()
+    wanted = df.sparkSession.createDataFrame(targets, f"g {kind}, {RANGE} int, start bigint, rank bigint")
     if ends:
-        ranged = ranged.join(F.broadcast(needed.select(*by, RANGE)), [*by, RANGE], "left_semi")
-    values = ranged.groupBy(*by, RANGE, "value").agg(F.count("*").alias("equal"))
-    up_to = Window.partitionBy(*by, RANGE).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    values = values.withColumn("inside", F.coalesce(F.sum("equal").over(up_to), F.lit(0)))
-    found = values.join(F.broadcast(targets), [*by, RANGE]).withColumn(
-        "below", F.col("start") + F.col("inside")
-    )
-    hit = (F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("equal"))
-    return found.filter(hit).select(*by, "rank", "value", "below", "equal")
-
-
-def _match(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    if by:
-        return left.join(right, by)
-    # Without groups both sides are small tables (ranges, asked ranks): join on a constant key.
-    one = F.lit(1)
-    return left.withColumn("_one", one).join(right.withColumn("_one", one), "_one").drop("_one")
+        ranged = ranged.join(F.broadcast(wanted.select("g", RANGE).distinct()), ["g", RANGE], "left_semi")
+    earlier = Window.partitionBy("g", RANGE).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    counted = ranged.groupBy("g", RANGE, "value").agg(F.count("*").alias("equal"))
+    counted = counted.withColumn("inside", F.coalesce(F.sum("equal").over(earlier), F.lit(0)))
+    below = F.col("start") + F.col("inside")
+    hit = (F.col("rank") >= below) & (F.col("rank") < below + F.col("equal"))
+    found = counted.join(F.broadcast(wanted), ["g", RANGE]).filter(hit)
+    found = found.select("g", "rank", "value", below.alias("below"), "equal")
+    return [Found(*row) for row in found.collect()]
 
 
 def exact_quantiles(
     df: DataFrame,
     value: str,
-    shares: Mapping[str, float],
-    by: Sequence[str] = (),
+    shares: Sequence[float],
+    by: str | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
-) -> DataFrame:
-    """Exact quantiles with linear interpolation, one column per entry of ``shares``.
+) -> dict[object, list[float]]:
+    """Exact quantiles of each group, with linear interpolation between neighbours.
 
     Meant for a small number of groups; per-merchant medians use counted scores instead.
     """
-    by = list(by)
-    sizes = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"))
-    points = F.explode(
-        F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(v)).alias("share")) for k, v in shares.items()])
-    )
-    position = F.col("share") * (F.col("n") - 1)
-    asked = sizes.filter("n > 0").withColumn("point", points).select(*by, "point.*", "n")
-    asked = asked.withColumns({"low": F.floor(position), "weight": position - F.floor(position)})
-    asked = asked.withColumn("high", F.least(F.col("low") + 1, F.col("n") - 1))
-    ranks = asked.select(*by, F.explode(F.array("low", "high")).alias("rank")).distinct()
-    found = order_statistics(df, value, ranks, by, rows_per_range).select(*by, "rank", "value")
-    low = found.withColumnsRenamed({"rank": "low", "value": "low_value"})
-    high = found.withColumnsRenamed({"rank": "high", "value": "high_value"})
-    both = asked.join(F.broadcast(low), [*by, "low"]).join(F.broadcast(high), [*by, "high"])
-    result = F.col("low_value") + (F.col("high_value") - F.col("low_value")) * F.col("weight")
-    return both.groupBy(*by).agg(
-        *[F.max(F.when(F.col("name") == name, result)).alias(name) for name in shares]
-    )
+
+    def around(n: int) -> list[int]:
+        places = [math.floor(share * (n - 1)) for share in shares]
+        # The last rank comes along: it tells the size of the group.
+        return [*places, *[min(place + 1, n - 1) for place in places], n - 1]
+
+    at: dict[object, dict[int, float]] = {}
+    for found in order_statistics(df, value, around, by, rows_per_range):
+        at.setdefault(found.group, {})[found.rank] = found.value
+    return {g: [_interpolated(ranked, share) for share in shares] for g, ranked in at.items()}
+
+
+def _interpolated(ranked: Mapping[int, float], share: float) -> float:
+    last = max(ranked)
+    place = math.floor(share * last)
+    low, high = ranked[place], ranked[min(place + 1, last)]
+    return low + (high - low) * (share * last - place)

@@ -127,7 +127,7 @@ def merchant_summary(df: DataFrame) -> DataFrame:
         (F.sum("probability") / F.sum("n")).alias("avg_probability"),
         F.max("max_probability").alias("max_probability"),
         (F.sum(F.col("risk_score") * F.col("n")) / F.sum("n")).alias("avg_risk_score"),
-        F.percentile("risk_score", 0.5, "n").alias("median_risk_score"),
+        F.percentile("risk_score", 0.5, F.col("n")).alias("median_risk_score"),
         F.max("risk_score").alias("max_risk_score"),
         F.sum("amount").alias("total_amount"),
         F.max("last_time").alias("last_alert_time"),

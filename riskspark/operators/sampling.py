@@ -39,18 +39,15 @@ def take_lowest(df: DataFrame, takes: Mapping[object, int], stratum: str, hash_c
     wanted = {s: n for s, n in takes.items() if n > 0}
     if not wanted:
         return df.withColumn("_taken", F.lit(False))
-    spark = df.sparkSession
-    kind = df.schema[stratum].dataType.simpleString()
-    asked = spark.createDataFrame([(s, n - 1) for s, n in wanted.items()], f"`{stratum}` {kind}, rank bigint")
-    cuts = ranks.order_statistics(df, hash_column, asked, [stratum]).collect()
+    asked = {s: [n - 1] for s, n in wanted.items()}
+    cuts = ranks.order_statistics(df, hash_column, asked, stratum)
     taken, torn = F.lit(False), {}
     for cut in cuts:
-        own = F.col(stratum) == cut[stratum]
-        need = wanted[cut[stratum]] - cut["below"]
-        if need < cut["equal"]:
-            torn[cut[stratum]] = (cut["value"], need)
-        top = F.col(hash_column) < cut["value"] if need < cut["equal"] else F.col(hash_column) <= cut["value"]
-        taken = taken | (own & top)
+        need = wanted[cut.group] - cut.below
+        if need < cut.equal:
+            torn[cut.group] = (cut.value, need)
+        top = F.col(hash_column) < cut.value if need < cut.equal else F.col(hash_column) <= cut.value
+        taken = taken | ((F.col(stratum) == cut.group) & top)
     marked = df.withColumn("_taken", taken)
     if not torn:
         return marked
@@ -137,36 +134,30 @@ def amount_pools(candidates: DataFrame, group: str = "band", amount: str = "_amo
 
     Amounts above 1.0 form the pools when a group has at least three of them, else all amounts do;
     a group with under three rows or a single amount has one pool. Rows outside the pools are null.
+    The groups' facts and cuts are a few numbers, so the pools are a plain expression over them.
     """
     large = F.col(amount) > TINY_AMOUNT
-    per_group = candidates.groupBy(group).agg(
+    facts = candidates.groupBy(group).agg(
         F.count("*").alias("n"),
         F.count_if(large).alias("n_large"),
         F.min(amount).alias("low"),
         F.max(amount).alias("high"),
         F.min(F.when(large, F.col(amount))).alias("low_large"),
     )
-    only_large = F.col("n_large") >= 3
-    facts = per_group.select(
-        group,
-        only_large.alias("_only_large"),
-        (
-            F.when(only_large, F.col("low_large") == F.col("high")).otherwise(
-                (F.col("n") < 3) | (F.col("low") == F.col("high"))
-            )
-        ).alias("_single"),
-    )
-    rows = candidates.join(F.broadcast(facts), group)
-    in_pools = ~F.col("_only_large") | large
-    cuts = ranks.exact_quantiles(
-        rows.filter(in_pools), amount, {"_low_cut": 0.33, "_high_cut": 0.66}, [group]
-    )
-    rows = rows.join(F.broadcast(cuts), group, "left")
-    tercile = (
-        F.when(F.col(amount) <= F.col("_low_cut"), 0).when(F.col(amount) <= F.col("_high_cut"), 1).otherwise(2)
-    )
-    pool = F.when(in_pools, F.when(F.col("_single"), 0).otherwise(tercile))
-    return rows.withColumn("pool", pool).drop("_only_large", "_single", "_low_cut", "_high_cut")
+    sources, lone = F.lit(False), []
+    for fact in facts.limit(MAX_STRATA).collect():
+        only_large = fact["n_large"] >= 3
+        rows = fact["n_large"] if only_large else fact["n"]
+        if rows < 3 or (fact["low_large"] if only_large else fact["low"]) == fact["high"]:
+            lone.append(fact[group])
+        own = F.col(group) == fact[group]
+        sources = sources | (own & large if only_large else own)
+    several = candidates.filter(sources & ~F.col(group).isin(lone))
+    pool = F.when(F.col(group).isin(lone), 0)
+    for name, (low, high) in ranks.exact_quantiles(several, amount, [0.33, 0.66], group).items():
+        third = F.when(F.col(amount) <= low, 0).when(F.col(amount) <= high, 1).otherwise(2)
+        pool = pool.when(F.col(group) == name, third)
+    return candidates.withColumn("pool", F.when(sources, pool))
 
 
 def band_quotas(max_alerts: int) -> list[int]:
@@ -195,18 +186,19 @@ def banded_sample(
     """
     if max_alerts <= 0:
         return df.withColumn("position", F.lit(0)).limit(0)
-    p = risk.clip_probability(F.col(probability))
-    band = risk.decision_band(p, model_threshold, save_threshold)
-    saved = p >= min(max(save_threshold, 0.0), 1.0)
+    save_at = min(max(save_threshold, 0.0), 1.0)
+    block_at = max(min(max(model_threshold, 0.0), 1.0), S.FLAG_THRESHOLD)
     rows = df.withColumns(
         {
             HASH: row_hash(df, seed, key),
-            "_p": p,
+            "_p": risk.clip_probability(F.col(probability)),
             "_amount": risk.finite(F.col(amount)) if amount else F.lit(0.0),
-            "_saved": saved,
-            "band": F.array_position(F.array(*[F.lit(d) for d in S.DECISIONS[1:]]), band).cast("int"),
         }
-    ).filter(F.col("band") > 0)
+    )
+    p = F.col("_p")
+    band = F.when(p >= block_at, 3).when(p >= S.FLAG_THRESHOLD, 2).otherwise(1)
+    rows = rows.filter(p >= min(save_at, S.FLAG_THRESHOLD))
+    rows = rows.withColumns({"_saved": p >= save_at, "band": band})
     rows = amount_pools(rows) if amount else rows.withColumn("pool", F.lit(None).cast("int"))
     rows = rows.withColumn("_large", F.col("_amount") > TINY_AMOUNT)
     survivors = lowest_per_group(rows, ["band", "pool", "_large"], HASH, max_alerts)
@@ -217,7 +209,8 @@ def banded_sample(
         return _fill_quotas(pdf, quotas, max_alerts, with_amounts)
 
     schema = survivors.withColumn("position", F.lit(0)).schema
-    chosen = survivors.groupBy(F.lit(0)).applyInPandas(choose, schema)
+    together = F.col("band") * 0
+    chosen = survivors.groupBy(together.alias("_all")).applyInPandas(choose, schema)
     return chosen.select(*df.columns, "position").orderBy("position")
 
 

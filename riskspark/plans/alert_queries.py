@@ -13,6 +13,7 @@ from riskspark.operators import alerts as A
 from riskspark.operators import models, reports
 from riskspark.plans import views
 from riskspark.plans.registry import comparable, query
+from riskspark.session import shared_folder
 from riskspark.sources.alerts import refresh_seed_alerts, storable
 from riskspark.sources.transactions import enrich_events
 
@@ -564,10 +565,14 @@ ranked AS (
 
 
 def _with_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts with their drivers, stored first: breakdowns read the alert table."""
     features = [f"V{i}" for i in range(1, 29)]
     drivers = models.linear_drivers(_WEIGHTS, [0.01] * 28, features)
     rows = views.card_rows(spark, sf_dir)
-    return rows.select(F.col("vec_id").cast("string").alias("transaction_id"), drivers.alias("top_shap_features"))
+    rows = rows.select(F.col("vec_id").cast("string").alias("transaction_id"), drivers.alias("top_shap_features"))
+    path = shared_folder(spark, "drivers")
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @query(

@@ -135,7 +135,7 @@ def tune(
     table = artifacts.read_threshold_metrics(spark, f"{out_path}/threshold_metrics")
     chosen = E.tuning_summary(table)
     artifacts.append_record(
-        artifacts.tuning_record(chosen, len(E.grid_values(spark))), f"{out_path}/run_metrics/tuning"
+        artifacts.tuning_record(chosen, len(E.grid_values())), f"{out_path}/run_metrics/tuning"
     )
     model.threshold = E.best_f1(table).first()["threshold"]
     return chosen
@@ -178,11 +178,13 @@ def scored_alerts(
     explain: bool = True,
     now: datetime | None = None,
     seed: int = 42,
+    work: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Replayed transactions to (scored rows, alerts), in one plan.
 
     With ``max_alerts`` the alerts are a banded sample, without it all rows at or above the cutoff.
-    Drivers are computed for the alerts only.
+    Drivers are computed for the alerts only. The sample reads the scored rows several times; a
+    ``work`` folder keeps them, so that the model runs once.
     """
     cutoff = min(max(alert_threshold, 0.0), 1.0)
     source = F.when(risk.finite_or_null(F.col("Amount")).isNull(), S.AMOUNT_MISSING)
@@ -195,6 +197,8 @@ def scored_alerts(
     ready, _ = X.split_complete(rows)
     events = transactions.enrich_events(ready, S.MERCHANTS, now, seed, event_times=True)
     scored = models.score_transactions(events, model, cutoff)
+    if work is not None:
+        scored = stored(scored, f"{work}/scored")
     if max_alerts is None:
         chosen = above_cutoff(scored, cutoff, strict=False)
     else:
@@ -237,7 +241,7 @@ def generate_alerts(
     work = shared_folder(spark, "generated")
     raw = stored(raw, f"{work}/rows")
     scored, alerts = scored_alerts(
-        raw, model, alert_threshold, "dashboard_demo_generator", max_alerts, explain, now, seed
+        raw, model, alert_threshold, "dashboard_demo_generator", max_alerts, explain, now, seed, work
     )
     alerts = stored(conform(normalize_alerts(alerts, model.threshold, alert_threshold)), f"{work}/alerts")
     alert_table.write_alerts(alerts, alerts_path, now)

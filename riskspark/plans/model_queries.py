@@ -544,8 +544,9 @@ FROM events GROUP BY 1"""
 def exact_quantiles_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles per class forced through many value ranges, as a large table takes them."""
     rows = views.event_transactions(spark, sf_dir).select(F.col("Class").cast("int").alias("cls"), "Amount")
-    shares = {"low": 0.33, "middle": 0.5, "high": 0.66}
-    return comparable(ranks.exact_quantiles(rows, "Amount", shares, ["cls"], rows_per_range=500))
+    cuts = ranks.exact_quantiles(rows, "Amount", [0.33, 0.5, 0.66], "cls", rows_per_range=500)
+    table = [(cls, *values) for cls, values in cuts.items()]
+    return comparable(spark.createDataFrame(table, "cls int, low double, middle double, high double"))
 
 
 # Models.
