@@ -29,20 +29,17 @@ def _utc_cast(text: Column) -> Column:
 
 
 def _spelled_out(text: Column) -> Column:
-    """Rewrite shortened ISO forms (no dashes, hours only, ...) to the common form."""
+    """Rewrite shortened ISO forms (no dashes, hours only, ...) to the common form.
 
-    def part(group: int) -> Column:
-        return F.regexp_extract(text, _ANY, group)
-
-    def padded(group: int) -> Column:
-        return F.when(part(group) == "", F.lit("00")).otherwise(part(group))
-
-    fraction = F.when(part(8) != "", F.concat(F.lit("."), F.substring(part(8), 1, 6))).otherwise("")
-    offset = F.when(part(10) != "", F.concat(part(10), F.lit(":"), padded(11))).otherwise("Z")
-    return F.concat(
-        part(1), F.lit("-"), part(3), F.lit("-"), part(4), F.lit("T"),
-        padded(5), F.lit(":"), padded(6), F.lit(":"), padded(7), fraction, offset,
-    )
+    The parts are first laid out with empty places, which the next steps fill.
+    """
+    parts = F.regexp_replace(text, _ANY, "$1-$3-$4T$5:$6:$7|$8|$9$10:$11")
+    parts = F.replace(parts, F.lit("T:"), F.lit("T00:"))
+    parts = F.regexp_replace(parts, r":(?=[:|])", ":00")
+    parts = F.replace(parts, F.lit("||"), F.lit("|0|"))
+    parts = F.regexp_replace(parts, r"\|(\d{1,6})\d*\|", ".$1")
+    parts = F.regexp_replace(parts, r"(\.\d+):$", "$1Z")
+    return F.regexp_replace(parts, r":$", "")
 
 
 def parse_timestamp(value: Column) -> Column:

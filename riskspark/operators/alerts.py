@@ -24,6 +24,8 @@ def normalize_alerts(
     same on batch and streaming frames and adds no shuffle.
     """
 
+    df = df.withColumns({name: times.time_column(df, name) for name in S.ALERT_TIMES if name in df.columns})
+
     def field(name: str, dtype: str) -> Column:
         return risk.column_or_null(df, name, dtype)
 
@@ -32,8 +34,8 @@ def normalize_alerts(
     )
     given_id = field("transaction_id", "string").cast("string")
     given_action = field("recommended_action", "string")
-    # First the fields that are cleaned on their own, then those derived from the clean ones: an
-    # expensive input is then evaluated once, not once for each place that uses it.
+    # First the times, then the fields that are cleaned on their own, then those derived from clean
+    # ones: an expensive input is then evaluated once, not once for each place that uses it.
     clean = {
         "transaction_id": F.coalesce(F.when(given_id != "", given_id), F.uuid()),
         "fraud_probability": risk.clip_probability(field("fraud_probability", "double")),
@@ -43,7 +45,6 @@ def normalize_alerts(
         "_given": F.upper(field("decision", "string")),
         "recommended_action": F.when(given_action != "", given_action),
     }
-    clean |= {name: times.time_column(df, name) for name in S.ALERT_TIMES if name in df.columns}
     derived = ["risk_score", "block_threshold", "decision"]
     kept = [n for n in df.columns if n.lower() != "amount" and n not in clean and n not in derived]
     rows = df.select(*kept, *[c.alias(name) for name, c in clean.items()])
@@ -66,12 +67,13 @@ def normalize_alerts(
 def conform(df: DataFrame) -> DataFrame:
     """The full alert schema, absent fields null."""
 
-    def typed(field: T.StructField) -> Column:
-        if field.name in df.columns:
-            return F.col(field.name).cast(field.dataType).alias(field.name)
-        return F.lit(None).cast(field.dataType).alias(field.name)
-
-    return df.select(*[typed(field) for field in S.ALERT_SCHEMA.fields])
+    present = set(df.columns)
+    return df.selectExpr(
+        *[
+            f"CAST({f'`{f.name}`' if f.name in present else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`"
+            for f in S.ALERT_SCHEMA.fields
+        ]
+    )
 
 
 def above_cutoff(df: DataFrame, cutoff: float, strict: bool, column: str = "fraud_probability") -> DataFrame:

@@ -115,16 +115,15 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def fit_scaling(df: DataFrame, features: Sequence[str]) -> list[tuple[float, float]]:
     """Mean and population deviation per feature, from one pass; a constant feature gets 1."""
-    row = df.agg(
-        *[F.avg(name).alias(f"mean_{name}") for name in features],
-        *[F.stddev_pop(name).alias(f"std_{name}") for name in features],
-    ).first()
+    moments = [(f"avg(`{name}`)", f"mean_{name}") for name in features]
+    moments += [(f"stddev_pop(`{name}`)", f"std_{name}") for name in features]
+    row = df.agg(*[F.expr(f"{moment} AS `{alias}`") for moment, alias in moments]).first()
     return [(row[f"mean_{name}"] or 0.0, row[f"std_{name}"] or 1.0) for name in features]
 
 
 def scaled_columns(features: Sequence[str], scaling: Sequence[tuple[float, float]]) -> list[Column]:
     return [
-        ((F.col(name) - F.lit(mean)) / F.lit(std)).alias(name)
+        F.expr(f"(`{name}` - {mean!r}D) / {std!r}D AS `{name}`")
         for name, (mean, std) in zip(features, scaling, strict=True)
     ]
 

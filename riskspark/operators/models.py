@@ -107,9 +107,8 @@ def score_transactions(
 
 def driver_array(contributions: Column, features: Sequence[str]) -> Column:
     """Top five drivers from an array of contributions in feature order; an empty array without one."""
-    observed = F.array(
-        *[F.struct(F.lit(name).alias("feature"), F.col(name).cast("double").alias("value")) for name in features]
-    )
+    pairs = [f"named_struct('feature', '{name}', 'value', CAST(`{name}` AS double))" for name in features]
+    observed = F.expr(f"array({', '.join(pairs)})")
 
     def driver(feature: Column, contribution: Column) -> Column:
         return F.struct(
@@ -128,13 +127,11 @@ def linear_drivers(
     coefficients: Sequence[float], means: Sequence[float], features: Sequence[str]
 ) -> Column:
     """Drivers of a linear model: coefficient times the distance from the feature's mean."""
-    contributions = F.array(
-        *[
-            (F.col(name) - F.lit(float(mean))) * F.lit(float(weight))
-            for name, weight, mean in zip(features, coefficients, means, strict=True)
-        ]
-    )
-    return driver_array(contributions, features)
+    parts = [
+        f"(`{name}` - {float(mean)!r}D) * {float(weight)!r}D"
+        for name, weight, mean in zip(features, coefficients, means, strict=True)
+    ]
+    return driver_array(F.expr(f"array({', '.join(parts)})"), features)
 
 
 def tree_tables(model: GBTClassificationModel) -> list[dict[str, np.ndarray]]:
@@ -199,7 +196,7 @@ def tree_contributions(
                 at = step
         return pd.Series(list(credit))
 
-    return contributions(F.array(*[F.col(name).cast("double") for name in features]))
+    return contributions(F.expr(f"array({', '.join(f'CAST(`{name}` AS double)' for name in features)})"))
 
 
 def row_drivers(

@@ -65,8 +65,7 @@ def chunked(minority: DataFrame, rows: int, dimensions: int, chunk_rows: int, se
     normals = np.random.default_rng(seed).normal(size=(planes, dimensions))
 
     def side(normal: np.ndarray) -> Column:
-        weighted = F.zip_with("x", F.array(*[F.lit(float(w)) for w in normal]), lambda a, b: a * b)
-        return F.aggregate(weighted, F.lit(0.0), lambda total, item: total + item)
+        return F.expr(" + ".join(f"x[{i}] * {float(w)!r}D" for i, w in enumerate(normal)))
 
     names = [f"_p{i}" for i in range(planes)]
     projected = minority.withColumns({name: side(n) for name, n in zip(names, normals, strict=True)})
@@ -144,7 +143,7 @@ def oversample(
     need = many - few
     if need == 0 or k < 1:
         return base, info
-    vector = F.array(*[F.col(name).cast("double") for name in features])
+    vector = F.expr(f"array({', '.join(f'CAST(`{name}` AS double)' for name in features)})")
     minority = base.filter(F.col(label) == small)
     minority = minority.select(row_hash(minority, seed, list(features)).alias(HASH), vector.alias("x"))
     if few * len(features) * 8 <= exact_limit_bytes:
@@ -160,9 +159,7 @@ def oversample(
     drawn = drawn.select(
         "x", F.col("near")[F.pmod(draw, F.size("near")).cast("int")].alias("to"), step.alias("u")
     )
-    values = [
-        (F.col("x")[i] + F.col("u") * (F.col("to")[i] - F.col("x")[i])).cast(base.schema[name].dataType).alias(name)
-        for i, name in enumerate(features)
-    ]
-    synthetic = drawn.select(F.lit(small).cast(base.schema[label].dataType).alias(label), *values)
+    kinds = dict(base.dtypes)
+    values = [f"CAST(x[{i}] + u * (to[{i}] - x[{i}]) AS {kinds[name]}) AS `{name}`" for i, name in enumerate(features)]
+    synthetic = drawn.selectExpr(f"CAST({small} AS {kinds[label]}) AS `{label}`", *values)
     return base.unionByName(synthetic), info

@@ -28,6 +28,11 @@ def row_hash(df: DataFrame, seed: int, key: Sequence[str] | None = None) -> Colu
     return F.xxhash64(F.lit(seed), *[F.col(name) for name in (key or df.columns)])
 
 
+def per_group(values: Mapping[object, object], group: str) -> Column:
+    """The group's number from a small table of constants; null for other groups."""
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col(group)]
+
+
 def take_lowest(df: DataFrame, takes: Mapping[object, int], stratum: str, hash_column: str) -> DataFrame:
     """Add ``_taken``: true for exactly ``takes[s]`` rows of each stratum, lowest hash first.
 
@@ -41,22 +46,21 @@ def take_lowest(df: DataFrame, takes: Mapping[object, int], stratum: str, hash_c
         return df.withColumn("_taken", F.lit(False))
     asked = {s: [n - 1] for s, n in wanted.items()}
     cuts = ranks.order_statistics(df, hash_column, asked, stratum)
-    taken, torn = F.lit(False), {}
+    # Per stratum: rows up to this hash are taken; a cut inside copies takes the rows before them.
+    through, torn = {}, {}
     for cut in cuts:
         need = wanted[cut.group] - cut.below
+        through[cut.group] = cut.value if need == cut.equal else cut.value - 1
         if need < cut.equal:
             torn[cut.group] = (cut.value, need)
-        top = F.col(hash_column) < cut.value if need < cut.equal else F.col(hash_column) <= cut.value
-        taken = taken | ((F.col(stratum) == cut.group) & top)
-    marked = df.withColumn("_taken", taken)
+    taken = F.col(hash_column) <= per_group(through, stratum)
+    marked = df.withColumn("_taken", F.coalesce(taken, F.lit(False)))
     if not torn:
         return marked
-    on_cut = F.lit(False)
-    need = F.lit(0)
-    for s, (value, count) in torn.items():
-        here = (F.col(stratum) == s) & (F.col(hash_column) == value)
-        on_cut = on_cut | here
-        need = F.when(F.col(stratum) == s, F.lit(count)).otherwise(need)
+    on_cut = F.coalesce(
+        F.col(hash_column) == per_group({s: value for s, (value, _) in torn.items()}, stratum), F.lit(False)
+    )
+    need = per_group({s: count for s, (_, count) in torn.items()}, stratum)
     # Rows with one hash are copies of one another, so few distinct rows are left to order here.
     copies = marked.filter(on_cut).groupBy(*marked.columns).agg(F.count("*").alias("_copies"))
     through = F.sum("_copies").over(
@@ -79,7 +83,7 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | None
     if n <= ranks.COPIES_PER_TASK_ROW:
         return hashed.orderBy(HASH).limit(n).drop(HASH)
     rows = df.count()
-    whole = hashed.withColumn("_stratum", F.lit(0))
+    whole = hashed.withColumn("_stratum", F.lit(0).cast("int"))
     return take_lowest(whole, {0: min(n, rows)}, "_stratum", HASH).filter("_taken").select(*df.columns)
 
 
@@ -144,20 +148,25 @@ def amount_pools(candidates: DataFrame, group: str = "band", amount: str = "_amo
         F.max(amount).alias("high"),
         F.min(F.when(large, F.col(amount))).alias("low_large"),
     )
-    sources, lone = F.lit(False), []
+    above, above_shared, lone = {}, {}, []
     for fact in facts.limit(MAX_STRATA).collect():
         only_large = fact["n_large"] >= 3
         rows = fact["n_large"] if only_large else fact["n"]
+        above[fact[group]] = TINY_AMOUNT if only_large else -math.inf
         if rows < 3 or (fact["low_large"] if only_large else fact["low"]) == fact["high"]:
             lone.append(fact[group])
-        own = F.col(group) == fact[group]
-        sources = sources | (own & large if only_large else own)
-    several = candidates.filter(sources & ~F.col(group).isin(lone))
-    pool = F.when(F.col(group).isin(lone), 0)
-    for name, (low, high) in ranks.exact_quantiles(several, amount, [0.33, 0.66], group).items():
+        else:
+            above_shared[fact[group]] = above[fact[group]]
+    pool = F.lit(0)
+    if above_shared:
+        several = candidates.filter(F.col(amount) > per_group(above_shared, group))
+        cuts = ranks.exact_quantiles(several, amount, [0.33, 0.66], group)
+        low = per_group({g: c[0] for g, c in cuts.items()}, group)
+        high = per_group({g: c[1] for g, c in cuts.items()}, group)
         third = F.when(F.col(amount) <= low, 0).when(F.col(amount) <= high, 1).otherwise(2)
-        pool = pool.when(F.col(group) == name, third)
-    return candidates.withColumn("pool", F.when(sources, pool))
+        pool = F.when(F.col(group).isin(lone), 0).otherwise(third) if lone else third
+    in_pools = F.col(amount) > per_group(above, group) if above else F.lit(False)
+    return candidates.withColumn("pool", F.when(in_pools, pool))
 
 
 def band_quotas(max_alerts: int) -> list[int]:

@@ -42,7 +42,7 @@ alerts AS (SELECT *, CASE decision{_CASES} END AS action FROM banded)
 LINE_ALERTS = """
 WITH base AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS merchant_name,
-         round(l_extendedprice * (1 - l_discount), 2) AS amount,
+         l_extendedprice AS amount,
          (l_partkey % 1000) / 999.0::DOUBLE AS p,
          CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_partkey AS transaction_id,
          l_shipdate + INTERVAL 1 SECOND * CAST(l_orderkey % 86400 AS INTEGER) AS event_time
@@ -617,8 +617,8 @@ def decreasing_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 3 = 1 THEN 1
-                      ELSE least(1, value / 100) END::DOUBLE AS probability,
+SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 3 = 1 THEN 1
+                            ELSE least(1, value / 100) END::DOUBLE, 6) AS probability,
        round(CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 3 = 1 THEN 100
                   ELSE least(100, value) END::DOUBLE, 6) AS risk,
        CASE WHEN event_id % 3 = 0 THEN '$0.00' WHEN event_id % 3 = 1 THEN '$1,234,567.50'

@@ -133,7 +133,8 @@ def _text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "V9": F.when(n % 7 == 1, "NaN").otherwise(F.col("V9").cast("string")),
         "Class": F.when(n % 7 == 2, "").otherwise(F.col("Class").cast("string")),
     }
-    return rows.select(*[broken.get(c, F.col(c).cast("string")).alias(c) for c in S.RAW_COLUMNS])
+    plain = {c: F.expr(f"CAST(`{c}` AS string)") for c in S.RAW_COLUMNS if c not in broken}
+    return rows.select(*[{**plain, **broken}[c].alias(c) for c in S.RAW_COLUMNS])
 
 
 @query(

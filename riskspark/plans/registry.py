@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,15 +28,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def comparable(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round doubles, widen integers and show times as microseconds, for engine-independent values."""
 
-    def plain(field: T.StructField) -> Column:
-        column = F.col(field.name)
+    def plain(field: T.StructField) -> str:
+        name = f"`{field.name}`"
         if isinstance(field.dataType, T.DoubleType):
             # Adding zero turns -0.0 into 0.0.
-            return (F.round(column, digits) + F.lit(0.0)).alias(field.name)
+            return f"round({name}, {digits}) + 0D AS {name}"
         if isinstance(field.dataType, (T.IntegerType, T.ShortType)):
-            return column.cast("long").alias(field.name)
+            return f"CAST({name} AS bigint) AS {name}"
         if isinstance(field.dataType, T.TimestampType):
-            return F.unix_micros(column).alias(field.name)
-        return column
+            return f"unix_micros({name}) AS {name}"
+        return name
 
-    return df.select(*[plain(field) for field in df.schema.fields])
+    return df.selectExpr(*[plain(field) for field in df.schema.fields])

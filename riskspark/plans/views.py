@@ -77,7 +77,7 @@ def line_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("transaction_id"),
         F.col("l_suppkey").cast("string").alias("merchant_name"),
-        F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).alias("Amount"),
+        F.col("l_extendedprice").alias("Amount"),
         ((F.col("l_partkey") % 1000) / 999.0).alias("fraud_probability"),
         F.lit(MODEL_THRESHOLD).alias("threshold"),
         F.timestamp_micros(F.unix_micros(shipped) + (F.col("l_orderkey") % 86400) * 1_000_000).alias("event_time_utc"),
@@ -106,7 +106,7 @@ def card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "vec_id",
         (F.col("vec_id") * 97.0).alias("Time"),
-        *[F.col("embedding")[i - 1].cast("double").alias(f"V{i}") for i in range(1, 29)],
+        *[F.expr(f"CAST(embedding[{i - 1}] AS double) AS V{i}") for i in range(1, 29)],
         F.round(F.abs(F.col("embedding")[28].cast("double")) * 400, 2).alias("Amount"),
         F.when(F.col("label") == 0, 1.0).otherwise(0.0).alias(S.TARGET),
     )
