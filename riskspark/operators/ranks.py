@@ -28,16 +28,16 @@ _SPLIT_KEY = "_range_key"
 
 
 def range_ends(
-    df: DataFrame, key: Column, rows_per_range: int = ROWS_PER_RANGE, max_ranges: int = MAX_RANGES
+    df: DataFrame, key: Column, rows_per_range: int = ROWS_PER_RANGE, rows: int | None = None
 ) -> list[float]:
     """Sampled range ends of a numeric key, repeated where one value fills whole ranges.
 
-    Empty when all rows fit one range. At most ``MAX_RANGES * SAMPLES_PER_RANGE`` sampled keys meet
+    Empty when all rows fit one range. ``rows`` saves the counting where the caller knows it. At most ``MAX_RANGES * SAMPLES_PER_RANGE`` sampled keys meet
     in one task, however large the input is.
     """
     keys = df.select(key.cast("double").alias("k")).filter("k IS NOT NULL")
-    rows = keys.count()
-    ranges = min(max_ranges, math.ceil(rows / rows_per_range))
+    rows = keys.count() if rows is None else rows
+    ranges = min(MAX_RANGES, math.ceil(rows / rows_per_range))
     if ranges <= 1:
         return []
     fraction = min(1.0, SAMPLES_PER_RANGE * ranges / rows)
@@ -136,6 +136,7 @@ def order_statistics(
     ranks: Ranks,
     by: str | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
+    total: int | None = None,
 ) -> list[Found]:
     """Values at given ranks of each group, exact, for a small number of groups.
 
@@ -147,7 +148,7 @@ def order_statistics(
     group = F.col(by) if by else F.lit(0)
     rows = df.select(group.alias("g"), F.col(value).alias("value"))
     rows = rows.filter(F.col("g").isNotNull() & F.col("value").isNotNull())
-    ends = range_ends(rows, F.col("value"), rows_per_range)
+    ends = range_ends(rows, F.col("value"), rows_per_range, total)
     ranged = with_range(rows, F.col("value"), ends)
     targets = []
     sizes: dict[object, list[tuple[int, int]]] = {}
@@ -181,6 +182,7 @@ def exact_quantiles(
     shares: Sequence[float],
     by: str | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
+    total: int | None = None,
 ) -> dict[object, list[float]]:
     """Exact quantiles of each group, with linear interpolation between neighbours.
 
@@ -193,7 +195,7 @@ def exact_quantiles(
         return [*places, *[min(place + 1, n - 1) for place in places], n - 1]
 
     at: dict[object, dict[int, float]] = {}
-    for found in order_statistics(df, value, around, by, rows_per_range):
+    for found in order_statistics(df, value, around, by, rows_per_range, total):
         at.setdefault(found.group, {})[found.rank] = found.value
     return {g: [_interpolated(ranked, share) for share in shares] for g, ranked in at.items()}
 

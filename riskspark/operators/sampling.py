@@ -33,7 +33,9 @@ def per_group(values: Mapping[object, object], group: str) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col(group)]
 
 
-def take_lowest(df: DataFrame, takes: Mapping[object, int], stratum: str, hash_column: str) -> DataFrame:
+def take_lowest(
+    df: DataFrame, takes: Mapping[object, int], stratum: str, hash_column: str, total: int | None = None
+) -> DataFrame:
     """Add ``_taken``: true for exactly ``takes[s]`` rows of each stratum, lowest hash first.
 
     The cut is found by rank selection, so no stratum is ever sorted in one task. When the cut falls
@@ -45,7 +47,7 @@ def take_lowest(df: DataFrame, takes: Mapping[object, int], stratum: str, hash_c
     if not wanted:
         return df.withColumn("_taken", F.lit(False))
     asked = {s: [n - 1] for s, n in wanted.items()}
-    cuts = ranks.order_statistics(df, hash_column, asked, stratum)
+    cuts = ranks.order_statistics(df, hash_column, asked, stratum, total=total)
     # Per stratum: rows up to this hash are taken; a cut inside copies takes the rows before them.
     through, torn = {}, {}
     for cut in cuts:
@@ -84,7 +86,7 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | None
         return hashed.orderBy(HASH).limit(n).drop(HASH)
     rows = df.count()
     whole = hashed.withColumn("_stratum", F.lit(0).cast("int"))
-    return take_lowest(whole, {0: min(n, rows)}, "_stratum", HASH).filter("_taken").select(*df.columns)
+    return take_lowest(whole, {0: min(n, rows)}, "_stratum", HASH, rows).filter("_taken").select(*df.columns)
 
 
 def share_out(sizes: Mapping[object, int], total: int) -> dict[object, int]:
@@ -112,7 +114,7 @@ def stratified_split(
     sizes = {row[label]: row["count"] for row in df.groupBy(label).count().collect()}
     total = math.ceil(round(sum(sizes.values()) * test_share, 9))
     hashed = df.withColumn(HASH, row_hash(df, seed, key))
-    marked = take_lowest(hashed, share_out(sizes, total) if sizes else {}, label, HASH)
+    marked = take_lowest(hashed, share_out(sizes, total) if sizes else {}, label, HASH, sum(sizes.values()))
     return (
         marked.filter(~F.col("_taken")).select(*df.columns),
         marked.filter("_taken").select(*df.columns),
@@ -148,7 +150,7 @@ def amount_pools(candidates: DataFrame, group: str = "band", amount: str = "_amo
         F.max(amount).alias("high"),
         F.min(F.when(large, F.col(amount))).alias("low_large"),
     )
-    above, above_shared, lone = {}, {}, []
+    above, above_shared, lone, shared_rows = {}, {}, [], 0
     for fact in facts.limit(MAX_STRATA).collect():
         only_large = fact["n_large"] >= 3
         rows = fact["n_large"] if only_large else fact["n"]
@@ -157,10 +159,11 @@ def amount_pools(candidates: DataFrame, group: str = "band", amount: str = "_amo
             lone.append(fact[group])
         else:
             above_shared[fact[group]] = above[fact[group]]
+            shared_rows += rows
     pool = F.lit(0)
     if above_shared:
         several = candidates.filter(F.col(amount) > per_group(above_shared, group))
-        cuts = ranks.exact_quantiles(several, amount, [0.33, 0.66], group)
+        cuts = ranks.exact_quantiles(several, amount, [0.33, 0.66], group, total=shared_rows)
         low = per_group({g: c[0] for g, c in cuts.items()}, group)
         high = per_group({g: c[1] for g, c in cuts.items()}, group)
         third = F.when(F.col(amount) <= low, 0).when(F.col(amount) <= high, 1).otherwise(2)

@@ -28,7 +28,8 @@ def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.unix_micros(moment) / 1e6 - EPOCH_SECONDS).alias("Time"),
         F.col("value").alias("Amount"),
         F.when(F.col("event_type") == "error", 1.0).otherwise(0.0).alias("Class"),
-        (F.get_json_object("props", "$.k").cast("double") / 99).alias("fraud_probability"),
+        # props is {"k": n}: stripping everything but the number is much cheaper than parsing JSON.
+        (F.btrim("props", F.lit('{"k": }')).cast("double") / 99).alias("fraud_probability"),
         moment.alias("event_time_utc"),
         F.timestamp_micros(F.unix_micros(moment) + 60_000_000).alias("stored_at_utc"),
     )
