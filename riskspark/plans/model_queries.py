@@ -418,7 +418,7 @@ def metrics_near_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(found.select("threshold", "precision", "recall", "f1", "true_positives", "metric_source"))
 
 
-def _metrics_sql(source: str, model: str) -> str:
+def _metrics_sql(model: str) -> str:
     return f"""
 SELECT '{model}' AS model, (SELECT {_AUC} FROM curve, total) AS auc, (SELECT {_AP} FROM curve, total) AS auprc"""
 
@@ -427,11 +427,11 @@ SELECT '{model}' AS model, (SELECT {_AUC} FROM curve, total) AS auc, (SELECT {_A
     "SELECT * FROM ("
     + SCORED
     + _CURVE
-    + _metrics_sql("events", "events")
+    + _metrics_sql("events")
     + ") UNION ALL SELECT * FROM ("
     + LINE_SCORED
     + _CURVE
-    + _metrics_sql("lines", "lines")
+    + _metrics_sql("lines")
     + ")"
 )
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,11 +444,11 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT model FROM (SELECT * FROM ("
     + SCORED
     + _CURVE
-    + _metrics_sql("events", "events")
+    + _metrics_sql("events")
     + ") UNION ALL SELECT * FROM ("
     + LINE_SCORED
     + _CURVE
-    + _metrics_sql("lines", "lines")
+    + _metrics_sql("lines")
     + ")) ORDER BY auprc DESC LIMIT 1"
 )
 def champion_model(spark: SparkSession, sf_dir: str) -> DataFrame:
