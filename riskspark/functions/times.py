@@ -22,10 +22,10 @@ _ANY = (
 
 
 def _utc_cast(text: Column) -> Column:
-    """Cast ISO text; text without an offset is taken as UTC whatever the session zone is."""
-    has_offset = text.rlike(r"(Z|[+-]\d{2}:\d{2})$") & (F.length(text) > 10)
-    dated = F.when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00Z")))
-    return dated.when(has_offset, text).otherwise(F.concat(text, F.lit("Z"))).try_cast("timestamp")
+    """Cast a common date-time; one without an offset is UTC whatever the session zone is."""
+    # An offset has its sign or Z at a fixed place from the end.
+    has_offset = F.substring(text, -1, 1).isin("Z") | F.substring(text, -6, 1).isin("+", "-")
+    return F.when(has_offset, text).otherwise(F.concat(text, F.lit("Z"))).try_cast("timestamp")
 
 
 def _spelled_out(text: Column) -> Column:
@@ -64,6 +64,21 @@ def time_column(df: DataFrame, name: str) -> Column:
     return parse_timestamp(F.col(name).cast("string"))
 
 
+def with_parsed_times(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """Time fields as timestamps; several text fields share one parsing expression.
+
+    Parsing written out once per field makes a generated method that is too large for the JVM to
+    compile (8,000 bytes), which costs far more than the parsing itself.
+    """
+    names = [name for name in names if name in df.columns]
+    texts = [name for name in names if isinstance(df.schema[name].dataType, T.StringType)]
+    if texts:
+        df = df.withColumn("_times", F.transform(F.array(*texts), parse_timestamp))
+    parsed = {name: F.col("_times")[i] for i, name in enumerate(texts)}
+    parsed |= {name: time_column(df, name) for name in names if name not in parsed}
+    return df.withColumns(parsed).drop("_times") if parsed else df
+
+
 def utc_hour(moment: Column) -> Column:
     """Hour 0-23 in UTC, independent of the session time zone."""
     return F.floor(F.pmod(F.unix_seconds(moment), F.lit(86400)) / 3600).cast("int")

@@ -24,7 +24,11 @@ def normalize_alerts(
     same on batch and streaming frames and adds no shuffle.
     """
 
-    df = df.withColumns({name: times.time_column(df, name) for name in S.ALERT_TIMES if name in df.columns})
+    texts = {name for name, kind in df.dtypes if kind == "string"}
+    amounts = [name for name in df.columns if name.lower() == "amount"]
+    numbers = ["fraud_probability", "hour_of_day", *(amounts if len(amounts) == 1 else [])]
+    parsed = {name: F.col(name).try_cast("double") for name in numbers if name in texts}
+    df = times.with_parsed_times(df, S.ALERT_TIMES).withColumns(parsed)
 
     def field(name: str, dtype: str) -> Column:
         return risk.column_or_null(df, name, dtype)
@@ -34,7 +38,7 @@ def normalize_alerts(
     )
     given_id = field("transaction_id", "string").cast("string")
     given_action = field("recommended_action", "string")
-    # First the times, then the fields that are cleaned on their own, then those derived from clean
+    # Texts are parsed first, then fields are cleaned on their own, then come those derived from clean
     # ones: an expensive input is then evaluated once, not once for each place that uses it.
     clean = {
         "transaction_id": F.coalesce(F.when(given_id != "", given_id), F.uuid()),
@@ -70,7 +74,7 @@ def conform(df: DataFrame) -> DataFrame:
     present = set(df.columns)
     return df.selectExpr(
         *[
-            f"CAST({f'`{f.name}`' if f.name in present else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`"
+            f"TRY_CAST({f'`{f.name}`' if f.name in present else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`"
             for f in S.ALERT_SCHEMA.fields
         ]
     )

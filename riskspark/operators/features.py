@@ -98,17 +98,21 @@ def null_nans(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 
 def complete(names: list[str] = S.BASE_FEATURES) -> Column:
-    """True when every required field is present; NaN counts as present, see ``null_nans``."""
-    return F.expr(" AND ".join(f"`{name}` IS NOT NULL" for name in names))
+    """True when every required field carries a number."""
+    return F.expr(" AND ".join(f"(`{name}` IS NOT NULL AND NOT isnan(`{name}`))" for name in names))
 
 
 def split_complete(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that can be scored, and the rejected rest with the names of the fields they lack."""
+    """Rows that can be scored, and the rejected rest with the names of the fields they lack.
+
+    The test is on the fields as they come, so it can go down to the scan; only rejected rows need
+    their NaN replaced.
+    """
     require_columns(df, S.BASE_FEATURES, "transaction")
-    df = null_nans(df, S.BASE_FEATURES)
     absent = ", ".join(f"CASE WHEN `{name}` IS NULL THEN '{name}' END" for name in S.BASE_FEATURES)
     lacking = F.expr(f"array_compact(array({absent}))")
-    return df.filter(complete()), df.filter(~complete()).withColumn("missing_fields", lacking)
+    rejected = null_nans(df.filter(~complete()), S.BASE_FEATURES)
+    return df.filter(complete()), rejected.withColumn("missing_fields", lacking)
 
 
 def only_negatives(df: DataFrame) -> DataFrame:

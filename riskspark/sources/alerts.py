@@ -83,7 +83,7 @@ def read_seed_alerts(spark: SparkSession, path: str) -> DataFrame:
     )
     objects = records.filter(F.schema_of_variant("item").startswith("OBJECT"))
     typed = objects.select("position", *[c.alias(name) for name, c in columns.items()])
-    return typed.withColumns({name: times.parse_timestamp(F.col(name)) for name in S.ALERT_TIMES})
+    return times.with_parsed_times(typed, S.ALERT_TIMES)
 
 
 def refresh_seed_alerts(
