@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import byte_bpe, chat, decontaminate, quality, token_counts, warc
+from riskspark.llm import byte_bpe, chat, decontaminate, near_dedup, quality, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -170,3 +170,8 @@ FROM d LEFT JOIN n_repeat_words USING (doc_id) LEFT JOIN covered_words USING (do
 )
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+@query()
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).drop("row")
