@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskspark.session import shared_folder
 
-WORD_SEPARATORS = "[^\\x20\\x09-\\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -35,10 +35,18 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared work folder and read again: lineage ends there and survives lost executors."""
+    """df written as a table in the shared work folder and read again: lineage ends there and survives lost executors.
+
+    Shuffle files of the writing job are given back when it ends; nothing reads them again.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, f"llm-{name}")
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

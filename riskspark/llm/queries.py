@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import byte_bpe, chat, decontaminate, lm_score, near_dedup, quality, token_counts, warc
+from riskspark.llm import byte_bpe, chat, decontaminate, lm_score, near_dedup, quality, substring_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -180,3 +180,9 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query()
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
