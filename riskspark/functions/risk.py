@@ -106,8 +106,6 @@ def column_or_null(df: DataFrame, name: str, dtype: str) -> Column:
 
 def amount_column(df: DataFrame) -> Column:
     """``Amount``, or the lower-case spelling when only that one is given."""
-    if "Amount" in df.columns and "amount" in df.columns:
-        return F.coalesce(F.col("Amount"), F.col("amount"))
     return F.col("amount") if "amount" in df.columns else column_or_null(df, "Amount", "double")
 
 

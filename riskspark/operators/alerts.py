@@ -12,6 +12,26 @@ from riskspark import schema as S
 from riskspark.functions import risk, text, times
 
 
+def _row_id(df: DataFrame) -> Column:
+    """A hash of all a row holds, the same whenever its partition is computed again. Maps are hashed as text."""
+    kinds = [(F.col(f"`{f.name}`"), f.dataType.simpleString()) for f in df.schema.fields]
+    held = [F.to_json(c) if "map<" in kind else c for c, kind in kinds if "variant" not in kind]
+    return F.lower(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *held)), 16, "0") for seed in (1, 2)]))
+
+
+def _one_amount(df: DataFrame) -> DataFrame:
+    """One amount column: where both spellings are given, the first of them that is not null (upper case first)."""
+    places = [i for i, c in enumerate(df.columns) if c.lower() == "amount"]
+    if len(places) < 2:
+        return df
+    names = df.columns
+    placed = df.toDF(*[f"_c{i}" for i in range(len(names))])
+    first, *rest = sorted(places, key=lambda i: names[i])
+    kept = [F.col(f"_c{i}").alias(c) for i, c in enumerate(names) if i not in rest and i != first]
+    both = F.coalesce(*[F.col(f"_c{i}").try_cast("double") for i in (first, *rest)])
+    return placed.select(*kept, both.alias("Amount"))
+
+
 def normalize_alerts(
     df: DataFrame,
     default_threshold: float = S.MODEL_THRESHOLD,
@@ -23,10 +43,10 @@ def normalize_alerts(
     Fields the frame lacks count as absent. Everything is a projection, so the operator runs the
     same on batch and streaming frames and adds no shuffle.
     """
-
+    df = _one_amount(df)
+    df = df.withColumn("_own_id", _row_id(df))
     texts = {name for name, kind in df.dtypes if kind == "string"}
-    amounts = [name for name in df.columns if name.lower() == "amount"]
-    numbers = ["fraud_probability", "hour_of_day", *(amounts if len(amounts) == 1 else [])]
+    numbers = ["fraud_probability", "hour_of_day", *[name for name in df.columns if name.lower() == "amount"]]
     parsed = {name: F.col(name).try_cast("double") for name in numbers if name in texts}
     df = times.with_parsed_times(df, S.ALERT_TIMES).withColumns(parsed)
 
@@ -41,7 +61,7 @@ def normalize_alerts(
     # Texts are parsed first, then fields are cleaned on their own, then come those derived from clean
     # ones: an expensive input is then evaluated once, not once for each place that uses it.
     clean = {
-        "transaction_id": F.coalesce(F.when(given_id != "", given_id), F.uuid()),
+        "transaction_id": F.coalesce(F.when(given_id != "", given_id), F.col("_own_id")),
         "fraud_probability": risk.clip_probability(field("fraud_probability", "double")),
         "threshold": threshold,
         "Amount": risk.normalize_amount(risk.amount_column(df)),
@@ -50,7 +70,7 @@ def normalize_alerts(
         "recommended_action": F.when(given_action != "", given_action),
     }
     derived = ["risk_score", "block_threshold", "decision"]
-    kept = [n for n in df.columns if n.lower() != "amount" and n not in clean and n not in derived]
+    kept = [n for n in df.columns if n.lower() not in ("amount", "_own_id") and n not in clean and n not in derived]
     rows = df.select(*kept, *[c.alias(name) for name, c in clean.items()])
 
     p = F.col("fraud_probability")

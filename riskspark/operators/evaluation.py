@@ -53,6 +53,13 @@ def metrics_from_counts(df: DataFrame) -> DataFrame:
     return df.withColumns({**rates(tp, fp, fn), "predicted_fraud_count": tp + fp})
 
 
+def with_usable_scores(scored: DataFrame) -> DataFrame:
+    """(label, score) of all rows; a null or NaN score becomes the lowest, which no threshold predicts."""
+    score = F.col("score").cast("double")
+    unusable = score.isNull() | F.isnan(score)
+    return scored.select("label", F.when(unusable, float("-inf")).otherwise(score).alias("score"))
+
+
 def threshold_sweep(
     scored: DataFrame,
     thresholds: Sequence[float] | None = None,
@@ -66,7 +73,7 @@ def threshold_sweep(
     """
     spark = scored.sparkSession
     grid = sorted(set(grid_values() if thresholds is None else map(float, thresholds)))
-    placed = ranks.with_range(scored.select("label", "score"), F.col("score"), grid)
+    placed = ranks.with_range(with_usable_scores(scored), F.col("score"), grid)
     per_interval = placed.groupBy(ranks.RANGE).agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
@@ -120,7 +127,8 @@ def top_thresholds(sweep: DataFrame, n: int = 10) -> DataFrame:
 
 
 def confusion_at(scored: DataFrame, threshold: float | Column) -> DataFrame:
-    """Confusion counts and rates at one threshold, from one pass."""
+    """Confusion counts and rates at one threshold, from one pass. A null or NaN score is no hit."""
+    scored = with_usable_scores(scored)
     hit = F.col("score") >= as_column(threshold)
     positive, negative = F.col("label") == 1, F.col("label") == 0
     counts = scored.agg(
@@ -138,11 +146,12 @@ def score_counts(scored: DataFrame, rows_per_range: int = ranks.ROWS_PER_RANGE)
     """Distinct scores, highest first, with the positives and negatives at and above each.
 
     Rows are counted per score before any ordering, so heavy ties cost nothing, and the running
-    counts go range by range (see ``ranks``).
+    counts go range by range (see ``ranks``). Null and NaN scores count as the lowest score.
     """
+    scored = with_usable_scores(scored)
     key = -F.col("score")
     ends = ranks.range_ends(scored, key, rows_per_range)
-    placed = ranks.with_range(scored.select("label", "score"), key, ends)
+    placed = ranks.with_range(scored, key, ends)
     counts = [
         F.count_if(F.col("label") == 1).alias("pos"),
         F.count_if(F.col("label") == 0).alias("neg"),

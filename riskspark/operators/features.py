@@ -22,15 +22,6 @@ def require_columns(df: DataFrame, names: list[str], what: str) -> DataFrame:
     return df
 
 
-def amount_stats(df: DataFrame) -> dict[str, float]:
-    """Mean and population deviation of the amount as plain numbers (one small aggregate job)."""
-    row = df.agg(
-        F.coalesce(F.avg("Amount"), F.lit(0.0)).alias("amount_mean"),
-        F.coalesce(F.stddev_pop("Amount"), F.lit(0.0)).alias("amount_std"),
-    ).first()
-    return row.asDict()
-
-
 def add_features(df: DataFrame, stats: Mapping[str, float] | None = None) -> DataFrame:
     """Add the four engineered columns.
 
@@ -158,7 +149,7 @@ def dataset_statistics(df: DataFrame, approximate_median: bool = False) -> DataF
     if approximate_median:
         median = df.agg(F.percentile_approx(amount, 0.5).alias("value")).select("value").scalar()
     else:
-        median = F.lit(exact_quantiles(df, "Amount", [0.5]).get(0, [0.0])[0])
+        median = exact_quantiles(df, "Amount", [0.5]).select(F.col("quantiles")[0].alias("value")).scalar()
 
     def or_zero(value: Column) -> Column:
         return F.coalesce(value, F.lit(0.0))

@@ -23,8 +23,8 @@ NODE_SCHEMA = (
 
 
 def contamination(fraud_rate: float) -> float:
-    """Expected anomaly share, kept between 0.0005 and 0.05. It shifts raw scores only, so the
-    min-max scaled score does not depend on it."""
+    """Expected anomaly share, kept between 0.0005 and 0.05, recorded with the run. It shifts raw scores only, so
+    the min-max scaled score does not depend on it."""
     return min(max(fraud_rate, 0.0005), 0.05)
 
 
@@ -64,13 +64,16 @@ def grow_tree(data: np.ndarray, rng: np.random.Generator) -> pd.DataFrame:
 
 @dataclass
 class IsolationModel:
-    """Scaler and forest. The forest has at most ``trees * 2 * TREE_ROWS`` nodes, whatever the size
-    of the training table, so it can be sent to every executor."""
+    """Scaler, forest and score bounds. The forest has at most ``trees * 2 * rows_per_tree`` nodes, whatever the
+    size of the training table, so it can be sent to every executor. The bounds are those of the rows they were
+    frozen on, so a row's score does not depend on the rows it is scored with."""
 
     features: list[str]
     scaling: list[tuple[float, float]]
     nodes: pd.DataFrame
     rows_per_tree: int
+    low: float = 0.0
+    high: float = 1.0
 
     def raw_score(self, spark: SparkSession) -> Column:
         """Anomaly score of a row, higher for rows isolated sooner."""
@@ -104,6 +107,15 @@ class IsolationModel:
     def transform(self, df: DataFrame, output: str = "raw_score") -> DataFrame:
         return df.withColumn(output, self.raw_score(df.sparkSession))
 
+    def freeze_bounds(self, raw: DataFrame, column: str = "raw_score") -> None:
+        """Keep the least and the greatest of already computed raw scores."""
+        low, high = raw.agg(F.min(column), F.max(column)).first()
+        self.low, self.high = float(low or 0.0), float(high or 0.0)
+
+    def score(self, df: DataFrame, output: str = "score") -> DataFrame:
+        """Anomaly scores between the frozen bounds."""
+        return scale_between(self.transform(df), self.low, self.high, "raw_score", output).drop("raw_score")
+
     def scaler_table(self, spark: SparkSession) -> DataFrame:
         rows = [(f, mean, std) for f, (mean, std) in zip(self.features, self.scaling, strict=True)]
         return spark.createDataFrame(rows, "feature string, mean double, std double")
@@ -144,25 +156,24 @@ def fit_isolation_forest(
     trees: int = TREES,
     seed: int = 42,
     key: Sequence[str] | None = None,
+    rows_per_tree: int = TREE_ROWS,
 ) -> IsolationModel:
     """Fit on rows of the negative class.
 
-    Each tree takes 256 rows by its own hash of the row. Only a random share of a large table,
-    about twice the rows all trees need together, is offered to the trees, so the shuffle is small
-    and does not grow with the table.
+    Each tree takes ``rows_per_tree`` rows by its own hash of the row (256 is the algorithm's usual bound). A random
+    share, about twice the rows all trees need together, is offered to the trees, so the shuffle is small and does not
+    grow with the table.
     """
     features = list(features)
     scaling = fit_scaling(negatives, features)
     rows = negatives.count()
-    size = min(TREE_ROWS, rows)
-    hashed = negatives.withColumn("_row", row_hash(negatives, seed, key))
-    wanted = 2 * trees * TREE_ROWS
-    if rows > wanted:
-        unit = F.shiftrightunsigned(F.xxhash64("_row", F.lit("pool")), 11) / F.lit(float(2**53))
-        hashed = hashed.filter(unit < wanted / rows)
+    size = min(rows_per_tree, rows)
+    wanted = 2 * trees * rows_per_tree
+    unit = F.shiftrightunsigned(F.xxhash64("_row", F.lit("pool")), 11) / F.lit(float(2**53))
+    hashed = negatives.withColumn("_row", row_hash(negatives, seed, key)).filter(unit < wanted / max(rows, 1))
     scaled = hashed.select("_row", scaled_array(features, scaling).alias("x"))
     # A row competes for a tree only with a low hash; twice the needed rows per tree come through.
-    share = min(1.0, 2.0 * TREE_ROWS / max(min(rows, wanted), 1) + 0.02)
+    share = min(1.0, 2.0 * rows_per_tree / max(min(rows, wanted), 1) + 0.02)
 
     def own_hash(tree: Column) -> Column:
         return F.xxhash64("_row", tree, F.lit(seed))

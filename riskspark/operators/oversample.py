@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from riskspark import schema as S
 from riskspark.operators import ranks
-from riskspark.operators.sampling import HASH, row_hash
+from riskspark.operators.sampling import HASH, row_hash, take_lowest
 
-EXACT_LIMIT_BYTES = 64 * 1024 * 1024
 CHUNK_ROWS = 2_000
 BLOCK_ROWS = 512
+POINT = f"{HASH} long, x array<double>, n long, extra long"
+FOUND = f"{POINT}, near array<array<double>>"
 
 
 def nearest(points: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
@@ -33,33 +34,45 @@ def nearest(points: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) ->
     return result
 
 
-def _neighbours_broadcast(minority: DataFrame, k: int) -> DataFrame:
-    """Exact neighbours. The minority is small enough to be sent to every executor (size checked by
-    the caller); each task compares its own rows with it and emits k neighbours per row."""
-    spark = minority.sparkSession
-    points = np.array([row["x"] for row in minority.orderBy(HASH, "x").select("x").collect()], dtype=float)
-    shared = spark.sparkContext.broadcast(points)
+def nearest_with_copies(data: np.ndarray, counts: np.ndarray, own: np.ndarray, k: int) -> list[list[np.ndarray]]:
+    """The k nearest rows of each query point, where a point stands for ``counts`` equal rows.
+
+    A point's own copies come first, at no distance; then other points, each as often as it has rows.
+    """
+    m = len(data)
+    near = nearest(data, data[own], own, min(k, m - 1)) if m > 1 else np.empty((len(own), 0), dtype=int)
+    out = []
+    for point, others in zip(own.tolist(), near.tolist()):
+        chosen = [point] * min(int(counts[point]) - 1, k)
+        for other in others:
+            if len(chosen) >= k:
+                break
+            chosen += [other] * min(int(counts[other]), k - len(chosen))
+        out.append([data[j] for j in chosen or [point]])
+    return out
+
+
+def _exact_neighbours(points: DataFrame, k: int) -> DataFrame:
+    """Neighbours among all points, which are sent to every task: for a minority known to be small."""
+    spark = points.sparkSession
+    held = points.select("x", "n").toArrow()
+    shared = spark.sparkContext.broadcast((np.array(held["x"].to_pylist(), dtype=float), held["n"].to_numpy()))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        data = shared.value
+        data, counts = shared.value
+        place = {row.tobytes(): i for i, row in enumerate(data)}
         for pdf in batches:
-            own = pdf["id"].to_numpy()
-            near = nearest(data, data[own], own, k)
-            yield pd.DataFrame(
-                {"index": own, "x": list(data[own]), "near": [list(data[rows]) for rows in near]}
-            )
-
-    tasks = max(1, min(len(points) // BLOCK_ROWS, 10 * spark.sparkContext.defaultParallelism))
-    return spark.range(0, len(points), 1, tasks).mapInPandas(
-        find, "index bigint, x array<double>, near array<array<double>>"
-    )
+            own = np.array([place[np.asarray(x, dtype=float).tobytes()] for x in pdf["x"]], dtype=int)
+            yield pdf.assign(near=[[list(x) for x in near] for near in nearest_with_copies(data, counts, own, k)])
 
+    return points.mapInPandas(find, FOUND)
 
-def chunked(minority: DataFrame, rows: int, dimensions: int, chunk_rows: int, seed: int) -> DataFrame:
-    """Group near rows into chunks of bounded size.
 
-    A row's cell is the sides it takes of random hyperplanes through the data's middle. A cell with
-    more than ``chunk_rows`` rows, such as one made of copies, is cut further by row hash.
+def chunked(points: DataFrame, rows: int, dimensions: int, chunk_rows: int, seed: int) -> DataFrame:
+    """Group near points into chunks of bounded size.
+
+    A point's cell is the sides it takes of random hyperplanes through the data's middle. A cell with
+    more than ``chunk_rows`` points is cut further by their hashes.
     """
     planes = max(1, math.ceil(math.log2(max(2.0, rows / chunk_rows))))
     normals = np.random.default_rng(seed).normal(size=(planes, dimensions))
@@ -68,42 +81,26 @@ def chunked(minority: DataFrame, rows: int, dimensions: int, chunk_rows: int, se
         return F.expr(" + ".join(f"x[{i}] * {float(w)!r}D" for i, w in enumerate(normal)))
 
     names = [f"_p{i}" for i in range(planes)]
-    projected = minority.withColumns({name: side(n) for name, n in zip(names, normals, strict=True)})
+    projected = points.withColumns({name: side(n) for name, n in zip(names, normals, strict=True)})
     sample = projected.select(*names).sample(min(1.0, 100_000 / rows), seed=seed)
     middle = sample.agg(*[F.percentile_approx(name, 0.5).alias(name) for name in names]).first()
     cell = F.concat(*[F.when(F.col(name) > F.lit(middle[name] or 0.0), "1").otherwise("0") for name in names])
     celled = projected.withColumn("cell", cell).drop(*names)
     sizes = celled.groupBy("cell").agg(F.count("*").alias("cell_rows"))
-    parts = F.ceil(F.col("cell_rows") / chunk_rows)
-    # Exact copies share a row hash but not an index, so they cannot fill one chunk either.
-    spread = F.pmod(F.xxhash64("index", F.lit(seed)), parts)
-    return celled.join(F.broadcast(sizes) if planes <= 16 else sizes, "cell").withColumn("part", spread)
+    spread = F.pmod(F.xxhash64(HASH, F.lit(seed)), F.ceil(F.col("cell_rows") / chunk_rows))
+    return celled.join(sizes, "cell").withColumn("part", spread)
 
 
-def _neighbours_chunked(minority: DataFrame, rows: int, dimensions: int, k: int, seed: int) -> DataFrame:
-    """Neighbours within chunks of near rows, for a minority too large to send around."""
+def _chunk_neighbours(points: DataFrame, rows: int, dimensions: int, k: int, chunk_rows: int, seed: int) -> DataFrame:
+    """Neighbours within chunks of near points, for a minority of any size."""
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         data = np.array(pdf["x"].tolist(), dtype=float)
-        own = np.arange(len(data))
-        if len(data) == 1:
-            near = np.zeros((1, 1), dtype=int)
-        else:
-            near = nearest(data, data, own, min(k, len(data) - 1))
-        return pd.DataFrame(
-            {"index": pdf["index"], "x": list(data), "near": [list(data[rows]) for rows in near]}
-        )
-
-    key = F.shiftrightunsigned(F.col(HASH), 32)
-    ends = ranks.range_ends(minority, key)
-    placed = ranks.with_range(minority, key, ends).withColumn("_one", F.lit(1).cast("long"))
-    totals = placed.groupBy(ranks.RANGE).agg(F.count("*").alias("_one")) if ends else None
-    numbered = ranks.with_running_sums(placed, totals, [key, F.col(HASH)], {"_one": "_number"})
-    numbered = numbered.select(HASH, "x", (F.col("_number") - 1).alias("index"))
-    chunks = chunked(numbered, rows, dimensions, CHUNK_ROWS, seed)
-    return chunks.select("cell", "part", "index", "x").groupBy("cell", "part").applyInPandas(
-        find, "index bigint, x array<double>, near array<array<double>>"
-    )
+        near = nearest_with_copies(data, pdf["n"].to_numpy(), np.arange(len(data)), k)
+        return pdf[[HASH, "x", "n", "extra"]].assign(near=[[list(x) for x in own] for own in near])
+
+    chunks = chunked(points, rows, dimensions, chunk_rows, seed)
+    return chunks.select("cell", "part", HASH, "x", "n", "extra").groupBy("cell", "part").applyInPandas(find, FOUND)
 
 
 def oversample(
@@ -112,13 +109,20 @@ def oversample(
     label: str = S.TARGET,
     neighbours: int = 5,
     seed: int = 42,
-    exact_limit_bytes: int = EXACT_LIMIT_BYTES,
+    method: str = "chunked",
+    chunk_rows: int = CHUNK_ROWS,
 ) -> tuple[DataFrame, dict[str, object]]:
     """Add interpolated minority rows until both classes have the same size.
 
     Returns the enlarged rows (label and features) and a record of what was done. Each minority row
     gets the same number of synthetic rows, the remainder going to the first rows in hash order.
+
+    Neighbours are searched within chunks of ``chunk_rows`` near points ("chunked"), where they are near, not always
+    nearest. The method "exact" compares with all points and is for a minority that the caller knows to be small.
+    Equal rows are one point that is counted, so a mass of copies is one row of the search.
     """
+    if method not in ("chunked", "exact"):
+        raise ValueError(f"method must be chunked or exact, not {method!r}")
     sizes = train.agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     ).first()
@@ -127,11 +131,12 @@ def oversample(
     if pos < 2:
         return base, {
             "enabled": False,
-            "reason": "Need at least two fraud rows for SMOTE.",
+            "reason": "There is no second positive row to interpolate with.",
             "minority_count_before": pos,
         }
     small, few, many = (1, pos, neg) if pos <= neg else (0, neg, pos)
     k = min(neighbours, few - 1)
+    # The keys of the stored record.
     info = {
         "enabled": True,
         "sampling_strategy": "auto",
@@ -146,16 +151,20 @@ def oversample(
     vector = F.expr(f"array({', '.join(f'CAST(`{name}` AS double)' for name in features)})")
     minority = base.filter(F.col(label) == small)
     minority = minority.select(row_hash(minority, seed, list(features)).alias(HASH), vector.alias("x"))
-    if few * len(features) * 8 <= exact_limit_bytes:
-        found = _neighbours_broadcast(minority, k)
-    else:
-        found = _neighbours_chunked(minority, few, len(features), k, seed)
     each, rest = divmod(need, few)
-    copies = F.lit(each) + F.when(F.col("index") < rest, 1).otherwise(0)
-    found = found.withColumn("_copies", copies.cast("long"))
+    minority = minority.withColumn("_all", F.lit(0))
+    takes = minority.sparkSession.range(1).select(F.lit(0).alias("_all"), F.lit(rest).alias("take"))
+    flagged = take_lowest(minority, takes, "_all", HASH)
+    points = flagged.groupBy(HASH, "x").agg(F.count("*").alias("n"), F.count_if("_taken").alias("extra"))
+    points = ranks.work_table(points, "minority")
+    if method == "exact":
+        found = _exact_neighbours(points, k)
+    else:
+        found = _chunk_neighbours(points, points.count(), len(features), k, chunk_rows, seed)
+    found = found.withColumn("_copies", F.col("n") * each + F.col("extra"))
     drawn = ranks.expand_copies(found, "_copies", "_copy")
-    draw = F.xxhash64(F.lit(seed), "index", "_copy")
-    step = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "index", "_copy"), 11) / F.lit(float(2**53))
+    draw = F.xxhash64(F.lit(seed), HASH, "x", "_copy")
+    step = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), HASH, "x", "_copy"), 11) / F.lit(float(2**53))
     drawn = drawn.select(
         "x", F.col("near")[F.pmod(draw, F.size("near")).cast("int")].alias("to"), step.alias("u")
     )

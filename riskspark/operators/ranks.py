@@ -12,14 +12,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskspark.session import shared_folder
+
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 10_000
 SAMPLES_PER_RANGE = 100
 COPIES_PER_TASK_ROW = 10_000
 
@@ -32,18 +32,18 @@ def range_ends(
 ) -> list[float]:
     """Sampled range ends of a numeric key, repeated where one value fills whole ranges.
 
-    Empty when all rows fit one range. ``rows`` saves the counting where the caller knows it. At most ``MAX_RANGES * SAMPLES_PER_RANGE`` sampled keys meet
-    in one task, however large the input is.
+    Empty when all rows fit one range. ``rows`` saves the counting where the caller knows it. The number of ranges
+    grows with the rows, and so does the accuracy of their ends.
     """
     keys = df.select(key.cast("double").alias("k")).filter("k IS NOT NULL")
     rows = keys.count() if rows is None else rows
-    ranges = min(MAX_RANGES, math.ceil(rows / rows_per_range))
+    ranges = math.ceil(rows / rows_per_range)
     if ranges <= 1:
         return []
     fraction = min(1.0, SAMPLES_PER_RANGE * ranges / rows)
     sample = keys.sample(fraction, seed=7) if fraction < 1.0 else keys
     shares = [i / ranges for i in range(1, ranges)]
-    ends = sample.agg(F.percentile_approx("k", shares, 10_000).alias("ends")).first()["ends"]
+    ends = sample.agg(F.percentile_approx("k", shares, max(10_000, 10 * ranges)).alias("ends")).first()["ends"]
     return sorted(ends or [])
 
 
@@ -63,7 +63,7 @@ def with_range(df: DataFrame, key: Column, ends: Sequence[float]) -> DataFrame:
 
 
 def before_range(totals: DataFrame, sums: Sequence[str], by: Sequence[str] = (RANGE,)) -> DataFrame:
-    """Totals of all earlier ranges. The input has one row per range: ``MAX_RANGES`` at most."""
+    """Totals of all earlier ranges. The input has one row per range, a millionth of the rows or so."""
     earlier = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(
         *by, *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_before_{name}") for name in sums]
@@ -116,64 +116,50 @@ def expand_copies(df: DataFrame, copies: str, position: str) -> DataFrame:
     return few.unionByName(many)
 
 
-@dataclass(frozen=True)
-class Found:
-    """The value at a 0-based rank of a group, the rows below it and the rows equal to it."""
-
-    group: object
-    rank: int
-    value: float
-    below: int
-    equal: int
-
+def work_table(df: DataFrame, purpose: str) -> DataFrame:
+    """A small result that later steps read more than once, kept in the shared folder."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-Ranks = Mapping[object, Sequence[int]] | Callable[[int], Sequence[int]]
 
-
-def order_statistics(
+def ranked_values(
     df: DataFrame,
     value: str,
-    ranks: Ranks,
+    asked: Callable[[DataFrame], DataFrame],
     by: str | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
     total: int | None = None,
-) -> list[Found]:
-    """Values at given ranks of each group, exact, for a small number of groups.
+    range_of: Column | None = None,
+) -> DataFrame:
+    """g, n, rank, value, below, equal: the values at asked ranks of each group, exact, for any number of groups.
 
-    ``ranks`` maps a group to its ranks, or gives the ranks for a group size; without ``by`` the one
-    group is 0. The data is passed twice: rows are counted per group and key range, then only the
-    ranges that hold an asked rank are counted value by value. What comes to the driver is one row
-    per group and range, then one per asked rank. Null values and null groups are not counted.
+    ``asked`` turns the table of group sizes (g, n) into (g, ranks), an array of 0-based ranks; without ``by`` the one
+    group is 0. The data is passed twice: rows are counted per group and key range, then only the ranges that hold
+    an asked rank are counted value by value. Counts, ranks and results stay tables. ``range_of`` is an ascending
+    range number of the value, for values whose spread is known, such as hashes; else ranges are sampled.
+    Null values and null groups are not counted.
     """
     group = F.col(by) if by else F.lit(0)
-    rows = df.select(group.alias("g"), F.col(value).alias("value"))
+    rows = df.select(group.alias("g"), F.col(value).alias("value"), *([range_of.alias(RANGE)] if range_of is not None else []))
     rows = rows.filter(F.col("g").isNotNull() & F.col("value").isNotNull())
-    ends = range_ends(rows, F.col("value"), rows_per_range, total)
-    ranged = with_range(rows, F.col("value"), ends)
-    targets = []
-    sizes: dict[object, list[tuple[int, int]]] = {}
-    for row in ranged.groupBy("g", RANGE).agg(F.count("*").alias("n")).collect():
-        sizes.setdefault(row["g"], []).append((row[RANGE], row["n"]))
-    for g, parts in sizes.items():
-        asked = ranks(sum(n for _, n in parts)) if callable(ranks) else ranks.get(g, ())
-        start = 0
-        for number, n in sorted(parts):
-            targets += [(g, number, start, int(r)) for r in set(asked) if start <= r < start + n]
-            start += n
-    if not targets:
-        return []
-    kind = rows.schema["g"].dataType.simpleString()
-    wanted = df.sparkSession.createDataFrame(targets, f"g {kind}, {RANGE} int, start bigint, rank bigint")
-    if ends:
-        ranged = ranged.join(F.broadcast(wanted.select("g", RANGE).distinct()), ["g", RANGE], "left_semi")
+    ranged = rows
+    if range_of is None:
+        ranged = with_range(rows, F.col("value"), range_ends(rows, F.col("value"), rows_per_range, total))
+    sizes = work_table(ranged.groupBy("g", RANGE).agg(F.count("*").alias("rows")), "range-sizes")
+    in_order = Window.partitionBy("g").orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.withColumn("start", F.coalesce(F.sum("rows").over(in_order), F.lit(0)))
+    wanted = asked(sizes.groupBy("g").agg(F.sum("rows").alias("n"))).select("g", "ranks")
+    whole = sizes.groupBy("g").agg(F.sum("rows").alias("n"))
+    slots = placed.join(wanted, "g").join(whole, "g")
+    inside = F.filter("ranks", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("rows")))
+    slots = slots.withColumn("ranks", F.array_sort(F.array_distinct(inside))).filter(F.size("ranks") > 0)
+    slots = work_table(slots.select("g", RANGE, "n", "start", "ranks"), "range-slots")
+    counted = ranged.join(slots, ["g", RANGE]).groupBy("g", RANGE, "n", "start", "ranks", "value").agg(F.count("*").alias("equal"))
     earlier = Window.partitionBy("g", RANGE).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    counted = ranged.groupBy("g", RANGE, "value").agg(F.count("*").alias("equal"))
-    counted = counted.withColumn("inside", F.coalesce(F.sum("equal").over(earlier), F.lit(0)))
-    below = F.col("start") + F.col("inside")
-    hit = (F.col("rank") >= below) & (F.col("rank") < below + F.col("equal"))
-    found = counted.join(F.broadcast(wanted), ["g", RANGE]).filter(hit)
-    found = found.select("g", "rank", "value", below.alias("below"), "equal")
-    return [Found(*row) for row in found.collect()]
+    counted = counted.withColumn("below", F.col("start") + F.coalesce(F.sum("equal").over(earlier), F.lit(0)))
+    hit = F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("equal")))
+    return counted.select("g", "n", F.explode(hit).alias("rank"), "value", "below", "equal")
 
 
 def exact_quantiles(
@@ -183,25 +169,21 @@ def exact_quantiles(
     by: str | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
     total: int | None = None,
-) -> dict[object, list[float]]:
-    """Exact quantiles of each group, with linear interpolation between neighbours.
-
-    Meant for a small number of groups; per-merchant medians use counted scores instead.
-    """
+) -> DataFrame:
+    """g, quantiles (array in the order of shares): exact quantiles of each group, with linear interpolation."""
 
-    def around(n: int) -> list[int]:
-        places = [math.floor(share * (n - 1)) for share in shares]
-        # The last rank comes along: it tells the size of the group.
-        return [*places, *[min(place + 1, n - 1) for place in places], n - 1]
+    def around(sizes: DataFrame) -> DataFrame:
+        places = [F.floor((F.col("n") - 1) * F.lit(share)) for share in shares]
+        above = [F.least(place + 1, F.col("n") - 1) for place in places]
+        return sizes.select("g", F.array(*places, *above).alias("ranks"))
 
-    at: dict[object, dict[int, float]] = {}
-    for found in order_statistics(df, value, around, by, rows_per_range, total):
-        at.setdefault(found.group, {})[found.rank] = found.value
-    return {g: [_interpolated(ranked, share) for share in shares] for g, ranked in at.items()}
+    found = ranked_values(df, value, around, by, rows_per_range, total)
+    per_group = found.groupBy("g", "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
 
+    def interpolated(share: float) -> Column:
+        place = (F.col("n") - 1) * F.lit(share)
+        low = F.col("at")[F.floor(place)].cast("double")
+        high = F.col("at")[F.least(F.floor(place) + 1, F.col("n") - 1)].cast("double")
+        return low + (high - low) * (place - F.floor(place))
 
-def _interpolated(ranked: Mapping[int, float], share: float) -> float:
-    last = max(ranked)
-    place = math.floor(share * last)
-    low, high = ranked[place], ranked[min(place + 1, last)]
-    return low + (high - low) * (share * last - place)
+    return per_group.select("g", F.array(*[interpolated(share) for share in shares]).alias("quantiles"))

@@ -245,11 +245,11 @@ def highest_risk(df: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def cumulative_amount(df: DataFrame, rows_per_range: int = ranks.ROWS_PER_RANGE) -> DataFrame:
-    """Running alerted amount by event time, rows without a time dropped.
+    """Running alerted amount by (event time, transaction id), rows without a time dropped.
 
-    Equal times are ordered by a hash of the transaction id, so a moment shared by very many alerts
-    is cut into several ranges as well. Exact copies of one alert at such a moment are counted
-    first and repeated last, which keeps a mass of copies out of any one task.
+    Rows are cut into time ranges by a sample. A moment that holds many alerts gets ranges of its own, cut by ids that
+    were sampled at that moment; the cuts are a small table that is joined by the moment. Exact copies of one alert at
+    such a moment are counted first and repeated last, which keeps a mass of copies out of any one task.
     """
     rows = df.withColumns(
         {"_event_time": times.event_time(df), "Amount": risk.finite(F.col("Amount"))}
@@ -259,19 +259,30 @@ def cumulative_amount(df: DataFrame, rows_per_range: int = ranks.ROWS_PER_RANGE)
     shares = {end: ends.count(end) for end in set(ends) if ends.count(end) > 1}
     # A crowded moment gets a range of its own: from the moment up to the next microsecond.
     placed = ranks.with_range(rows, moment, sorted(set(ends) | {end + 1 for end in shares}))
-    tie = F.shiftrightunsigned(F.xxhash64("transaction_id"), 32)
-    order = [F.col("_event_time"), tie, F.col("transaction_id")]
+    order = [F.col("_event_time"), F.col("transaction_id")]
     if not shares:
         totals = placed.groupBy(ranks.RANGE).agg(F.sum("Amount").alias("Amount")) if ends else None
         return ranks.with_running_sums(placed, totals, order, {"Amount": "cum_amount"}).drop(ranks.RANGE)
 
-    crowded = F.create_map(*[F.lit(x) for pair in shares.items() for x in (pair[0], pair[1] + 1)])
-    parts = F.coalesce(F.try_element_at(crowded, moment), F.lit(1))
-    placed = placed.withColumn("_part", F.floor(tie * parts / F.lit(2.0**32)).cast("int"))
-    is_crowded = parts > 1
-    copies = placed.filter(is_crowded).groupBy(*placed.columns).agg(F.count("*").alias("_copies"))
-    counted = placed.filter(~is_crowded).withColumn("_copies", F.lit(1).cast("long")).unionByName(copies)
-    counted = counted.withColumn("_weight", F.col("Amount") * F.col("_copies"))
+    spark = df.sparkSession
+    wanted = spark.createDataFrame([(end, n + 1) for end, n in shares.items()], "_moment double, _parts int")
+    crowded = placed.withColumn("_moment", moment).join(F.broadcast(wanted), "_moment")
+    # About SAMPLES_PER_RANGE ids per part are drawn; a part's cut is the id at its share of them.
+    share = min(1.0, ranks.SAMPLES_PER_RANGE / rows_per_range)
+    drawn = crowded.select("_moment", "_parts", "transaction_id").sample(share, seed=11) if share < 1.0 else crowded
+    ids = drawn.groupBy("_moment", "_parts").agg(F.sort_array(F.collect_list("transaction_id")).alias("ids"))
+    at = F.transform(
+        F.sequence(F.lit(1), F.col("_parts") - 1),
+        lambda i: F.get("ids", F.floor(i * F.size("ids") / F.col("_parts")).cast("int")),
+    )
+    cuts = ids.select("_moment", F.array_distinct(at).alias("_cuts"))
+    parted = placed.withColumn("_moment", moment).join(F.broadcast(cuts), "_moment", "left")
+    part = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= F.col("transaction_id"))), F.lit(0))
+    placed = parted.withColumns({"_part": part, "_crowded": F.col("_cuts").isNotNull()}).drop("_moment", "_cuts")
+    keys = [c for c in placed.columns if c != "_crowded"]
+    copies = placed.filter("_crowded").groupBy(*keys).agg(F.count("*").alias("_copies"))
+    alone = placed.filter("NOT _crowded").select(*keys, F.lit(1).cast("long").alias("_copies"))
+    counted = alone.unionByName(copies).withColumn("_weight", F.col("Amount") * F.col("_copies"))
     totals = placed.groupBy(ranks.RANGE, "_part").agg(F.sum("Amount").alias("_weight"))
     summed = ranks.with_running_sums(
         counted, totals, order, {"_weight": "_through"}, by=(ranks.RANGE, "_part")

@@ -6,8 +6,7 @@ every recomputation of a lost partition.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,85 +18,76 @@ from riskspark.functions import risk
 from riskspark.operators import ranks
 
 HASH = "_hash"
-MAX_STRATA = 1_000
+HASH_BITS, BUCKET_BITS = 60, 16
 TINY_AMOUNT = 1.0
 
 
 def row_hash(df: DataFrame, seed: int, key: Sequence[str] | None = None) -> Column:
-    """Seeded hash of the key columns, by default of the whole row."""
-    return F.xxhash64(F.lit(seed), *[F.col(name) for name in (key or df.columns)])
+    """Seeded hash of the key columns, by default of the whole row: 60 bits of an MD5 over their texts.
 
-
-def per_group(values: Mapping[object, object], group: str) -> Column:
-    """The group's number from a small table of constants; null for other groups."""
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col(group)]
+    Any engine that has MD5 draws the same rows.
+    """
+    texts = [F.coalesce(F.col(name).cast("string"), F.lit("")) for name in (key or df.columns)]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *texts))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def take_lowest(
-    df: DataFrame, takes: Mapping[object, int], stratum: str, hash_column: str, total: int | None = None
-) -> DataFrame:
-    """Add ``_taken``: true for exactly ``takes[s]`` rows of each stratum, lowest hash first.
+def take_lowest(df: DataFrame, takes: DataFrame, stratum: str, hash_column: str) -> DataFrame:
+    """Add ``_taken``: true for exactly as many rows of each stratum as ``takes`` (stratum, take) says, lowest hash first.
 
-    The cut is found by rank selection, so no stratum is ever sorted in one task. When the cut falls
-    inside a group of exact copies the copies are counted, and as many of them as needed are taken.
+    The cut is found by rank selection over equal buckets of the hash, so no stratum is ever sorted in one task. When
+    the cut falls inside a group of exact copies the copies are counted, and as many of them as needed are taken.
     """
-    if len(takes) > MAX_STRATA:
-        raise ValueError(f"{len(takes)} strata; at most {MAX_STRATA} are supported")
-    wanted = {s: n for s, n in takes.items() if n > 0}
-    if not wanted:
-        return df.withColumn("_taken", F.lit(False))
-    asked = {s: [n - 1] for s, n in wanted.items()}
-    cuts = ranks.order_statistics(df, hash_column, asked, stratum, total=total)
+    wanted = takes.filter("take > 0").select(F.col(stratum).alias("g"), F.array(F.col("take").cast("long") - 1).alias("ranks"))
+    bucket = F.shiftright(F.col(hash_column), HASH_BITS - BUCKET_BITS).cast("int")
+    cuts = ranks.ranked_values(df, hash_column, lambda sizes: sizes.join(wanted, "g"), stratum, range_of=bucket)
     # Per stratum: rows up to this hash are taken; a cut inside copies takes the rows before them.
-    through, torn = {}, {}
-    for cut in cuts:
-        need = wanted[cut.group] - cut.below
-        through[cut.group] = cut.value if need == cut.equal else cut.value - 1
-        if need < cut.equal:
-            torn[cut.group] = (cut.value, need)
-    taken = F.col(hash_column) <= per_group(through, stratum)
-    marked = df.withColumn("_taken", F.coalesce(taken, F.lit(False)))
-    if not torn:
-        return marked
-    on_cut = F.coalesce(
-        F.col(hash_column) == per_group({s: value for s, (value, _) in torn.items()}, stratum), F.lit(False)
+    need = F.col("rank") + 1 - F.col("below")
+    torn = need < F.col("equal")
+    cuts = ranks.work_table(
+        cuts.select(
+            F.col("g").alias(stratum),
+            F.when(torn, F.col("value") - 1).otherwise(F.col("value")).alias("_through"),
+            F.when(torn, F.col("value")).alias("_torn"),
+            need.alias("_need"),
+        ),
+        "cuts",
     )
-    need = per_group({s: count for s, (_, count) in torn.items()}, stratum)
+    marked = df.join(cuts, stratum, "left").withColumn("_taken", F.coalesce(F.col(hash_column) <= F.col("_through"), F.lit(False)))
+    if cuts.filter("_torn IS NOT NULL").isEmpty():
+        return marked.select(*df.columns, "_taken")
+    on_cut = F.coalesce(F.col(hash_column) == F.col("_torn"), F.lit(False))
     # Rows with one hash are copies of one another, so few distinct rows are left to order here.
-    copies = marked.filter(on_cut).groupBy(*marked.columns).agg(F.count("*").alias("_copies"))
+    copies = marked.filter(on_cut).groupBy(*df.columns, "_need").agg(F.count("*").alias("_copies"))
     through = F.sum("_copies").over(
         Window.partitionBy(stratum)
         .orderBy(F.xxhash64(*df.columns))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    copies = copies.withColumn("_through", through)
-    spread = ranks.expand_copies(copies, "_copies", "_copy")
+    spread = ranks.expand_copies(copies.withColumn("_through", through), "_copies", "_copy")
     place = F.col("_through") - F.col("_copies") + F.col("_copy")
-    chosen = spread.withColumn("_taken", place <= need).select(*marked.columns)
-    return marked.filter(~on_cut).unionByName(chosen)
+    chosen = spread.withColumn("_taken", place <= F.col("_need")).select(*df.columns, "_taken")
+    return marked.filter(~on_cut).select(*df.columns, "_taken").unionByName(chosen)
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
-    """At most n rows without replacement."""
+    """At most n rows without replacement: those with the lowest hashes."""
     if n <= 0:
         return df.limit(0)
-    hashed = df.withColumn(HASH, row_hash(df, seed, key))
-    if n <= ranks.COPIES_PER_TASK_ROW:
-        return hashed.orderBy(HASH).limit(n).drop(HASH)
-    rows = df.count()
-    whole = hashed.withColumn("_stratum", F.lit(0).cast("int"))
-    return take_lowest(whole, {0: min(n, rows)}, "_stratum", HASH, rows).filter("_taken").select(*df.columns)
+    hashed = df.withColumn(HASH, row_hash(df, seed, key)).withColumn("_stratum", F.lit(0))
+    takes = hashed.groupBy("_stratum").agg(F.least(F.count("*"), F.lit(n)).alias("take"))
+    return take_lowest(hashed, takes, "_stratum", HASH).filter("_taken").select(*df.columns)
 
 
-def share_out(sizes: Mapping[object, int], total: int) -> dict[object, int]:
-    """Split ``total`` over strata in proportion to size: whole parts, then largest remainders."""
-    everything = sum(sizes.values())
-    exact = {s: n * total / everything for s, n in sizes.items()}
-    parts = {s: math.floor(x) for s, x in exact.items()}
-    by_remainder = sorted(exact, key=lambda s: (parts[s] - exact[s], str(s)))
-    for s in by_remainder[: total - sum(parts.values())]:
-        parts[s] += 1
-    return parts
+def share_out(sizes: DataFrame, stratum: str, share: float) -> DataFrame:
+    """(stratum, take): that share of all rows (n), split over strata in proportion to size: whole parts, then
+    largest remainders. The input has one row per stratum."""
+    everything = Window.partitionBy(F.lit(0))
+    total = F.ceil(F.round(F.sum("n").over(everything) * F.lit(share), 9))
+    parts = sizes.withColumn("_exact", F.col("n") * total / F.sum("n").over(everything)).withColumn("_part", F.floor("_exact"))
+    left = total - F.sum("_part").over(everything)
+    turn = F.row_number().over(everything.orderBy((F.col("_part") - F.col("_exact")), F.col(stratum).cast("string")))
+    return parts.select(stratum, (F.col("_part") + F.when(turn <= left, 1).otherwise(0)).alias("take"))
 
 
 def stratified_split(
@@ -111,10 +101,9 @@ def stratified_split(
 
     ``key`` names columns that identify a row; without it the whole row is hashed.
     """
-    sizes = {row[label]: row["count"] for row in df.groupBy(label).count().collect()}
-    total = math.ceil(round(sum(sizes.values()) * test_share, 9))
     hashed = df.withColumn(HASH, row_hash(df, seed, key))
-    marked = take_lowest(hashed, share_out(sizes, total) if sizes else {}, label, HASH, sum(sizes.values()))
+    takes = share_out(df.groupBy(label).agg(F.count("*").alias("n")), label, test_share)
+    marked = take_lowest(hashed, takes, label, HASH)
     return (
         marked.filter(~F.col("_taken")).select(*df.columns),
         marked.filter("_taken").select(*df.columns),
@@ -140,36 +129,35 @@ def amount_pools(candidates: DataFrame, group: str = "band", amount: str = "_amo
 
     Amounts above 1.0 form the pools when a group has at least three of them, else all amounts do;
     a group with under three rows or a single amount has one pool. Rows outside the pools are null.
-    The groups' facts and cuts are a few numbers, so the pools are a plain expression over them.
+    The groups' facts and cuts are a table that is joined, for any number of groups.
     """
     large = F.col(amount) > TINY_AMOUNT
     facts = candidates.groupBy(group).agg(
-        F.count("*").alias("n"),
-        F.count_if(large).alias("n_large"),
-        F.min(amount).alias("low"),
-        F.max(amount).alias("high"),
-        F.min(F.when(large, F.col(amount))).alias("low_large"),
+        F.count("*").alias("_n"),
+        F.count_if(large).alias("_n_large"),
+        F.min(amount).alias("_low"),
+        F.max(amount).alias("_high"),
+        F.min(F.when(large, F.col(amount))).alias("_low_large"),
+    )
+    only_large = F.col("_n_large") >= 3
+    rows = F.when(only_large, F.col("_n_large")).otherwise(F.col("_n"))
+    lowest = F.when(only_large, F.col("_low_large")).otherwise(F.col("_low"))
+    facts = ranks.work_table(
+        facts.select(
+            F.col(group).alias("_group"),
+            F.when(only_large, TINY_AMOUNT).otherwise(float("-inf")).alias("_above"),
+            ((rows < 3) | (lowest == F.col("_high"))).alias("_lone"),
+        ),
+        "pool-facts",
     )
-    above, above_shared, lone, shared_rows = {}, {}, [], 0
-    for fact in facts.limit(MAX_STRATA).collect():
-        only_large = fact["n_large"] >= 3
-        rows = fact["n_large"] if only_large else fact["n"]
-        above[fact[group]] = TINY_AMOUNT if only_large else -math.inf
-        if rows < 3 or (fact["low_large"] if only_large else fact["low"]) == fact["high"]:
-            lone.append(fact[group])
-        else:
-            above_shared[fact[group]] = above[fact[group]]
-            shared_rows += rows
-    pool = F.lit(0)
-    if above_shared:
-        several = candidates.filter(F.col(amount) > per_group(above_shared, group))
-        cuts = ranks.exact_quantiles(several, amount, [0.33, 0.66], group, total=shared_rows)
-        low = per_group({g: c[0] for g, c in cuts.items()}, group)
-        high = per_group({g: c[1] for g, c in cuts.items()}, group)
-        third = F.when(F.col(amount) <= low, 0).when(F.col(amount) <= high, 1).otherwise(2)
-        pool = F.when(F.col(group).isin(lone), 0).otherwise(third) if lone else third
-    in_pools = F.col(amount) > per_group(above, group) if above else F.lit(False)
-    return candidates.withColumn("pool", F.when(in_pools, pool))
+    matched = F.col(group).eqNullSafe(F.col("_group"))
+    placed = candidates.join(facts, matched, "left").withColumn("_in", F.col(amount) > F.col("_above"))
+    several = placed.filter("_in AND NOT _lone").select(group, amount)
+    cuts = ranks.exact_quantiles(several, amount, [0.33, 0.66], group).withColumnsRenamed({"g": "_cut_group", "quantiles": "_cuts"})
+    placed = placed.join(cuts, F.col(group) == F.col("_cut_group"), "left")
+    third = F.when(F.col(amount) <= F.col("_cuts")[0], 0).when(F.col(amount) <= F.col("_cuts")[1], 1).otherwise(2)
+    pool = F.when(F.col("_lone"), 0).otherwise(third)
+    return placed.withColumn("pool", F.when(F.col("_in"), pool)).select(*candidates.columns, "pool")
 
 
 def band_quotas(max_alerts: int) -> list[int]:

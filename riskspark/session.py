@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,15 +34,16 @@ def build_session(app_name: str = "riskspark", master: str | None = None, **conf
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the session's checkpoint directory, for tables that several jobs read.
+    """A fresh folder below the directory that ``spark.checkpoint.dir`` names, for tables that several jobs read.
 
-    A cluster names the directory in ``spark.checkpoint.dir``. Only a local session without that
-    setting gets a temporary directory of its own.
+    All executors must reach it, so a cluster without the setting is refused. A local session without it, where
+    driver and executors are one process, gets a folder that goes when the process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
         base = tempfile.mkdtemp(prefix="riskspark-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -8,6 +8,7 @@ from riskspark import schema as S
 from riskspark.operators import alerts as A
 from riskspark.operators import features as X
 from riskspark.operators import reports
+from riskspark.operators.alerts import normalize_alerts
 from riskspark.sources.transactions import enrich_events
 
 
@@ -140,7 +141,26 @@ def test_features_edge_cases(spark):
 def test_enrichment_is_repeatable(spark):
     df = spark.range(200).select(F.col("id").cast("double").alias("Time"), F.lit(1.0).alias("Amount"))
     now = datetime(2026, 1, 2, tzinfo=timezone.utc)
-    one = enrich_events(df, S.MERCHANTS, now, event_times=True).orderBy("Time").collect()
-    two = enrich_events(df.repartition(5), S.MERCHANTS, now, event_times=True).orderBy("Time").collect()
+    one = enrich_events(df, ["a", "b"], now).orderBy("Time").collect()
+    two = enrich_events(df.repartition(5), ["a", "b"], now).orderBy("Time").collect()
     assert one == two
     assert len({r["transaction_id"] for r in one}) == 200
+
+
+def test_cumulative_amount_orders_equal_times_by_id(spark):
+    moment = "2026-02-03T04:05:06+00:00"
+    rows = [{"transaction_id": i, "Amount": a, "event_time_utc": moment} for i, a in (("c", 4.0), ("a", 1.0), ("d", 8.0), ("b", 2.0))]
+    for rows_per_range in (10**6, 2):
+        found = reports.cumulative_amount(documents(spark, rows), rows_per_range).collect()
+        assert sorted((r["transaction_id"], r["cum_amount"]) for r in found) == [("a", 1.0), ("b", 3.0), ("c", 7.0), ("d", 15.0)]
+
+
+def test_both_amount_spellings(spark):
+    df = spark.createDataFrame([(None, 5.0, 0.5), (7.0, 1.0, 0.5), (None, None, 0.2)], "Amount double, amount double, fraud_probability double")
+    assert [r["Amount"] for r in normalize_alerts(df).collect()] == [5.0, 7.0, 0.0]
+
+
+def test_missing_ids_are_repeatable(spark):
+    df = spark.range(50).select(F.col("id").cast("double").alias("Amount"), F.lit(0.4).alias("fraud_probability"))
+    ids = [sorted((r["Amount"], r["transaction_id"]) for r in normalize_alerts(rows).collect()) for rows in (df, df.repartition(7))]
+    assert ids[0] == ids[1] and len({i for _, i in ids[0]}) == 50

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -14,7 +15,7 @@ def test_quantiles_with_ties(spark, rows_per_range):
     rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), (None, 1.0)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(5)
     shares = [0.0, 0.33, 0.5, 0.66, 1.0]
-    found = ranks.exact_quantiles(df, "v", shares, "g", rows_per_range)
+    found = {r["g"]: r["quantiles"] for r in ranks.exact_quantiles(df, "v", shares, "g", rows_per_range).collect()}
     assert set(found) == set(groups)
     for g, vs in groups.items():
         assert found[g] == pytest.approx(list(np.percentile(vs, [100 * s for s in shares])))
@@ -22,7 +23,8 @@ def test_quantiles_with_ties(spark, rows_per_range):
 
 def test_order_statistics_counts(spark):
     df = spark.createDataFrame([(v,) for v in [1, 2, 2, 2, 5] * 100], "v long")
-    found = ranks.order_statistics(df, "v", {0: [0, 250, 499]}, rows_per_range=50)
+    asked = F.array(*[F.lit(r).cast("long") for r in (0, 250, 499)]).alias("ranks")
+    found = ranks.ranked_values(df, "v", lambda sizes: sizes.select("g", asked), rows_per_range=50).collect()
     assert sorted((f.rank, f.value, f.below, f.equal) for f in found) == [(0, 1, 0, 100), (250, 2, 100, 300), (499, 5, 400, 100)]
 
 
@@ -43,8 +45,10 @@ def test_split_sizes_and_partition(spark):
     assert {r["id"] for r in again.collect()} == {r["id"] for r in test.collect()}
 
 
-def test_split_sizes_of_the_card_table():
-    assert sampling.share_out({0: 284_315, 1: 492}, 56_962) == {0: 56_864, 1: 98}
+def test_split_sizes_of_the_card_table(spark):
+    sizes = spark.createDataFrame([(0, 284_315), (1, 492)], "cls int, n long")
+    found = sampling.share_out(sizes, "cls", 0.2).collect()
+    assert {r["cls"]: r["take"] for r in found} == {0: 56_864, 1: 98}
 
 
 def test_split_cuts_through_copies(spark):
@@ -55,13 +59,15 @@ def test_split_cuts_through_copies(spark):
     assert sorted(map(tuple, train.unionByName(test).collect())) == sorted(rows)
 
 
-def test_sample_rows(spark, monkeypatch):
+def test_sample_rows(spark):
     df = spark.range(5000).toDF("id")
     assert sampling.sample_rows(df, 0).count() == 0
     assert sampling.sample_rows(df, 9000).count() == 5000
-    small = {r["id"] for r in sampling.sample_rows(df, 700).collect()}
-    monkeypatch.setattr(ranks, "COPIES_PER_TASK_ROW", 10)
-    assert {r["id"] for r in sampling.sample_rows(df, 700).collect()} == small and len(small) == 700
+    order = sorted(range(5000), key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest()[:15])
+    for n in (1, 700):
+        assert {r["id"] for r in sampling.sample_rows(df, n).collect()} == set(order[:n])
+    copies = spark.createDataFrame([(i // 40,) for i in range(1000)], "id long")
+    assert sampling.sample_rows(copies, 130).groupBy("id").count().orderBy("count").collect()[0]["count"] == 10
 
 
 def test_lowest_per_group(spark):
@@ -78,21 +84,32 @@ def banded(spark, rows, m, **kw):
 
 
 def test_banded_sample_has_all_bands(spark):
-    rows = [(p, 0.0) for p in (0.03, 0.12, 0.22, 0.45, 0.55, 0.72, 0.91, 0.97, 0.99)]
-    found = banded(spark, rows, 6, amount=None)
-    assert len(found) == 6
+    rng = random.Random(40)
+    rows = [(rng.random(), 0.0) for _ in range(60)]
+    found = banded(spark, rows, 8, amount=None)
     ps = [r["fraud_probability"] for r in found]
-    assert ps == sorted(ps, reverse=True) and min(ps) >= 0.1
-    assert any(p >= 0.9 for p in ps) and any(0.5 <= p < 0.9 for p in ps) and any(p < 0.5 for p in ps)
+    assert len(ps) == 8 and ps == sorted(ps, reverse=True) and min(ps) >= 0.1
+    assert {(p >= 0.9) + (p >= 0.5) for p in ps} == {0, 1, 2}
 
 
 def test_banded_sample_spreads_amounts(spark):
-    ps = [0.12, 0.18, 0.32, 0.55, 0.62, 0.78, 0.91, 0.95, 0.99, 0.93, 0.44, 0.73]
-    amounts = [0.0, 1.0, 12.0, 0.0, 48.0, 125.0, 1.0, 300.0, 0.0, 80.0, 25.0, 500.0]
-    found = banded(spark, list(zip(ps, amounts)), 9)
-    assert len(found) == 9 and [r["id"] for r in found] == [r["id"] for r in sorted(found, key=lambda r: (r["Amount"] > 1, r["fraud_probability"]), reverse=True)]
-    kinds = {"tiny" if r["Amount"] <= 1 else "medium" if r["Amount"] < 100 else "high" for r in found}
-    assert len(kinds) >= 2 and any(r["Amount"] > 1 for r in found)
+    """Every band gives its quota, and every band's low, middle and high amounts are met."""
+    rng = random.Random(41)
+    rows = [(rng.uniform(low, high), rng.choice([0.5, rng.uniform(2, 900)])) for low, high in ((0.1, 0.49), (0.5, 0.89), (0.9, 1.0)) for _ in range(200)]
+    found = banded(spark, rows, 30)
+    bands = [sum(low <= r["fraud_probability"] < high for r in found) for low, high in ((0.1, 0.5), (0.5, 0.9), (0.9, 1.1))]
+    assert sum(bands) == 30 and all(n >= 9 for n in bands)
+    for low, high in ((0.1, 0.5), (0.5, 0.9), (0.9, 1.1)):
+        large = np.quantile([a for p, a in rows if low <= p < high and a > 1], [0.33, 0.66])
+        places = np.searchsorted(large, [r["Amount"] for r in found if low <= r["fraud_probability"] < high])
+        assert set(places.tolist()) == {0, 1, 2}
+
+
+def test_amount_pools_of_many_groups(spark):
+    """No group loses its pools, however many there are."""
+    rows = [(g, float(v)) for g in range(2_000) for v in (2, 5, 9)]
+    found = sampling.amount_pools(spark.createDataFrame(rows, "band int, _amount double")).groupBy("pool").count().collect()
+    assert {r["pool"]: r["count"] for r in found} == {0: 2_000, 1: 2_000, 2: 2_000}
 
 
 def test_banded_quotas_fill_and_top_up(spark):
