@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +18,9 @@ from riskspark.operators.alerts import above_cutoff, assemble_alerts, conform, n
 from riskspark.operators.oversample import oversample
 from riskspark.session import shared_folder
 from riskspark.sources import alerts as alert_table
-from riskspark.sources import artifacts, transactions
+from riskspark.sources import artifacts, model_store, transactions
 
-BOOSTED, ISOLATION = "xgboost", "isolation_forest"
+BOOSTED, ISOLATION = "boosted_trees", "isolation_forest"
 
 
 def build_features(spark: SparkSession, csv_path: str, feature_path: str, stats_path: str) -> DataFrame:
@@ -66,7 +66,7 @@ def train(
     seed: int = 42,
     **boosting: object,
 ) -> Training:
-    """Split, oversample, fit both models, compare them, and store holdout, metrics and record.
+    """Split, oversample, fit both models, compare them, and store holdout, models, metrics and record.
 
     Oversampling and class weight both correct the imbalance; using both is the default, either can
     be switched off.
@@ -91,7 +91,8 @@ def train(
     boosted_scores = stored(labelled(scored, "score"), f"{work}/boosted_scores")
     forest = isolation.fit_isolation_forest(X.only_negatives(train_rows), trees=trees, seed=seed)
     raw = stored(labelled(forest.transform(holdout), "raw_score"), f"{work}/raw_scores")
-    forest_scores = isolation.min_max_scaled(raw, "score", "score")
+    forest.freeze_bounds(raw, "score")
+    forest_scores = isolation.scale_between(raw, forest.low, forest.high, "score", "score")
 
     comparison, thresholds = [], {}
     for name, rows in ((BOOSTED, boosted_scores), (ISOLATION, forest_scores)):
@@ -100,14 +101,14 @@ def train(
     table = stored(E.model_comparison(*comparison), f"{work}/comparison")
     best = E.champion(table, [BOOSTED, ISOLATION]).first()["model"]
 
-    classifier.write().overwrite().save(f"{out_path}/boosted_trees")
-    forest.scaler_table(spark).write.mode("overwrite").parquet(f"{out_path}/forest_scaler")
-    spark.createDataFrame(forest.nodes).write.mode("overwrite").parquet(f"{out_path}/forest_nodes")
+    share = isolation.contamination(stats.first()["fraud_rate"] or 0.0)
+    info = {**info, "contamination": share}
     record = artifacts.training_record(spark, table, best, thresholds[BOOSTED], stats, info)
     artifacts.append_record(record, f"{out_path}/run_metrics/training")
     model = models.ScoringModel(
         classifier, list(S.FEATURES), transactions.frozen_stats(stats), thresholds[BOOSTED]
     )
+    model_store.save_models(spark, out_path, model, forest, share)
     return Training(model, forest, table, best, info, holdout)
 
 
@@ -179,6 +180,7 @@ def scored_alerts(
     now: datetime | None = None,
     seed: int = 42,
     work: str | None = None,
+    merchants: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Replayed transactions to (scored rows, alerts), in one plan.
 
@@ -195,7 +197,7 @@ def scored_alerts(
         }
     )
     ready, _ = X.split_complete(rows)
-    events = transactions.enrich_events(ready, S.MERCHANTS, now, seed, event_times=True)
+    events = transactions.enrich_events(ready, merchants, now, seed)
     scored = models.score_transactions(events, model, cutoff)
     if work is not None:
         scored = stored(scored, f"{work}/scored")
@@ -215,29 +217,21 @@ def scored_alerts(
 def generate_alerts(
     spark: SparkSession,
     csv_path: str,
-    seed_path: str,
     alerts_path: str,
-    model: models.ScoringModel | None = None,
-    max_rows: int = 20_000,
+    model: models.ScoringModel,
+    max_rows: int | None = None,
     alert_threshold: float = 0.1,
     max_alerts: int = 50,
     explain: bool = True,
     now: datetime | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """Score the first rows of the transaction table, store a banded sample of alerts, summarise.
+    """Score the transaction table, store a banded sample of alerts, summarise.
 
-    Without the table the packaged seed alerts are stored instead.
+    All rows are scored unless ``max_rows`` asks for some, whichever come first.
     """
-    try:
-        raw = transactions.read_transactions_csv(spark, csv_path, min_rows=0, max_rows=max_rows)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return _generate_from_seeds(spark, seed_path, alerts_path, alert_threshold, max_alerts, now)
-    if model is None:
-        raise ValueError("a trained model is required when the transaction table exists")
-    # The capped rows are read by several passes: write them once, so that all see the same rows.
+    raw = transactions.read_transactions_csv(spark, csv_path, min_rows=0, max_rows=max_rows)
+    # The rows are read by several passes: write them once, so that all see the same rows.
     work = shared_folder(spark, "generated")
     raw = stored(raw, f"{work}/rows")
     scored, alerts = scored_alerts(
@@ -245,26 +239,8 @@ def generate_alerts(
     )
     alerts = stored(conform(normalize_alerts(alerts, model.threshold, alert_threshold)), f"{work}/alerts")
     alert_table.write_alerts(alerts, alerts_path, now)
-    return reports.generation_summary(scored, alerts, alert_threshold).withColumns(
-        {"decision_threshold": F.lit(float(model.threshold)), "used_fallback_seed": F.lit(False)}
-    )
-
-
-def _generate_from_seeds(
-    spark: SparkSession,
-    seed_path: str,
-    alerts_path: str,
-    alert_threshold: float,
-    max_alerts: int,
-    now: datetime | None,
-) -> DataFrame:
-    seeds = alert_table.read_seed_alerts(spark, seed_path)
-    chosen = alert_table.refresh_seed_alerts(seeds, alert_threshold, max_alerts, now)
-    alerts = stored(conform(chosen), shared_folder(spark, "seeds"))
-    alert_table.write_alerts(alerts, alerts_path, now)
-    clipped = seeds.withColumn("fraud_probability", risk.clip_probability(F.col("fraud_probability")))
-    summary = reports.generation_summary(clipped, alerts, min(max(alert_threshold, 0.0), 1.0))
-    return summary.withColumn("used_fallback_seed", F.lit(True))
+    summary = reports.generation_summary(scored, alerts, alert_threshold)
+    return summary.withColumn("decision_threshold", F.lit(float(model.threshold)))
 
 
 def feed_alerts(
@@ -272,11 +248,12 @@ def feed_alerts(
     csv_path: str,
     alerts_path: str,
     model: models.ScoringModel,
-    max_rows: int,
     alert_threshold: float,
     now: datetime | None = None,
+    max_rows: int | None = None,
 ) -> int:
     """Store every transaction at or above the cutoff as an alert; returns how many."""
-    rows = X.coerce_csv(transactions.read_text_csv(spark, csv_path).limit(max_rows))
+    text = transactions.read_text_csv(spark, csv_path)
+    rows = X.coerce_csv(text if max_rows is None else text.limit(max_rows))
     _, alerts = scored_alerts(rows, model, alert_threshold, "local_demo_feeder", None, False, now)
     return alert_table.write_alerts(alerts, alerts_path, now)

@@ -30,23 +30,6 @@ AMOUNT_FROM_CSV = "raw_creditcard_csv"
 AMOUNT_MISSING = "fallback_missing_amount"
 AMOUNT_FROM_SEED = "deployment_seed_alert"
 
-# Merchant names given to replayed card rows (streams use the first ten).
-MERCHANTS = [
-    "Metro Grocers",
-    "Bluebird Electronics",
-    "Nova Travel",
-    "Urban Fuel",
-    "Acme Marketplace",
-    "Silverline Pharmacy",
-    "Cloud Nine Digital",
-    "Harbor Hotel",
-    "QuickServe Dining",
-    "Northstar Apparel",
-    "Crescent Jewelry",
-    "Peak Fitness",
-]
-STREAM_MERCHANTS = MERCHANTS[:10]
-
 # Column choices of the two alert tables shown to analysts.
 EXPORT_COLUMNS = [
     "transaction_id",

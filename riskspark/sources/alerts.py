@@ -84,31 +84,3 @@ def read_seed_alerts(spark: SparkSession, path: str) -> DataFrame:
     objects = records.filter(F.schema_of_variant("item").startswith("OBJECT"))
     typed = objects.select("position", *[c.alias(name) for name, c in columns.items()])
     return times.with_parsed_times(typed, S.ALERT_TIMES)
-
-
-def refresh_seed_alerts(
-    seeds: DataFrame, alert_threshold: float, max_alerts: int, now: datetime | None = None
-) -> DataFrame:
-    """The first seeds at or above the cutoff, or the first of all seeds when none qualifies.
-
-    They get new ids and times; the packaged decision is kept.
-    """
-    moment = F.lit(now) if now else F.current_timestamp()
-    cutoff = min(max(alert_threshold, 0.0), 1.0)
-    qualifies = risk.clip_probability(F.col("fraud_probability")) >= cutoff
-    some = seeds.agg(F.bool_or(qualifies).alias("some")).select("some").scalar()
-    chosen = seeds.filter(qualifies | ~some).orderBy("position").limit(max_alerts)
-    # At most max_alerts rows are numbered here.
-    index = F.row_number().over(Window.orderBy("position")) - 1
-    fresh_id = F.xxhash64("transaction_id", "position", F.unix_micros(moment))
-    fresh = chosen.withColumns(
-        {
-            "transaction_id": F.lower(F.lpad(F.hex(fresh_id), 32, "0")),
-            "stored_at_utc": F.timestamp_micros(F.unix_micros(moment) - index * 1_000_000),
-            "processing_timestamp": moment,
-            "scored_at_utc": moment,
-            "amount_source": F.coalesce(F.when(F.col("amount_source") != "", F.col("amount_source")), F.lit(S.AMOUNT_FROM_SEED)),
-            "alert_reason": F.lit(S.AMOUNT_FROM_SEED),
-        }
-    ).drop("position")
-    return normalize_alerts(fresh, S.SEED_THRESHOLD, alert_threshold, recompute_decision=False)

@@ -111,30 +111,25 @@ def read_holdout(spark: SparkSession, path: str) -> DataFrame:
 
 def enrich_events(
     df: DataFrame,
-    merchants: Sequence[str] = tuple(S.STREAM_MERCHANTS),
+    merchants: Sequence[str] = (),
     now: datetime | None = None,
     seed: int = 42,
-    event_times: bool = False,
     key: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Give replayed transactions an id, a processing time and a merchant.
+    """Give replayed transactions an id and a processing time, and a merchant of the caller's list, if there is one.
 
     All choices come from a seeded hash of the row (or of ``key``), so a recomputed partition yields
-    the same events. ``event_times`` also places each event within the seven days before ``now``.
+    the same events.
     """
     names = [F.col(name) for name in (key or df.columns)]
     draw = F.xxhash64(F.lit(seed), *names)
     other = F.xxhash64(F.lit(seed + 1), *names)
-    moment = F.lit(now) if now else F.current_timestamp()
+    merchant = F.lit(None).cast("string")
+    if merchants:
+        merchant = F.array(*[F.lit(m) for m in merchants])[F.pmod(draw, F.lit(len(merchants))).cast("int")]
     columns = {
         "transaction_id": F.lower(F.concat(F.lpad(F.hex(draw), 16, "0"), F.lpad(F.hex(other), 16, "0"))),
-        "processing_timestamp": moment,
-        "merchant_name": F.array(*[F.lit(m) for m in merchants])[
-            F.pmod(draw, F.lit(len(merchants))).cast("int")
-        ],
+        "processing_timestamp": F.lit(now) if now else F.current_timestamp(),
+        "merchant_name": merchant,
     }
-    if event_times:
-        minutes = F.pmod(other, F.lit(7 * 24 * 60 + 1))
-        earlier = F.timestamp_micros(F.unix_micros(moment) - minutes * 60_000_000)
-        columns |= {"event_time_utc": earlier, "transaction_time_utc": earlier}
     return df.withColumns(columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from riskspark import schema as S
 from riskspark.operators.alerts import above_cutoff, assemble_alerts
 from riskspark.operators.features import split_complete
+from riskspark.operators.models import ScoringModel, score_transactions
 from riskspark.operators.reports import fill_hours, hourly_counts
 from riskspark.sources.alerts import storable
 from riskspark.sources.transactions import read_or_none
@@ -33,6 +35,22 @@ def parse_messages(messages: DataFrame) -> DataFrame:
 Scorer = Callable[[DataFrame], DataFrame]
 
 
+# Figures of a micro-batch, as a table.
+FIGURES_SCHEMA = "batch_id long, rows long, scored long, rejected long, flagged long, avg_probability double, max_probability double"
+FIGURES = [column.split()[0] for column in FIGURES_SCHEMA.split(", ")]
+
+
+def _batch_moment(spark: SparkSession, path: str) -> datetime:
+    """When the batch was first tried: recorded once, and found again by a replay."""
+    found = read_or_none(lambda: spark.read.schema("moment long").parquet(path))
+    row = found.first() if found is not None else None
+    if row is None:
+        now = datetime.now(timezone.utc)
+        row = (int(now.timestamp() * 1_000_000),)
+        spark.createDataFrame([row], "moment long").coalesce(1).write.mode("overwrite").parquet(path)
+    return datetime.fromtimestamp(row[0] / 1_000_000, timezone.utc)
+
+
 def write_batch(
     batch: DataFrame,
     batch_id: int,
@@ -44,10 +62,12 @@ def write_batch(
 ) -> dict[str, object]:
     """Score one micro-batch, store its alerts, set unscorable rows aside, return its figures.
 
-    Both outputs own one folder per (stream, batch), overwritten on a replay, so that a repeated
-    batch leaves no duplicates.
+    Alerts lie by the day the batch was first tried, stream and batch; quarantined rows by stream and batch. Both
+    folders are overwritten on a replay, and a replay finds the recorded moment of its batch, so that a repeated
+    batch leaves no duplicates. The figures are kept as a table beside the alerts (see read_batch_figures).
     """
     folder = f"stream_name={stream_name}/batch_id={batch_id}"
+    moment = _batch_moment(batch.sparkSession, f"{path}_batches/started/{folder}")
     kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         ready, rejected = split_complete(kept)
@@ -61,12 +81,14 @@ def write_batch(
         )
         reason = f"fraud_probability_above_{alert_threshold}"
         alerts = assemble_alerts(above_cutoff(scored, alert_threshold, strict=True), alert_threshold, reason)
-        storable(alerts).write.mode("overwrite").parquet(f"{path}/{folder}")
+        storable(alerts, moment).write.mode("overwrite").parquet(f"{path}/stored_date={moment:%Y-%m-%d}/{folder}")
         aside = Observation()
         rejected = rejected.observe(aside, F.count(F.lit(1)).alias("rejected"))
         rejected.write.mode("overwrite").parquet(f"{quarantine_path}/{folder}")
         result = {"batch_id": batch_id, **figures.get, **aside.get}
         result["rows"] = result["scored"] + result["rejected"]
+        record = kept.sparkSession.createDataFrame([tuple(result[name] for name in FIGURES)], FIGURES_SCHEMA)
+        record.coalesce(1).write.mode("overwrite").parquet(f"{path}_batches/figures/{folder}")
         log.info("%s", result)
         return result
     finally:
@@ -107,6 +129,24 @@ def read_stream_alerts(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], S.ALERT_SCHEMA) if rows is None else rows
 
 
+def read_batch_figures(spark: SparkSession, path: str) -> DataFrame:
+    """Figures of all micro-batches written to the alert table at path, with their stream name."""
+    rows = read_or_none(lambda: spark.read.schema(f"{FIGURES_SCHEMA}, stream_name string").parquet(f"{path}_batches/figures"))
+    return spark.createDataFrame([], f"{FIGURES_SCHEMA}, stream_name string") if rows is None else rows
+
+
+def compact_day(spark: SparkSession, path: str, out_path: str, stored_date: str) -> int:
+    """Copy one day's many small alert folders into few files of a compacted table; returns its alerts."""
+    day = read_stream_alerts(spark, path).filter(F.col("stored_date") == F.lit(stored_date).cast("date"))
+    day.drop("stored_date").coalesce(1).write.mode("overwrite").parquet(f"{out_path}/stored_date={stored_date}")
+    return spark.read.parquet(f"{out_path}/stored_date={stored_date}").count()
+
+
+def model_scorer(model: ScoringModel) -> Scorer:
+    """Scoring of a stream by a trained model."""
+    return lambda rows: score_transactions(rows, model)
+
+
 def _start_view(
     counts: DataFrame, finish: Scorer, path: str, checkpoint: str, trigger: str | None
 ) -> StreamingQuery:

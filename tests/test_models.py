@@ -10,7 +10,8 @@ from riskspark.operators import isolation, models
 from riskspark.operators.oversample import nearest, oversample
 from riskspark.plans import jobs
 from riskspark.sources import alerts as table
-from riskspark.sources import artifacts
+from riskspark.sources import artifacts, messages, model_store
+from riskspark.streaming import alerts as streaming
 
 BOOST = {"maxIter": 8, "maxDepth": 3, "stepSize": 0.3}
 
@@ -44,11 +45,10 @@ def test_nearest():
     assert np.array_equal(found, np.argsort(distance, axis=1)[:, :5])
 
 
-@pytest.mark.parametrize("limit", [64 << 20, 0])
-def test_oversample(spark, features, limit, monkeypatch):
-    monkeypatch.setattr("riskspark.operators.oversample.CHUNK_ROWS", 25)
+@pytest.mark.parametrize("method", ["exact", "chunked"])
+def test_oversample(spark, features, method, monkeypatch):
     monkeypatch.setattr("riskspark.operators.ranks.COPIES_PER_TASK_ROW", 5)
-    enlarged, info = oversample(features, exact_limit_bytes=limit)
+    enlarged, info = oversample(features, method=method, chunk_rows=25)
     counts = {r["Class"]: r["count"] for r in enlarged.groupBy("Class").count().collect()}
     assert counts == {0: 1440, 1: 1440}
     assert info["minority_count_before"] == 60 and info["minority_count_after"] == 1440 and info["k_neighbors"] == 5
@@ -67,8 +67,8 @@ def test_oversample_needs_two_positives(features):
 def test_oversample_with_copies(spark):
     rows = [(0, float(i), 0.0) for i in range(300)] + [(1, 5.0, 5.0)] * 80
     df = spark.createDataFrame(rows, "Class int, a double, b double")
-    for limit in (64 << 20, 0):
-        enlarged, _ = oversample(df, ["a", "b"], exact_limit_bytes=limit)
+    for method in ("exact", "chunked"):
+        enlarged, _ = oversample(df, ["a", "b"], method=method)
         found = enlarged.filter("Class = 1").groupBy("a", "b").count().collect()
         assert [tuple(r) for r in found] == [(5.0, 5.0, 300)]
 
@@ -114,11 +114,11 @@ def test_train_tune_evaluate_score_generate(spark, cards, features, tmp_path):
     out = str(tmp_path / "run")
     run = jobs.train(spark, features, out, trees=20, **BOOST)
     table_rows = {r["model"]: r for r in run.comparison.collect()}
-    assert set(table_rows) == {"xgboost", "isolation_forest"}
-    assert table_rows["xgboost"]["validation_rows"] == 300 and table_rows["xgboost"]["fraud_cases"] == 12
+    assert set(table_rows) == {"boosted_trees", "isolation_forest"}
+    assert table_rows["boosted_trees"]["validation_rows"] == 300 and table_rows["boosted_trees"]["fraud_cases"] == 12
     assert run.oversampling["minority_count_after"] == 1152
     best = max(table_rows.values(), key=lambda r: r["auprc"])["model"]
-    assert run.best_model == best or table_rows["xgboost"]["auprc"] == table_rows["isolation_forest"]["auprc"]
+    assert run.best_model == best or table_rows["boosted_trees"]["auprc"] == table_rows["isolation_forest"]["auprc"]
     record = artifacts.latest_record(spark, f"{out}/run_metrics/training", "training").first()
     assert record["best_model"] == run.best_model and record["oversampling"]["enabled"] == "True"
 
@@ -129,7 +129,20 @@ def test_train_tune_evaluate_score_generate(spark, cards, features, tmp_path):
     assert set(tuned["choices"]) == {"best_f1_threshold", "best_business_cost_threshold"}
     assert artifacts.read_threshold_metrics(spark, f"{out}/threshold_metrics").count() == 109
 
-    evaluation = jobs.evaluate(run.holdout, run.boosted)
+    # From the folder alone: the same trees, the tuned threshold, and anomaly scores that do not depend on company.
+    model, forest = model_store.load_scoring_model(spark, out), model_store.load_forest(spark, out)
+    assert model.threshold == run.boosted.threshold and model.stats == pytest.approx(dict(run.boosted.stats))
+    assert record["oversampling"]["contamination"] == str(isolation.contamination(0.04))
+    scores = [jobs.labelled(models.with_probability(run.holdout, m.classifier, m.features, "score"), "score").orderBy("score").collect() for m in (run.boosted, model)]
+    assert scores[0] == scores[1]
+    together = {tuple(r[:5]): r["score"] for r in forest.score(run.holdout).collect()}
+    alone = forest.score(run.holdout.orderBy("Time").limit(7)).collect()
+    assert all(together[tuple(r[:5])] == r["score"] for r in alone)
+    assert min(together.values()) == 0.0 and max(together.values()) == 1.0
+    with pytest.raises(FileNotFoundError):
+        model_store.load_scoring_model(spark, str(tmp_path / "nothing"))
+
+    evaluation = jobs.evaluate(run.holdout, model)
     assert evaluation.metrics.first()["auc"] > 0.95
     assert evaluation.report.count() == 5 and evaluation.best_thresholds.count() == 10
 
@@ -141,12 +154,34 @@ def test_train_tune_evaluate_score_generate(spark, cards, features, tmp_path):
 
     stored = str(tmp_path / "alerts")
     made = jobs.generate_alerts(
-        spark, cards, "unused", stored, run.boosted, max_rows=800, alert_threshold=0.1, max_alerts=20
+        spark, cards, stored, run.boosted, max_rows=800, alert_threshold=0.1, max_alerts=20
     ).first()
     assert made["scanned"] == 800 and 0 < made["inserted"] <= 20 and made["inserted"] <= made["candidates"]
-    assert made["used_fallback_seed"] is False
     alerts = table.read_alerts(spark, stored)
     assert alerts.count() == made["inserted"]
     assert alerts.filter("size(top_shap_features) = 5 AND alert_reason = 'dashboard_demo_generator'").count() == made["inserted"]
-    fed = jobs.feed_alerts(spark, cards, str(tmp_path / "fed"), run.boosted, 500, 0.5)
+    every = jobs.generate_alerts(spark, cards, str(tmp_path / "all"), run.boosted, max_alerts=20).first()
+    assert every["scanned"] == 1500
+    fed = jobs.feed_alerts(spark, cards, str(tmp_path / "fed"), run.boosted, 0.5)
     assert fed == table.read_alerts(spark, str(tmp_path / "fed")).count() > 0
+
+
+def test_stream_with_a_loaded_model_equals_batch(spark, features, cards, tmp_path):
+    """A model from its folder scores a stream as it scores a table; replays of a batch leave one copy."""
+    out = str(tmp_path / "run")
+    jobs.train(spark, features, out, trees=5, **BOOST)
+    model = model_store.load_scoring_model(spark, out)
+    raw = spark.read.schema(S.transaction_schema()).option("header", True).csv(cards)
+    events = raw.withColumns({"transaction_id": F.concat(F.lit("t"), F.col("Time").cast("int")), "merchant_name": F.lit("m")})
+    messages.publish_text(messages.transaction_messages(events).select("value"), str(tmp_path / "in"))
+    stream = messages.text_stream(spark, str(tmp_path / "in"))
+    path, aside = str(tmp_path / "alerts"), str(tmp_path / "aside")
+    streaming.start_alert_stream(stream, streaming.model_scorer(model), path, aside, str(tmp_path / "c"), "s", 0.5, None).awaitTermination()
+    live = streaming.read_stream_alerts(spark, path)
+    batch = models.score_transactions(events, model).filter("fraud_probability > 0.5")
+    columns = ["Time", "fraud_probability", "decision", "Amount"]
+    assert sorted(map(tuple, live.select(*columns).collect())) == sorted(map(tuple, batch.select(*columns).collect()))
+    figures = streaming.read_batch_figures(spark, path).agg(F.sum("scored"), F.sum("flagged")).first()
+    assert tuple(figures) == (1500, live.count())
+    day = live.select("stored_date").first()[0]
+    assert streaming.compact_day(spark, path, str(tmp_path / "compact"), str(day)) == live.filter(F.col("stored_date") == F.lit(day)).count()
