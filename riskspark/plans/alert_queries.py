@@ -14,7 +14,7 @@ from riskspark.operators import models, reports
 from riskspark.plans import views
 from riskspark.plans.registry import comparable, query
 from riskspark.session import shared_folder
-from riskspark.sources.alerts import refresh_seed_alerts, storable
+from riskspark.sources.alerts import read_seed_alerts, storable
 from riskspark.sources.transactions import enrich_events
 
 NOW = datetime(2024, 1, 20, 15, 30, tzinfo=timezone.utc)
@@ -244,52 +244,46 @@ def storable_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    """
-SELECT count(*) AS events, count(*) AS ids, CAST(12 AS BIGINT) AS merchants, TRUE AS within_week
-FROM events"""
-)
+@query("SELECT event_type, count(*) AS events, count(*) AS ids, max(value) AS highest FROM events GROUP BY event_type")
 def event_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.event_transactions(spark, sf_dir).select("event_id", "Time", "Amount")
-    made = enrich_events(rows, S.MERCHANTS, NOW, event_times=True)
-    age = F.unix_seconds("processing_timestamp") - F.unix_seconds("event_time_utc")
-    return made.agg(
-        F.count("*").alias("events"),
-        F.count_distinct("transaction_id").alias("ids"),
-        F.count_distinct("merchant_name").alias("merchants"),
-        F.bool_and(age.between(0, 7 * 86400)).alias("within_week"),
+    """Replayed events get ids that tell all of them apart."""
+    rows = views.table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    made = enrich_events(rows, now=NOW)
+    return made.groupBy("event_type").agg(
+        F.count("*").alias("events"), F.count_distinct("transaction_id").alias("ids"), F.max("value").alias("highest")
     )
 
 
 @query(
     ALERTS
-    + f"""
-, chosen AS (
-  SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i FROM alerts WHERE p >= 0.75
-  ORDER BY event_id LIMIT 40)
-SELECT merchant_name, round(amount, 6) AS "Amount", round(p, 6) AS fraud_probability, 'REVIEW' AS decision,
-       0.999::DOUBLE AS threshold, 'deployment_seed_alert' AS amount_source,
-       CAST(epoch_us(TIMESTAMP '{NOW:%Y-%m-%d %H:%M:%S}') - i * 1000000 AS BIGINT) AS stored_at_utc
-FROM chosen"""
+    + """
+SELECT transaction_id, merchant_name, round(amount, 6) AS "Amount", round(p, 6) AS fraud_probability,
+       CASE WHEN event_id % 2 = 0 THEN 'REVIEW' END AS decision, epoch_us(event_time) AS event_time_utc
+FROM alerts"""
 )
 def seed_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packaged alerts read from JSON arrays, with either spelling of the amount."""
+    path = shared_folder(spark, "seeds")
     rows = views.event_transactions(spark, sf_dir)
-    seeds = rows.select(
-        F.col("event_id").alias("position"),
-        "transaction_id",
-        "merchant_name",
-        "Amount",
-        "fraud_probability",
-        "event_time_utc",
-        F.lit("REVIEW").alias("decision"),
-        F.lit("").alias("amount_source"),
-    )
-    fresh = refresh_seed_alerts(seeds, 0.75, 40, NOW)
-    return comparable(
-        fresh.select(
-            "merchant_name", "Amount", "fraud_probability", "decision", "threshold", "amount_source", "stored_at_utc"
-        )
+    even = F.col("event_id") % 2 == 0
+    moment = F.to_utc_timestamp("event_time_utc", F.current_timezone())
+    documents = rows.select(
+        F.floor(F.col("event_id") / 50).alias("file"),
+        F.struct(
+            "transaction_id",
+            "merchant_name",
+            F.when(even, F.col("Amount")).alias("Amount_"),
+            F.when(~even, F.col("Amount")).alias("amount"),
+            "fraud_probability",
+            F.when(even, F.lit("REVIEW")).alias("decision"),
+            F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("event_time_utc"),
+        ).alias("document"),
     )
+    arrays = documents.groupBy("file").agg(F.to_json(F.collect_list("document")).alias("value"))
+    arrays = arrays.withColumn("value", F.replace("value", F.lit('"Amount_"'), F.lit('"Amount"')))
+    arrays.write.partitionBy("file").text(path)
+    columns = ["transaction_id", "merchant_name", "Amount", "fraud_probability", "decision", "event_time_utc"]
+    return comparable(read_seed_alerts(spark, path).select(*columns))
 
 
 _HOURLY = """
@@ -493,6 +487,35 @@ def cumulative_amount_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _timeline(reports.cumulative_amount(views.alerts(spark, sf_dir), rows_per_range=1_000))
 
 
+_LINE_RUNNING = LINE_ALERTS + _RUNNING.replace("FROM alerts", "FROM months").replace(
+    ", timeline AS",
+    """, months AS (
+  SELECT * REPLACE (transaction_id || '-' || merchant_name AS transaction_id, date_trunc('month', event_time) AS event_time) FROM alerts)
+, timeline AS""",
+)
+
+
+def _line_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as alerts of whole months: many share a moment, and the id tells all of them apart."""
+    return views.line_alerts(spark, sf_dir).withColumns(
+        {
+            "transaction_id": F.concat_ws("-", "transaction_id", "merchant_name"),
+            "event_time_utc": F.date_trunc("month", "event_time_utc"),
+        }
+    )
+
+
+@query(_LINE_RUNNING)
+def cumulative_amount_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _timeline(reports.cumulative_amount(_line_months(spark, sf_dir)))
+
+
+@query(_LINE_RUNNING)
+def cumulative_amount_lines_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forced through so many ranges that every month is cut by sampled ids."""
+    return _timeline(reports.cumulative_amount(_line_months(spark, sf_dir), rows_per_range=300))
+
+
 @query(ALERTS + _RUNNING + " WHERE decision = 'BLOCKED'")
 def blocked_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     timeline = reports.cumulative_amount(views.alerts(spark, sf_dir))

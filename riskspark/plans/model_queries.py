@@ -203,16 +203,25 @@ _SWEEP_COLUMNS = (
 )
 
 
-@query("WITH one AS (SELECT 1)" + _GRID + "SELECT round(t, 6) AS threshold FROM grid")
-def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparable(E.threshold_grid(spark))
-
-
 @query(SCORED + _SWEEP + _SWEEP_COLUMNS)
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(E.threshold_sweep(views.scored_events(spark, sf_dir)))
 
 
+# Scores that are null or NaN lie below every threshold.
+GAP_SCORED = """
+WITH scored AS (
+  SELECT CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label,
+         CASE WHEN event_id % 7 <= 1 THEN -1 ELSE CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) / 99 END AS score
+  FROM events)
+"""
+
+
+@query(GAP_SCORED + _SWEEP + _SWEEP_COLUMNS)
+def threshold_sweep_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparable(E.threshold_sweep(views.scored_events_with_gaps(spark, sf_dir)))
+
+
 @query(LINE_SCORED + _SWEEP + _SWEEP_COLUMNS)
 def threshold_sweep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(E.threshold_sweep(views.scored_lines(spark, sf_dir)))
@@ -248,24 +257,25 @@ m AS (SELECT *, tp / (tp + fp)::DOUBLE AS p1, tp / (tp + fn)::DOUBLE AS r1,
 """
 
 
-@query(
-    SCORED
-    + _CONFUSION
-    + """
+_CONFUSION_COLUMNS = """
 SELECT tn AS true_negatives, fp AS false_positives, fn AS false_negatives, tp AS true_positives,
        tp + fn AS fraud_cases, tp + fn + fp + tn AS validation_rows, round(p1, 6) AS precision,
        round(r1, 6) AS recall, round(2 * p1 * r1 / (p1 + r1), 6) AS f1, tp + fp AS predicted_fraud_count,
        0.5::DOUBLE AS threshold
 FROM m"""
-)
+
+
+@query(SCORED + _CONFUSION + _CONFUSION_COLUMNS)
 def confusion_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(E.confusion_at(views.scored_events(spark, sf_dir), 0.5))
 
 
-@query(
-    SCORED
-    + _CONFUSION
-    + """
+@query(GAP_SCORED + _CONFUSION + _CONFUSION_COLUMNS)
+def confusion_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparable(E.confusion_at(views.scored_events_with_gaps(spark, sf_dir), 0.5))
+
+
+_REPORT = """
 , f AS (SELECT *, 2 * p1 * r1 / (p1 + r1) AS f1, 2 * p0 * r0 / (p0 + r0) AS f0, tn + fp AS n0, tp + fn AS n1 FROM m)
 SELECT '0' AS label, round(p0, 6) AS precision, round(r0, 6) AS recall, round(f0, 6) AS f1, n0 AS support FROM f
 UNION ALL SELECT '1', round(p1, 6), round(r1, 6), round(f1, 6), n1 FROM f
@@ -274,7 +284,14 @@ UNION ALL SELECT 'macro avg', round((p0 + p1) / 2, 6), round((r0 + r1) / 2, 6),
   FROM f
 UNION ALL SELECT 'weighted avg', round((p0 * n0 + p1 * n1) / (n0 + n1), 6),
   round((r0 * n0 + r1 * n1) / (n0 + n1), 6), round((f0 * n0 + f1 * n1) / (n0 + n1), 6), n0 + n1 FROM f"""
-)
+
+
+@query(GAP_SCORED + _CONFUSION + _REPORT)
+def classification_report_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparable(E.classification_report(views.scored_events_with_gaps(spark, sf_dir), 0.5))
+
+
+@query(SCORED + _CONFUSION + _REPORT)
 def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(E.classification_report(views.scored_events(spark, sf_dir), 0.5))
 
@@ -506,34 +523,36 @@ def banded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(_banded(spark, sf_dir).select("position", "transaction_id", "fraud_probability", "Amount", "decision"))
 
 
-@query("SELECT least(count(*), 250) AS rows, least(count(*), 250) AS ids FROM events")
+_DRAWN = "('0x' || substr(md5('42|tx-' || event_id), 1, 15))::BIGINT"
+
+
+@query(f"SELECT 'tx-' || event_id AS transaction_id, round(value, 6) AS \"Amount\" FROM events ORDER BY {_DRAWN} LIMIT 250")
 def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = sampling.sample_rows(views.event_transactions(spark, sf_dir), 250, key=["transaction_id"])
-    return sample.agg(F.count("*").alias("rows"), F.count_distinct("transaction_id").alias("ids"))
+    return comparable(sample.select("transaction_id", "Amount"))
 
 
 @query(
-    """
-WITH sizes AS (
-  SELECT CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS cls, count(*) AS n FROM events GROUP BY 1),
+    f"""
+WITH e AS (
+  SELECT 'tx-' || event_id AS transaction_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS cls, {_DRAWN} AS h FROM events),
+sizes AS (SELECT cls, count(*) AS n FROM e GROUP BY 1),
 shares AS (
   SELECT cls, n, ceil(round(0.2::DOUBLE * sum(n) OVER (), 9)) AS total,
          n * ceil(round(0.2::DOUBLE * sum(n) OVER (), 9)) / sum(n) OVER ()::DOUBLE AS exact FROM sizes),
 parts AS (
   SELECT *, floor(exact) + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, cls)
                                      <= total - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS test FROM shares)
-SELECT CAST(cls AS BIGINT) AS "Class", CAST(n - test AS BIGINT) AS train_rows, CAST(test AS BIGINT) AS test_rows
-FROM parts"""
+SELECT transaction_id, CAST(cls AS BIGINT) AS "Class",
+       CAST(row_number() OVER (PARTITION BY cls ORDER BY h) <= test AS BIGINT) AS test
+FROM e JOIN parts USING (cls)"""
 )
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.event_transactions(spark, sf_dir)
     rows = rows.select("transaction_id", F.col("Class").cast("int").alias("Class"))
     train, test = sampling.stratified_split(rows, key=["transaction_id"])
-    sides = train.select("Class", F.lit(0).alias("test")).unionByName(test.select("Class", F.lit(1).alias("test")))
-    counts = sides.groupBy("Class").agg(
-        F.count_if(F.col("test") == 0).alias("train_rows"), F.count_if(F.col("test") == 1).alias("test_rows")
-    )
-    return comparable(counts)
+    sides = train.withColumn("test", F.lit(0)).unionByName(test.withColumn("test", F.lit(1)))
+    return comparable(sides)
 
 
 @query(
@@ -545,9 +564,9 @@ FROM events GROUP BY 1"""
 def exact_quantiles_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles per class forced through many value ranges, as a large table takes them."""
     rows = views.event_transactions(spark, sf_dir).select(F.col("Class").cast("int").alias("cls"), "Amount")
+    q = F.col("quantiles")
     cuts = ranks.exact_quantiles(rows, "Amount", [0.33, 0.5, 0.66], "cls", rows_per_range=500)
-    table = [(cls, *values) for cls, values in cuts.items()]
-    return comparable(spark.createDataFrame(table, "cls int, low double, middle double, high double"))
+    return comparable(cuts.select(F.col("g").alias("cls"), q[0].alias("low"), q[1].alias("middle"), q[2].alias("high")))
 
 
 # Models.

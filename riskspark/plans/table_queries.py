@@ -157,7 +157,7 @@ def generated_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _trained(spark, sf_dir)
     path = shared_folder(spark, "generated")
     jobs.generate_alerts(
-        spark, _card_csv(spark, sf_dir), "", path, run.boosted, alert_threshold=0.1, max_alerts=30, now=NOW
+        spark, _card_csv(spark, sf_dir), path, run.boosted, alert_threshold=0.1, max_alerts=30, now=NOW
     )
     rows = alert_table.read_alerts(spark, path)
     columns = ["merchant_name", "Amount", "fraud_probability", "risk_score", "decision", "hour_of_day", "actual_class"]

@@ -92,6 +92,14 @@ def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("Class").cast("int").alias("label"), F.col("fraud_probability").alias("score"))
 
 
+def scored_events_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(label, score) per event, two of seven scores unusable: null or NaN."""
+    rows = event_transactions(spark, sf_dir)
+    n = F.col("event_id") % 7
+    score = F.when(n == 1, float("nan")).when(n != 0, F.col("fraud_probability"))
+    return rows.select(F.col("Class").cast("int").alias("label"), score.alias("score"))
+
+
 def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(label, score) per order line, with many distinct scores."""
     lines = table(spark, sf_dir, "lineitem")
