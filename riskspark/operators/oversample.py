@@ -152,11 +152,12 @@ def oversample(
     minority = base.filter(F.col(label) == small)
     minority = minority.select(row_hash(minority, seed, list(features)).alias(HASH), vector.alias("x"))
     each, rest = divmod(need, few)
-    minority = minority.withColumn("_all", F.lit(0))
+    # The minority is read several times: it is written once, as hash and vector.
+    minority = ranks.work_table(minority, "minority").withColumn("_all", F.lit(0))
     takes = minority.sparkSession.range(1).select(F.lit(0).alias("_all"), F.lit(rest).alias("take"))
     flagged = take_lowest(minority, takes, "_all", HASH)
     points = flagged.groupBy(HASH, "x").agg(F.count("*").alias("n"), F.count_if("_taken").alias("extra"))
-    points = ranks.work_table(points, "minority")
+    points = ranks.work_table(points, "points")
     if method == "exact":
         found = _exact_neighbours(points, k)
     else:

@@ -198,7 +198,8 @@ def banded_sample(
     p = F.col("_p")
     band = F.when(p >= block_at, 3).when(p >= S.FLAG_THRESHOLD, 2).otherwise(1)
     rows = rows.filter(p >= min(save_at, S.FLAG_THRESHOLD))
-    rows = rows.withColumns({"_saved": p >= save_at, "band": band})
+    # Candidates are read by several passes: they are written once.
+    rows = ranks.work_table(rows.withColumns({"_saved": p >= save_at, "band": band}), "candidates")
     rows = amount_pools(rows) if amount else rows.withColumn("pool", F.lit(None).cast("int"))
     rows = rows.withColumn("_large", F.col("_amount") > TINY_AMOUNT)
     survivors = lowest_per_group(rows, ["band", "pool", "_large"], HASH, max_alerts)
