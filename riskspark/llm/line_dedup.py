@@ -6,15 +6,18 @@ segments occurs in it unchanged, near its own place. So segments are indexed by
 probes, for each length it may match, the few substrings at the places a segment can have moved to. Lines that share
 such a key are compared by a banded bit-parallel automaton.
 
-Where very many lines share a key, the unmatched rest of the line is split again, and all but one piece must be equal;
-so a crowd of variants of one line is compared only inside ever smaller groups, down to lines that differ in a
-character (for max_edits = 1; with more edits a crowded key is joined as it is).
+With one edit, the unmatched rest of a line is split again, and all but one piece must be equal: once for all lines that
+share a key, and again as long as a key is crowded. So few lines are left to compare, and a crowd of variants of one
+line meets only in ever smaller groups, down to lines that differ in a character. (With more edits, lines that share a
+segment are compared as they are.)
 
 Lines travel as hashes of 128 bits; texts of lines are shuffled only for lines that share a key.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +25,7 @@ from riskspark.llm.common import pick, stored, with_row_id
 
 MAX_EDITS = 1
 MIN_CHARS = 20  # shorter lines are always kept
-CROWDED = 2_000  # pairs of one key from which its lines are split further
+CROWDED = 1_000  # pairs of one key from which its lines are split once more
 PIECES = 16
 BROADCAST_ROWS = 1_000_000  # of eight bytes
 
@@ -56,24 +59,25 @@ def _keys(max_edits: int) -> Column:
     return F.array(*out)
 
 
-def within_edits(a: Column, b: Column, max_edits: int) -> Column:
-    """Whether a and b are within max_edits edits: one machine word for each number of edits, a bit for each diagonal.
+def within_edits(a: Column, b: Column, max_edits: int, a_from: Column, a_size: Column, b_from: Column, b_size: Column) -> Column:
+    """Whether a part of the characters a and a part of the characters b are within max_edits edits.
 
-    After j characters of b, bit i of word d says that the first j + i - max_edits characters of a can be turned into
-    them by d edits. A step compares the characters in the band, then lets states go on along their diagonal where
-    characters are equal, and to the next word by a replacement, an insertion or a deletion.
+    One machine word for each number of edits, a bit for each diagonal of the band. After j characters of b, bit i of
+    word d says that the first j + i - max_edits characters of a can be turned into them by d edits. A step compares
+    the characters in the band, then lets states go on along their diagonal where characters are equal, and to the
+    next word by a replacement, an insertion or a deletion. a and b are arrays that must be columns of a table: an
+    expression would be computed again in every step.
     """
     k = max_edits
-    left, right = F.split(a, ""), F.split(b, "")
     start = F.array(*[F.lit(sum(1 << (k + r) for r in range(d + 1))) for d in range(k + 1)])
 
     def step(words: Column, j: Column) -> Column:
-        char = F.get(right, j)
+        char = F.get(b, b_from + j)
         equal = F.lit(0)
         for i in range(2 * k + 1):
             place = j + (i - k)
-            # A place before the line's start has no character; get() gives null there.
-            equal = equal.bitwiseOR(F.when(F.get(left, place) == char, 1 << i).otherwise(0))
+            same = (place >= 0) & (place < a_size) & (F.get(a, a_from + place) == char)
+            equal = equal.bitwiseOR(F.when(same, 1 << i).otherwise(0))
         made: list[Column] = []
         for d in range(k + 1):
             own = F.get(words, F.lit(d)).bitwiseAND(equal)
@@ -83,11 +87,11 @@ def within_edits(a: Column, b: Column, max_edits: int) -> Column:
             made.append(own.bitwiseAND((1 << (2 * k + 1)) - 1))
         return F.array(*made)
 
-    m, n = F.char_length(a), F.char_length(b)
-    words = F.aggregate(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), start, step)
+    columns = F.when(b_size > 0, F.sequence(F.lit(0), b_size - 1)).otherwise(F.array().cast("array<int>"))
+    words = F.aggregate(columns, start, step)
     last = F.get(words, F.lit(k))
-    close = F.abs(m - n) <= k
-    return F.when(close, F.getbit(last, F.greatest(m - n + k, F.lit(0))) == 1).otherwise(False)
+    reached = F.getbit(last, F.greatest(a_size - b_size + k, F.lit(0))) == 1
+    return F.when(F.abs(a_size - b_size) <= k, reached).otherwise(False)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -95,7 +99,7 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _pairs(rows: DataFrame, *region: str) -> DataFrame:
+def _pairs(rows: DataFrame, *region: str | Column) -> DataFrame:
     """Pairs (r, s) of lines that share a key of which r is indexed, each pair once from one key."""
     r = rows.filter("indexed").select("key", F.col("h1").alias("r"), *region)
     s = rows.select("key", F.col("h1").alias("s"), F.col("indexed").alias("both"))
@@ -133,34 +137,37 @@ def near_lines(lines: DataFrame, firsts: DataFrame, max_edits: int) -> DataFrame
     rows = stored(keyed.join(_small(shared), "key", "left_semi").distinct(), "keyed-lines")
     wanted = stored(rows.select("h1").distinct(), "candidates")
     texts = lines.join(_small(wanted), "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    texts = stored(texts.join(firsts, ["h1", "h2"]), "candidate-lines")
-    whole = F.lit(0).alias("first"), F.lit(None).cast("int").alias("end"), F.lit(0).alias("length")
+    texts = stored(texts.join(firsts, ["h1", "h2"]).withColumn("chars", F.split("line", "")), "candidate-lines")
     if max_edits > 1:
-        pairs = _pairs(rows).select("r", "s", *whole).distinct()
+        # Nothing but a segment is known to be equal: the whole lines are compared.
+        pairs = _pairs(rows).select("r", "s", F.lit(0).alias("first"), F.lit(0).alias("after")).distinct()
     else:
-        crowded = stored(_crowded(rows), "crowded")
-        pairs = _pairs(rows.join(crowded, "key", "left_anti")).select("r", "s", *whole).distinct()
         half = "floor(length / 2)"
-        more = rows.join(crowded, "key", "left_semi").join(texts.select("h1", "line"), "h1").withColumn("length", F.char_length("line") - F.col("less"))
-        more = more.withColumns({"first": F.expr(f"int(if(i = 0, {half}, 0))"), "end": F.expr(f"int(if(i = 0, length, {half}))")})
-        open_rows = more
-        while not crowded.isEmpty():
+        open_rows = rows.join(texts.select("h1", "line"), "h1").withColumn("length", F.char_length("line") - F.col("less"))
+        open_rows = open_rows.withColumns({"first": F.expr(f"int(if(i = 0, {half}, 0))"), "end": F.expr(f"int(if(i = 0, length, {half}))")})
+        found = []
+        while True:
             made = stored(_split_further(open_rows), "pieces")
             crowded = stored(_crowded(made.filter("end - first > 1")), "crowded")
-            done = made.join(crowded, "key", "left_anti")
-            pairs = pairs.unionByName(_pairs(done, "first", "end", "length"))
+            found.append(_pairs(made.join(crowded, "key", "left_anti"), "first", (F.col("length") - F.col("end")).alias("after")))
+            if crowded.isEmpty():
+                break
             open_rows = made.join(crowded, "key", "left_semi")
-        # One region for each pair: the smallest that was left unmatched; none of these is the whole line.
-        pairs = stored(pairs, "pairs").groupBy("r", "s").agg(
-            F.min(F.struct((F.coalesce("end", F.lit(2**31 - 1)) - F.col("first")).alias("n"), "first", "end", "length")).alias("g")
-        ).select("r", "s", "g.first", "g.end", "g.length")
-    left = texts.select(F.col("h1").alias("r"), F.col("h2").alias("r2"), F.col("line").alias("a"), F.col("at").alias("a_at"))
-    right = texts.select(F.col("h1").alias("s"), F.col("h2").alias("s2"), F.col("line").alias("b"), F.col("at").alias("b_at"))
+        # A pair met at several pieces is compared at one of them: its lines are equal before and after each.
+        pairs = reduce(DataFrame.unionByName, found).groupBy("r", "s").agg(F.max(F.struct("first", "after")).alias("g"))
+        pairs = pairs.select("r", "s", "g.first", "g.after")
+    left = texts.select(F.col("h1").alias("r"), F.col("h2").alias("r2"), F.col("line").alias("a"), F.col("chars").alias("ca"), F.col("at").alias("a_at"))
+    right = texts.select(F.col("h1").alias("s"), F.col("h2").alias("s2"), F.col("line").alias("b"), F.col("chars").alias("cb"), F.col("at").alias("b_at"))
     both = pairs.join(left, "r").join(right, "s")
-    close = within_edits(F.col("a"), F.col("b"), max_edits)
+    first, after = F.col("first"), F.col("after")
+    equal_outside = (F.substring("a", F.lit(1), first) == F.substring("b", F.lit(1), first)) & (
+        F.substring(F.col("a"), F.size("ca") - after + 1, after) == F.substring(F.col("b"), F.size("cb") - after + 1, after)
+    )
+    parts = F.size("ca") - first - after, F.size("cb") - first - after
+    close = within_edits(F.col("ca"), F.col("cb"), max_edits, first, parts[0], first, parts[1])
     earlier = F.col("a_at") < F.col("b_at")
-    found = both.filter(close).select(F.when(earlier, F.struct(F.col("s").alias("h1"), F.col("s2").alias("h2"))).otherwise(F.struct(F.col("r").alias("h1"), F.col("r2").alias("h2"))).alias("f"))
-    return found.select("f.*").distinct()
+    later = F.when(earlier, F.struct(F.col("s").alias("h1"), F.col("s2").alias("h2"))).otherwise(F.struct(F.col("r").alias("h1"), F.col("r2").alias("h2")))
+    return both.filter(equal_outside & close).select(later.alias("f")).select("f.*").distinct()
 
 
 def dropped_lines(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:

@@ -36,7 +36,10 @@ def test_banded_automaton_equals_edit_distance(spark, k):
     for _ in range(200):
         a = "".join(rng.choices("abé", k=rng.randrange(30)))
         pairs.append((a, mutated(rng, a, rng.randrange(k + 3))))
-    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup.within_edits(F.col("a"), F.col("b"), k).alias("near"))
+    df = spark.createDataFrame([(a, b, list(a), list("<" + b)) for a, b in pairs], "a string, b string, ca array<string>, cb array<string>")
+    sizes = F.size("ca"), F.size("cb") - 1
+    near = line_dedup.within_edits(F.col("ca"), F.col("cb"), k, F.lit(0), sizes[0], F.lit(1), sizes[1])
+    df = df.select("a", "b", near.alias("near"))
     for r in df.collect():
         assert r.near == (edits(r.a, r.b) <= k), (r.a, r.b)
 
