@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = entry.QUERIES, entry.SQL  # the rest has tests of its own
 
 
 @pytest.fixture(scope="module")
