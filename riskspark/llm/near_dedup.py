@@ -8,8 +8,10 @@ similarity, and a text throws about k ln k darts, however many elements it has.
 
 Texts with equal shingle sets are collapsed first. Bands of the signature are joined: in a bucket, members are compared
 with one centre, not with each other, and links (exact similarity at or over the threshold) join classes. What a bucket
-still holds of different classes is compared in later rounds, first with other centres, and at last every remaining
-pair of different classes, so no link between different texts of a bucket is lost and no large class is expanded.
+still holds of different classes is compared with another centre, and at last every remaining pair of different
+classes whose similarity can reach the threshold: shingles that no other remaining text has bound it from above, which
+tells apart a text edited too much for any link from a crowd of near copies. So no link between different texts of a
+bucket is lost, and no large class is expanded.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS = 32
 BAND_ROWS = 6  # a pair at 0.8 shares no band with a probability of 6e-5
-STAR_ROUNDS = 6  # at most, before all remaining pairs are compared
+STAR_ROUNDS = 2  # before all remaining pairs are compared
+BROADCAST_ROWS = 1_000_000  # of sixteen bytes
 BLOCK_CHARS = 2 << 20
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -200,8 +203,8 @@ def components(links: DataFrame) -> DataFrame:
     """node, comp (the smallest node of its component) of every node of the links (a, b).
 
     Rounds of large stars and small stars: every node hands its larger, then its smaller, neighbours to the smallest
-    one it knows, until nothing changes. Each round is two joins of the links; only a count and a checksum reach the
-    driver, and a node with very many links is a skewed key of a join, never one group.
+    one it knows, until nothing changes. Only a count and a checksum reach the driver. A table of at most
+    BROADCAST_ROWS rows is broadcast; else a node with very many links is a skewed key of a join, never one group.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     before = None
@@ -210,11 +213,12 @@ def components(links: DataFrame) -> DataFrame:
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select("v", "v").distinct())
         before = after
+        side = F.broadcast if after[0] <= BROADCAST_ROWS else lambda df: df
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(side(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        small = large.join(side(least), "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         edges = stored(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct(), "edges")
 
 
@@ -261,22 +265,17 @@ def classes(
     pairs = stored(members.filter("centre < node").groupBy("node").agg(F.min("centre").alias("a")).select("a", F.col("node").alias("b")), "pairs")
     links = stored(linked(pairs, sets, threshold), "links")
     tested = pairs
-    for star_round in range(STAR_ROUNDS + 1):
-        comps = components(links)
-        open_members = stored(_open(members, comps), "open")
-        per_class = open_members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        crossing = per_class.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
-        left, nodes = crossing.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.sum("n")).first()
-        if not left:
+    comps = stored(components(links), "components")
+    for star_round in range(1, STAR_ROUNDS + 1):
+        open_members = stored(_open(members, comps, sets), "open")
+        if open_members.isEmpty():
             break
-        last = left <= 8 * nodes or star_round == STAR_ROUNDS
-        found = _all_pairs(open_members) if last else _star_pairs(open_members, star_round)
+        last = star_round == STAR_ROUNDS
+        found = _all_pairs(open_members, threshold) if last else _star_pairs(open_members, threshold, star_round)
         pairs = stored(found.join(tested, ["a", "b"], "left_anti"), "pairs")
         links = stored(links.unionByName(linked(pairs, sets, threshold)), "links")
         tested = tested.unionByName(pairs)
-        if last:
-            comps = components(links)
-            break
+        comps = stored(components(links), "components")
     known = reps.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     firsts = known.groupBy("comp").agg(F.min("first").alias("head"))
     heads = known.join(firsts, "comp").select("set_key", "head")
@@ -290,27 +289,40 @@ def classes(
     )
 
 
-def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """bucket, node, comp of the buckets that still hold more than one class."""
+def _open(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """bucket, node, comp, n (shingles) and own (those no other open node has) of buckets with more than one class."""
     placed = members.select("bucket", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    return placed.join(mixed.select("bucket"), "bucket")
+    left = stored(placed.join(mixed.select("bucket"), "bucket"), "mixed")
+    held = sets.join(left.select("node").distinct(), "node", "left_semi")
+    shingles = held.select("node", F.explode("shingles").alias("shingle"))
+    alone = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
+    own = alone.groupBy("node").agg(F.count("*").alias("own"))
+    sizes = held.select("node", F.size("shingles").alias("n")).join(own, "node", "left")
+    return left.join(sizes.select("node", "n", F.coalesce("own", F.lit(0)).alias("own")), "node")
+
+
+def _possible(threshold: float, a: str, b: str) -> Column:
+    """Whether two sets can be alike: they share at most what is not a set's own, of either."""
+    size = lambda x, name: F.col(f"{x}.{name}")
+    most = F.least(size(a, "n") - size(a, "own"), size(b, "n") - size(b, "own"))
+    return most >= threshold * (size(a, "n") + size(b, "n") - most) - 1e-9
 
 
-def _star_pairs(open_members: DataFrame, star_round: int) -> DataFrame:
+def _star_pairs(open_members: DataFrame, threshold: float, star_round: int) -> DataFrame:
     """For each node one centre of another class, from the buckets' centres of this round."""
-    order = F.struct(F.xxhash64("node", F.lit(star_round)).alias("h"), "node", "comp")
+    order = F.struct(F.xxhash64("node", F.lit(star_round)).alias("h"), "node", "comp", "n", "own")
     centres = open_members.groupBy("bucket").agg(F.min(order).alias("c"))
-    met = open_members.join(centres, "bucket").filter("c.comp <> comp")
+    met = open_members.withColumn("m", F.struct("n", "own")).join(centres, "bucket").filter("c.comp <> comp").filter(_possible(threshold, "m", "c"))
     chosen = met.groupBy("node").agg(F.min("c").alias("c"))
     return chosen.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
-def _all_pairs(open_members: DataFrame) -> DataFrame:
-    """Every pair of a bucket whose classes differ; their number was checked."""
-    a = open_members.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"))
-    b = open_members.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    return a.join(b, "bucket").filter("a < b AND ca <> cb").select("a", "b").distinct()
+def _all_pairs(open_members: DataFrame, threshold: float) -> DataFrame:
+    """Every pair of a bucket whose classes differ and that can be alike."""
+    a, b = open_members.alias("x"), open_members.alias("y")
+    differ = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
+    return a.join(b, differ & _possible(threshold, "x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
