@@ -15,12 +15,13 @@ import base64
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.llm.common import pick, small_batches
+from riskspark.llm.pretokens import Splitter
 
 LEAF = 256
 CACHED_BYTES = 64  # longer pre-tokens are not kept
@@ -112,8 +113,13 @@ class Codec(dict):
     def __init__(self, path: str, pattern: str):
         super().__init__()
         self.ranks = read_ranks(path)
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.find = regex.compile(pattern).findall
+        self.split = Splitter(pattern)
+        # All tokens in one run of bytes, by id: where each starts and how long it is.
+        tokens = {rank: token for token, rank in self.ranks.items()}
+        own = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.pool = np.frombuffer(b"".join(own), np.uint8)
+        self.sizes = np.array([len(t) for t in own], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def __missing__(self, piece: str) -> bytes:
         data = piece.encode()
@@ -125,10 +131,14 @@ class Codec(dict):
         return packed
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.find(text)))
+        return b"".join(map(self.__getitem__, self.split(text)))
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, memoryview(packed).cast("I").tolist()))
+        ids = np.frombuffer(packed, "<u4")
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        places = np.repeat(self.starts[ids] - (ends - sizes), sizes)
+        return self.pool[places + np.arange(len(places))].tobytes()
 
 
 def codec(path: str, pattern: str) -> Codec:

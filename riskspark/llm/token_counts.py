@@ -11,16 +11,17 @@ Tier one only saves work and never changes a count, so it is filled from a bound
 from __future__ import annotations
 
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.llm.common import pick, small_batches
+from riskspark.llm.pretokens import Splitter, is_plain
 
 FREQUENT = 32_768
 SAMPLE_DOCS = 2_000
@@ -28,11 +29,8 @@ CACHED_ENTRIES = 1_000_000
 CACHED_CHARS = 64
 
 #: The vocabulary file's special strings (each one token) and its pre-token pattern.
-SPECIAL = regex.compile(r"<\|startoftext\|>|<\|endoftext\|>")
-PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]++|[\p{N}]|[^\s\p{L}\p{N}]++")
-
-#: Texts without other characters need no composition, and Python and the library agree on their lower case.
-PLAIN = regex.compile(r"[\x00-ɏ‐-‧‰-⁞₠-₿]*+")
+SPECIAL = re.compile(r"<\|startoftext\|>|<\|endoftext\|>")
+PRE_TOKEN = Splitter(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 _loaded: dict[str, "Lengths"] = {}
 
@@ -59,9 +57,8 @@ class Lengths(dict):
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a text without special strings, normalized."""
-        if text.isascii() or PLAIN.fullmatch(text):
-            return PRE_TOKEN.findall(text.lower())
-        return PRE_TOKEN.findall(self.tokenizer.normalizer.normalize_str(text))
+        # Plain texts need no composition, and Python and the library agree on their lower case.
+        return PRE_TOKEN(text.lower() if is_plain(text) else self.tokenizer.normalizer.normalize_str(text))
 
     def pieces(self, text: str) -> list[str]:
         """The text between special strings."""

@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from riskspark.llm import byte_bpe, decontaminate, quality, token_counts
+from riskspark.llm import byte_bpe, decontaminate, pretokens, quality, token_counts
 
 BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -91,11 +91,21 @@ def test_plain_texts_normalize_like_the_library():
     own = token_counts.Lengths(WORD_BPE)
     for start in range(0, 0x250, 8):
         text = "".join(f"a{chr(c)}B" for c in range(start, start + 8))
-        assert token_counts.PLAIN.fullmatch(text)
-        want = token_counts.PRE_TOKEN.findall(own.tokenizer.normalizer.normalize_str(text))
+        assert pretokens.is_plain(text)
+        want = token_counts.PRE_TOKEN.full(own.tokenizer.normalizer.normalize_str(text))
         assert own.words(text) == want
 
 
+def test_plain_patterns_split_alike():
+    rng = random.Random(12)
+    every = [chr(c) for c in range(0x250)] + [chr(c) for c in (*range(0x2010, 0x2028), *range(0x2030, 0x205F), *range(0x20A0, 0x20C0))]
+    for pattern in (public_tokenizers.PATTERN, r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"):
+        split = pretokens.Splitter(pattern)
+        for _ in range(300):
+            text = "".join(rng.choices(every + list("  aabb11''\n\n..stmvl") * 20, k=80))
+            assert pretokens.is_plain(text) and split.plain(text) == split.full(text)
+
+
 def test_token_counts_of_no_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert token_counts.count_tokens(empty, WORD_BPE).collect() == []
