@@ -94,9 +94,10 @@ def within_edits(a: Column, b: Column, max_edits: int, a_from: Column, a_size: C
     return F.when(F.abs(a_size - b_size) <= k, reached).otherwise(False)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df with a hint to broadcast it, if it was counted and is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, rows: Column | None = None) -> DataFrame:
+    """df with a hint to broadcast it, if its rows (or what `rows` counts in each) were counted and are few."""
+    held = df.count() if rows is None else df.agg(F.sum(rows)).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_ROWS else df
 
 
 def _pairs(rows: DataFrame, *region: str | Column) -> DataFrame:
@@ -194,7 +195,7 @@ def without_repeated_lines(
     """
     base = with_row_id(pick(docs, doc_id=id_column, text=text_column))
     gone = stored(dropped_lines(base, max_edits, min_chars), "dropped")
-    joined = base.join(gone, "row", "left")
+    joined = base.join(_small(gone, F.size("gone") + 2), "row", "left")
     lines = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
@@ -211,7 +212,7 @@ def drop_repeated_lines(docs: DataFrame, text_column: str = "text", id_column: s
     """docs with the lines that stay as text; a document that had lines and loses all of them goes. docs must be a scan."""
     numbered = with_row_id(docs, "_row")
     gone = stored(dropped_lines(with_row_id(pick(docs, doc_id=id_column, text=text_column)), MAX_EDITS, MIN_CHARS), "dropped")
-    joined = numbered.join(gone.withColumnsRenamed({"row": "_row", "gone": "_gone"}), "_row", "left")
+    joined = numbered.join(_small(gone, F.size("gone") + 2).withColumnsRenamed({"row": "_row", "gone": "_gone"}), "_row", "left")
     lines = F.split(joined[text_column], "\n", -1)
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i))
     kept = F.when(F.col("_gone").isNull(), joined[text_column]).otherwise(F.array_join(left, "\n"))
