@@ -24,16 +24,18 @@ from pyspark.sql import functions as F
 from riskspark.llm.common import pick, stored, with_row_id
 
 MAX_EDITS = 1
-MIN_CHARS = 20  # shorter lines are always kept
+MIN_CHARS = 20  # shorter lines are always kept, unless every line is asked for
 CROWDED = 1_000  # pairs of one key from which its lines are split once more
 PIECES = 16
 BROADCAST_ROWS = 1_000_000  # of eight bytes
+NOT_BLANK = "[^\\x20\\x09-\\x0D]"
 
 
-def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """row, doc_id, pos, line, h1, h2 of every line of at least min_chars characters."""
+def lines_of(docs: DataFrame, min_chars: int, every_line: bool = False) -> DataFrame:
+    """row, doc_id, pos, line, h1, h2 of every line of at least min_chars characters; of every non-blank line if asked."""
     lines = docs.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.filter(F.char_length("line") >= min_chars)
+    wanted = F.char_length("line") >= min_chars
+    lines = lines.filter(wanted | F.col("line").rlike(NOT_BLANK) if every_line else wanted)
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -171,12 +173,13 @@ def near_lines(lines: DataFrame, firsts: DataFrame, max_edits: int) -> DataFrame
     return both.filter(equal_outside & close).select(later.alias("f")).select("f.*").distinct()
 
 
-def dropped_lines(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+def dropped_lines(docs: DataFrame, max_edits: int, min_chars: int, every_line: bool = False) -> DataFrame:
     """row, pos (array) of the lines that are dropped, of (row, doc_id, text)."""
-    lines = lines_of(docs, min_chars)
+    lines = lines_of(docs, min_chars, every_line)
     firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "pos")).alias("at"), F.count("*").alias("n"))
     firsts = stored(firsts, "first-lines")
-    near = stored(near_lines(lines, firsts.select("h1", "h2", "at"), max_edits).withColumn("near", F.lit(True)), "near-lines")
+    compared = lines.filter(F.char_length("line") >= min_chars) if every_line else lines
+    near = stored(near_lines(compared, firsts.select("h1", "h2", "at"), max_edits).withColumn("near", F.lit(True)), "near-lines")
     judged = firsts.join(near, ["h1", "h2"], "left").filter("n > 1 OR near").select("h1", "h2", "at", "near")
     met = lines.select("h1", "h2", "row", "pos").join(judged, ["h1", "h2"])
     gone = met.filter(F.col("near").isNotNull() | (F.col("row") != F.col("at.row")) | (F.col("pos") != F.col("at.pos")))
@@ -184,17 +187,23 @@ def dropped_lines(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
 
 
 def without_repeated_lines(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    max_edits: int = MAX_EDITS,
+    min_chars: int = MIN_CHARS,
+    every_line: bool = False,
 ) -> DataFrame:
     """row, doc_id, n_lines, n_removed and kept (text) of every document; docs must be a scan (see with_row_id).
 
     Lines are what is between line feeds, and are ordered by (doc_id, row, place). A line of at least min_chars
     characters is dropped if an earlier line equals it or is within max_edits edits of it (whether or not that one is
-    kept). A null text has no lines and stays null; an empty text has one empty line. Null ids come first. Of equal
-    rows the first keeps its lines. An empty table gives no rows.
+    kept). With every_line, a shorter non-blank line is dropped too, if an earlier line equals it. A null text has no
+    lines and stays null; an empty text has one empty line. Null ids come first. Of equal rows the first keeps its
+    lines. An empty table gives no rows.
     """
     base = with_row_id(pick(docs, doc_id=id_column, text=text_column))
-    gone = stored(dropped_lines(base, max_edits, min_chars), "dropped")
+    gone = stored(dropped_lines(base, max_edits, min_chars, every_line), "dropped")
     joined = base.join(_small(gone, F.size("gone") + 2), "row", "left")
     lines = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
@@ -208,13 +217,17 @@ def without_repeated_lines(
     )
 
 
-def drop_repeated_lines(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """docs with the lines that stay as text; a document that had lines and loses all of them goes. docs must be a scan."""
+def drop_repeated_lines(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id", every_line: bool = False) -> DataFrame:
+    """docs with the lines that stay as text; a document that had lines and loses all of them goes. docs must be a scan.
+
+    Without every_line a copy that holds a short line stays as a stub of its short lines.
+    """
     numbered = with_row_id(docs, "_row")
-    gone = stored(dropped_lines(with_row_id(pick(docs, doc_id=id_column, text=text_column)), MAX_EDITS, MIN_CHARS), "dropped")
+    base = with_row_id(pick(docs, doc_id=id_column, text=text_column))
+    gone = stored(dropped_lines(base, MAX_EDITS, MIN_CHARS, every_line), "dropped")
     joined = numbered.join(_small(gone, F.size("gone") + 2).withColumnsRenamed({"row": "_row", "gone": "_gone"}), "_row", "left")
     lines = F.split(joined[text_column], "\n", -1)
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i))
     kept = F.when(F.col("_gone").isNull(), joined[text_column]).otherwise(F.array_join(left, "\n"))
-    emptied = F.col("_gone").isNotNull() & ~F.col("_kept").rlike("[^\\x20\\x09-\\x0D]")
+    emptied = F.col("_gone").isNotNull() & ~F.col("_kept").rlike(NOT_BLANK)
     return joined.withColumn("_kept", kept).filter(~emptied).withColumn(text_column, F.col("_kept")).select(*docs.columns)

@@ -213,3 +213,32 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents"))
     kept = F.coalesce("kept", F.lit(""))
     return judged.select("doc_id", "n_lines", "n_removed", F.char_length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
+@query(
+    f"""
+WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) AS place FROM l),
+u AS (SELECT line, length(line) AS n, min(place) AS place FROM o GROUP BY line),
+long AS (SELECT * FROM u WHERE n >= {line_dedup.MIN_CHARS}),
+k AS (SELECT line, place, n AS len, 1 AS i, left(line, n // 2) AS seg, true AS own FROM long
+  UNION ALL SELECT line, place, n, 2, right(line, n - n // 2), true FROM long
+  UNION ALL SELECT line, place, n - 1, 1, left(line, (n - 1) // 2), false FROM long
+  UNION ALL SELECT line, place, n - 1, 2, right(line, (n - 1) - (n - 1) // 2), false FROM long),
+pairs AS (SELECT DISTINCT a.line AS a, b.line AS b, a.place AS a_at, b.place AS b_at, a.len AS n, length(b.line) - a.len AS more
+  FROM k a JOIN k b USING (len, i, seg) WHERE a.own AND a.line <> b.line),
+places AS (SELECT *, unnest(range(0, n + more)) AS p FROM pairs),
+near AS (SELECT DISTINCT CASE WHEN a_at < b_at THEN b ELSE a END AS line FROM places
+  WHERE left(a, p) = left(b, p) AND right(a, n - 1 - p + more) = right(b, n - 1 - p + more)),
+kept AS (SELECT o.doc_id, o.pos, o.line, near.line IS NULL
+    AND (u.place = o.place OR (u.n < {line_dedup.MIN_CHARS} AND NOT regexp_matches(o.line, '[^\\x20\\x09-\\x0D]'))) AS keep
+  FROM o JOIN u ON u.line = o.line LEFT JOIN near ON near.line = o.line)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT keep) AS n_removed,
+  length(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (keep), ''))::BIGINT AS kept_chars,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (keep), '')) AS kept_sha256
+FROM kept GROUP BY doc_id"""
+)
+def op5_every_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents"), every_line=True)
+    kept = F.coalesce("kept", F.lit(""))
+    return judged.select("doc_id", "n_lines", "n_removed", F.char_length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))

@@ -96,3 +96,15 @@ def test_no_documents(spark, tmp_path):
     path = str(tmp_path / "none")
     spark.createDataFrame([], "doc_id long, text string").write.parquet(path)
     assert line_dedup.without_repeated_lines(spark.read.parquet(path)).collect() == []
+
+
+def test_copies_with_a_short_line_leave_no_stub(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    text = "a line that is long enough\nshort\n \nanother line that is long enough\nshory"
+    rows = [(1, text), (2, text), (3, "short\n\n \na line that stands here alone"), (4, "shor")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs, every_line=True).collect()}
+    assert got == {1: text, 3: "\n \na line that stands here alone", 4: "shor"}
+    removed = {r.doc_id: r.n_removed for r in line_dedup.without_repeated_lines(docs, every_line=True).collect()}
+    assert removed == {1: 0, 2: 4, 3: 1, 4: 0}
