@@ -3,9 +3,10 @@
 The tokenizer splits a text into pre-tokens and each pre-token into tokens, so a text's count is the sum over its
 pre-tokens. Tier one is a compact table of frequent pre-tokens and their token counts, broadcast to all workers
 (FREQUENT entries at most). Tier two is a cache in each Python worker: what tier one lacks is encoded by the library
-once and kept, up to a bound. No pre-token is ever shuffled; the whole count is one pass over the texts.
+once and kept, up to a bound. The counts are one pass over the texts that shuffles nothing.
 
-Tier one only saves work and never changes a count, so it is filled from a bounded sample of documents (SAMPLE_DOCS).
+Tier one is found by a pass of its own over all texts: tasks count their pre-tokens, and each distinct one is shuffled
+once per task (more often if a task holds more than FLUSH_WORDS of them). It only saves work and never changes a count.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from riskspark.llm.common import pick, small_batches
 from riskspark.llm.pretokens import Splitter, is_plain
 
 FREQUENT = 32_768
-SAMPLE_DOCS = 2_000
+FLUSH_WORDS = 300_000  # distinct pre-tokens a task counts before it hands them on
 CACHED_ENTRIES = 1_000_000
 CACHED_CHARS = 64
 
@@ -83,26 +84,34 @@ def lengths(path: str) -> Lengths:
     return _loaded[path]
 
 
-def frequent_lengths(texts: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, most: int = FREQUENT) -> dict[str, int]:
-    """Token counts of the `most` most frequent pre-tokens in about `sample_docs` documents of column `text`."""
-    rows = texts.count()
-    if not rows:
-        return {}
-    sample = texts.sample(fraction=min(1.0, sample_docs / rows), seed=7) if rows > sample_docs else texts
+def frequent_lengths(texts: DataFrame, path: str, most: int = FREQUENT) -> dict[str, int]:
+    """Token counts of the `most` most frequent pre-tokens in all of column `text`."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = lengths(path), Counter()
+
+        def made() -> pa.RecordBatch:
+            words, ns = list(seen), list(seen.values())
+            seen.clear()
+            return pa.record_batch({"word": pa.array(words, pa.string()), "n": pa.array(ns, pa.int64())})
+
         for batch in batches:
             for text in batch.column("text"):
                 for piece in own.pieces(text.as_py() or ""):
                     seen.update(w for w in own.words(piece) if len(w) <= CACHED_CHARS)
-        words = list(seen)
-        yield pa.record_batch(
-            {"word": pa.array(words, pa.string()), "n": pa.array([seen[w] for w in words], pa.int64()), "tokens": pa.array([own[w] for w in words], pa.int32())}
-        )
+                if len(seen) >= FLUSH_WORDS:
+                    yield made()
+        yield made()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = lengths(path)
+        for batch in batches:
+            words = batch.column("word")
+            yield pa.record_batch({"word": words, "tokens": pa.array([own[w] for w in words.to_pylist()], pa.int32())})
 
-    counted = sample.select("text").mapInArrow(count, "word string, n long, tokens int").groupBy("word", "tokens").agg(F.sum("n").alias("n"))
-    return {r.word: r.tokens for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()}
+    counted = texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "word").limit(most).select("word")
+    return {r.word: r.tokens for r in top.mapInArrow(encode, "word string, tokens int").collect()}
 
 
 def count_tokens(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -87,6 +87,17 @@ def test_token_counts_equal_the_library(odd):
     assert by_id(token_counts.count_tokens(odd, WORD_BPE), "n_bytes", "n_tokens") == want
 
 
+def test_frequent_pre_tokens_are_those_of_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "FLUSH_WORDS", 500)
+    names = ["".join("abcdefghij"[int(c)] for c in f"{i:04}") for i in range(2500)]
+    texts = [f"same {name} same" for name in names] + [None, "", "w" * 65]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    library = Tokenizer.from_file(WORD_BPE)
+    size = lambda w: len(library.encode(w, add_special_tokens=False).ids)
+    assert token_counts.frequent_lengths(docs, WORD_BPE) == {w: size(w) for w in ["same", *names]}
+    assert token_counts.frequent_lengths(docs, WORD_BPE, most=3) == {w: size(w) for w in ["same", *names[:2]]}
+
+
 def test_plain_texts_normalize_like_the_library():
     own = token_counts.Lengths(WORD_BPE)
     for start in range(0, 0x250, 8):
