@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -22,6 +23,7 @@ from riskspark.sources.transactions import read_or_none
 
 TRIGGER = "10 seconds"
 CORRUPT = "_corrupt_record"
+ROWS_PER_FILE = 1_000_000
 log = logging.getLogger(__name__)
 
 
@@ -136,9 +138,10 @@ def read_batch_figures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact_day(spark: SparkSession, path: str, out_path: str, stored_date: str) -> int:
-    """Copy one day's many small alert folders into few files of a compacted table; returns its alerts."""
+    """Copy one day's many small alert folders into files of up to about ROWS_PER_FILE alerts of a compacted table; returns its alerts."""
     day = read_stream_alerts(spark, path).filter(F.col("stored_date") == F.lit(stored_date).cast("date"))
-    day.drop("stored_date").coalesce(1).write.mode("overwrite").parquet(f"{out_path}/stored_date={stored_date}")
+    files = max(1, math.ceil(day.count() / ROWS_PER_FILE))
+    day.drop("stored_date").repartition(files).write.mode("overwrite").parquet(f"{out_path}/stored_date={stored_date}")
     return spark.read.parquet(f"{out_path}/stored_date={stored_date}").count()
 
 

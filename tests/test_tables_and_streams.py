@@ -169,3 +169,17 @@ def test_hourly_view_equals_batch(spark, tmp_path):
 
 def test_shared_folder_uses_the_session_setting(spark):
     assert shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_a_large_day_is_compacted_into_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streaming, "ROWS_PER_FILE", 100, raising=False)
+    path, out = str(tmp_path / "alerts"), str(tmp_path / "compact")
+    rows = spark.range(1000).select(
+        F.lit("2026-06-03").cast("date").alias("stored_date"), F.col("id").cast("string").alias("transaction_id")
+    )
+    rows.write.partitionBy("stored_date").parquet(path)
+    assert streaming.compact_day(spark, path, out, "2026-06-03") == 1000
+    assert streaming.compact_day(spark, path, out, "2026-06-04") == 0
+    files = spark.read.parquet(f"{out}/stored_date=2026-06-03")
+    assert sorted(int(r.transaction_id) for r in files.collect()) == list(range(1000))
+    assert max(r["count"] for r in files.groupBy(F.input_file_name()).count().collect()) <= 200
