@@ -618,13 +618,13 @@ def min_max_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def isolation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _card_features(spark, sf_dir)
-    forest = isolation.fit_isolation_forest(X.only_negatives(rows), trees=50, key=["vec_id"])
+    forest = isolation.fit_isolation_forest(X.only_negatives(rows), key=["vec_id"])
     return comparable(isolation.min_max_scaled(forest.transform(rows)).select("vec_id", "score"))
 
 
-def _boosted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, models.ScoringModel]:
+def _boosted(spark: SparkSession, sf_dir: str, **boosting: object) -> tuple[DataFrame, models.ScoringModel]:
     rows = _card_features(spark, sf_dir)
-    classifier = models.fit_boosted_trees(rows, positive_weight=9.0, maxIter=10)
+    classifier = models.fit_boosted_trees(rows, positive_weight=9.0, **boosting)
     return rows, models.ScoringModel(classifier, stats={"amount_mean": 20.0, "amount_std": 40.0})
 
 
@@ -638,7 +638,7 @@ def boosted_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def boosted_tree_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, model = _boosted(spark, sf_dir)
+    rows, model = _boosted(spark, sf_dir, maxIter=10)
     scored = models.score_transactions(rows.drop(*S.ENGINEERED_FEATURES), model, explain=True)
     return comparable(scored.select("vec_id", F.inline("top_shap_features")))
 

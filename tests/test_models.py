@@ -8,7 +8,7 @@ from riskspark.operators import evaluation as E
 from riskspark.operators import features as X
 from riskspark.operators import isolation, models
 from riskspark.operators.oversample import nearest, oversample
-from riskspark.plans import jobs
+from riskspark.plans import jobs, model_queries
 from riskspark.sources import alerts as table
 from riskspark.sources import artifacts, messages, model_store
 from riskspark.streaming import alerts as streaming
@@ -185,3 +185,29 @@ def test_stream_with_a_loaded_model_equals_batch(spark, features, cards, tmp_pat
     assert tuple(figures) == (1500, live.count())
     day = live.select("stored_date").first()[0]
     assert streaming.compact_day(spark, path, str(tmp_path / "compact"), str(day)) == live.filter(F.col("stored_date") == F.lit(day)).count()
+
+
+def test_registered_isolation_scores_come_from_all_trees(spark, monkeypatch):
+    class Asked(Exception):
+        pass
+
+    def fit(negatives, *args, trees=isolation.TREES, **kwargs):
+        raise Asked(trees)
+
+    monkeypatch.setattr(isolation, "fit_isolation_forest", fit)
+    with pytest.raises(Asked) as asked:
+        model_queries.isolation_scores(spark, "/root/testdata/sf0.001")
+    assert asked.value.args == (350,)
+
+
+def test_registered_boosted_tree_scores_come_from_all_iterations(spark, monkeypatch):
+    class Asked(Exception):
+        pass
+
+    def fit(rows, *args, **kwargs):
+        raise Asked(models.BOOSTING | kwargs)
+
+    monkeypatch.setattr(models, "fit_boosted_trees", fit)
+    with pytest.raises(Asked) as asked:
+        model_queries.boosted_tree_scores(spark, "/root/testdata/sf0.001")
+    assert (asked.value.args[0]["maxIter"], asked.value.args[0]["maxDepth"]) == (450, 4)
