@@ -11,7 +11,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import byte_bpe, chat, decontaminate, line_dedup, lm_score, near_dedup, quality, substring_dedup, token_counts, warc
+from riskspark.llm import (
+    byte_bpe,
+    chat,
+    conversation_repair,
+    decontaminate,
+    line_dedup,
+    lm_score,
+    merkle,
+    near_dedup,
+    quality,
+    substring_dedup,
+    token_counts,
+    warc,
+    word_bpe,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -242,3 +256,144 @@ def op5_every_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents"), every_line=True)
     kept = F.coalesce("kept", F.lit(""))
     return judged.select("doc_id", "n_lines", "n_removed", F.char_length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
+@query()
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = word_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def _crc32_sql(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text of ASCII characters: bit by bit, each character followed by seven zeros."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "lambda c, e: xor(xor(c, e) >> 1, CASE WHEN xor(c, e) & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), {step}), 4294967295)"
+
+
+def _field_sql(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+
+def _leaf_sql(n_chars: str = "n_chars") -> str:
+    return "sha256(" + " || ".join(map(_field_sql, ["doc_id", "source", "lang", n_chars, "text"])) + ")"
+
+
+@query(
+    f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS grp, {_leaf_sql()} AS leaf,
+    CASE WHEN {_crc32_sql("doc_id::VARCHAR")} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} ELSE {_leaf_sql()} END AS claimed FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY grp) AS width FROM d),
+low AS (SELECT 0 AS level, grp, place, width, leaf AS digest FROM leaves
+  UNION ALL SELECT level + 1, grp, place // 2, (width + 1) // 2, sha256(string_agg(digest, '' ORDER BY place)) FROM low
+    WHERE width > 1 GROUP BY level, grp, place // 2, width),
+subroots AS (SELECT grp, digest AS subroot, row_number() OVER (ORDER BY grp) - 1 AS top_place, count(*) OVER () AS top_width FROM low WHERE width = 1),
+high AS (SELECT 0 AS level, top_place AS place, top_width AS width, subroot AS digest FROM subroots
+  UNION ALL SELECT level + 1, place // 2, (width + 1) // 2, sha256(string_agg(digest, '' ORDER BY place)) FROM high
+    WHERE width > 1 GROUP BY level, place // 2, width),
+folded AS (SELECT 0 AS level, doc_id, grp, leaf, claimed, place, width, claimed AS held, '' AS proof FROM leaves
+  UNION ALL SELECT f.level + 1, doc_id, f.grp, leaf, claimed, f.place // 2, (f.width + 1) // 2,
+    sha256(CASE WHEN f.place % 2 = 1 THEN s.digest || held ELSE held || coalesce(s.digest, '') END), proof || coalesce(s.digest, '')
+    FROM folded f LEFT JOIN low s ON s.level = f.level AND s.grp = f.grp AND s.place = xor(f.place, 1) WHERE f.width > 1),
+topped AS (SELECT 0 AS level, doc_id, leaf, subroot, top_place AS place, top_width AS width, held, proof FROM folded JOIN subroots USING (grp) WHERE width = 1
+  UNION ALL SELECT t.level + 1, doc_id, leaf, subroot, t.place // 2, (t.width + 1) // 2,
+    sha256(CASE WHEN t.place % 2 = 1 THEN s.digest || held ELSE held || coalesce(s.digest, '') END), proof || coalesce(s.digest, '')
+    FROM topped t LEFT JOIN high s ON s.level = t.level AND s.place = xor(t.place, 1) WHERE t.width > 1)
+SELECT doc_id, leaf, subroot, (SELECT digest FROM high WHERE width = 1) AS root, sha256(proof) AS proof_sha256, held AS folded_root,
+  held = (SELECT digest FROM high WHERE width = 1) AS verified
+FROM topped WHERE width = 1"""
+)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    own = [F.col(f"f{i}") for i in range(len(fields))]
+    tampered = [c + 1 if name == "n_chars" else c for name, c in zip(fields, own)]
+    hit = F.crc32(F.col("f0").cast("string").cast("binary")) % 7 == 0
+    # Only what is tampered with is hashed a second time.
+    made = merkle.manifest(table(spark, sf_dir, "documents"), fields=fields, claimed={"tampered": F.when(hit, merkle.row_digest(tampered))})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof"), F.col("top_proof"))
+    read = made.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof"), F.col("top_proof")).alias("proof_sha256"), folded.alias("folded_root")
+    )
+    return read.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _edit_steps() -> str:
+    """SQL values (q, need, q2, cost, edits, lines, role): up to two inserted turns and then what is done with one row.
+
+    States: 0 nothing yet, 1 after system, 2 after user, 3 after assistant. need: a letter that the row's role must begin
+    with to be kept, `R` for a new role, `D` for a deletion. lines: the inserted turns; role: the row's own if null.
+    """
+    made = {0: (2, "user"), 1: (2, "user"), 2: (3, "assistant"), 3: (2, "user")}
+    steps = []
+    for start in made:
+        q, cost, edits, lines = start, 0, "", ""
+        for _ in range(3):
+            follow, role = made[q]
+            steps.append((start, "D", q, cost + 3, edits + "D", lines, None))
+            steps.append((start, role[0], follow, cost, edits + "K", lines, None))
+            steps.append((start, "R", follow, cost + 2, edits + "R", lines, role))
+            if q == 0:
+                steps.append((start, "s", 1, cost, edits + "K", lines, None))
+            q, cost, edits, lines = follow, cost + 2, edits + "I", lines + f"|{role}:"
+    return ", ".join(f"({', '.join('NULL' if v is None else repr(v) for v in step)})" for step in steps)
+
+
+_BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(
+    f"""
+WITH RECURSIVE steps AS (SELECT * REPLACE (replace(lines, '|', chr(10)) AS lines) FROM (VALUES {_edit_steps()}) AS t(q, need, q2, cost, edits, lines, made)),
+said AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS f FROM conversations),
+damaged AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+  CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE f WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM said),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+judged AS (SELECT *, left(role, 1) AS initial, rtrim(text, {_BLANKS_SQL}) AS body, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS previous FROM ordered),
+faults AS (SELECT *, body = '' AS blank, body <> '' AND seen > 1 AS again, body <> '' AND seen = 1 AND right(body, 1) NOT IN ('.', '!', '?') AS cut FROM judged),
+figures AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+  count_if(again) AS duplicate, count_if(cut) AS truncated, count_if(previous || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id),
+best AS (SELECT conv_id, 0::BIGINT AS i, 0 AS q, '000000000' AS k, '' AS made FROM figures
+  UNION ALL SELECT conv_id, i, q, min(k), arg_min(made, k) FROM (
+    SELECT b.conv_id, f.i, s.q2 AS q, lpad((left(b.k, 9)::BIGINT + s.cost + CASE WHEN f.cut AND s.need <> 'D' THEN 1 ELSE 0 END)::VARCHAR, 9, '0')
+      || substr(b.k, 10) || s.edits AS k, b.made || s.lines || CASE WHEN s.need = 'D' THEN '' ELSE chr(10) || coalesce(s.made, f.role) || ':' || f.text END AS made
+    FROM best b JOIN faults f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i + 1
+    JOIN steps s ON s.q = b.q AND (s.need = 'D' OR NOT (f.blank OR f.again)) AND s.need IN ('D', 'R', f.initial))
+  GROUP BY conv_id, i, q),
+ended AS (SELECT b.conv_id, lpad((left(k, 9)::BIGINT + CASE q WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END)::VARCHAR, 9, '0')
+    || substr(k, 10) || CASE q WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS k,
+    b.made || CASE q WHEN 1 THEN chr(10) || 'user:' || chr(10) || 'assistant:' WHEN 2 THEN chr(10) || 'assistant:' ELSE '' END AS made
+  FROM best b JOIN figures g ON g.conv_id IS NOT DISTINCT FROM b.conv_id AND g.n = b.i),
+chosen AS (SELECT conv_id, min(k) AS k, arg_min(made, k) AS made FROM ended GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(left(k, 9)::BIGINT, 0)::BIGINT AS cost,
+  coalesce(substr(k, 10), '') AS audit, sha256(coalesce(substr(made, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN figures g ON g.conv_id IS NOT DISTINCT FROM a.conv_id
+  LEFT JOIN chosen c ON c.conv_id IS NOT DISTINCT FROM a.conv_id"""
+)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = conversation_repair.repair_conversations(damaged(table(spark, sf_dir, "conversations")), gone="gone")
+    return fixed.withColumn("repaired_sha256", F.sha2(conversation_repair.repaired_text(F.col("repaired")), 256)).drop("repaired")
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """The contract's damage by a hash of conversation and turn; a dropped row stays, marked, for its conversation's sake."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    kind = F.crc32(key.cast("binary")) % 20
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    return turns.select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, "user").otherwise(role).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        (kind == 0).alias("gone"),
+        F.explode(F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    )
