@@ -8,10 +8,17 @@ similarity, and a text throws about k ln k darts, however many elements it has.
 
 Texts with equal shingle sets are collapsed first. Bands of the signature are joined: in a bucket, members are compared
 with one centre, not with each other, and links (exact similarity at or over the threshold) join classes. What a bucket
-still holds of different classes is compared with another centre, and at last every remaining pair of different
-classes whose similarity can reach the threshold: shingles that no other remaining text has bound it from above, which
-tells apart a text edited too much for any link from a crowd of near copies. So no link between different texts of a
-bucket is lost, and no large class is expanded.
+still holds of different classes is compared with another centre. The texts of buckets that are mixed even then form
+crowds (texts joined by such buckets), often edited copies of one text that are too far from each other to be linked.
+
+A crowd is not paired off. It has a reference, one of its texts, and each text is written as its difference from that:
+the shingles that one of the two has and the other has not. Two texts differ in what their differences do not share, and
+a link allows them to differ in D = (1 - t) / (1 + t) of their sizes' sum only. So two linked texts share an element of
+their differences, and if those are sorted rarest first, the first shared one stands at places that sum to D at most;
+or both differences together have no more than D elements, and then both texts are linked to the text for which the
+size of its difference, less its share of D, is least. Such places are joined, and one such text a crowd. So no link
+between different texts of a crowd is lost, no large class is expanded, and copies of a text that were edited
+differently do not meet, since what they have in common is not in their differences.
 """
 
 from __future__ import annotations
@@ -30,7 +37,6 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS = 32
 BAND_ROWS = 6  # a pair at 0.8 shares no band with a probability of 6e-5
-STAR_ROUNDS = 2  # before all remaining pairs are compared
 BROADCAST_ROWS = 1_000_000  # of sixteen bytes
 BLOCK_CHARS = 2 << 20
 
@@ -266,13 +272,11 @@ def classes(
     links = stored(linked(pairs, sets, threshold), "links")
     tested = pairs
     comps = stored(components(links), "components")
-    for star_round in range(1, STAR_ROUNDS + 1):
-        open_members = stored(_open(members, comps, sets), "open")
+    for find in (_star_pairs, _crowd_pairs):
+        open_members = stored(_open(members, comps), "open")
         if open_members.isEmpty():
             break
-        last = star_round == STAR_ROUNDS
-        found = _all_pairs(open_members, threshold) if last else _star_pairs(open_members, threshold, star_round)
-        pairs = stored(found.join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = stored(find(open_members, sets, threshold).join(tested, ["a", "b"], "left_anti"), "pairs")
         links = stored(links.unionByName(linked(pairs, sets, threshold)), "links")
         tested = tested.unionByName(pairs)
         comps = stored(components(links), "components")
@@ -289,40 +293,78 @@ def classes(
     )
 
 
-def _open(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
-    """bucket, node, comp, n (shingles) and own (those no other open node has) of buckets with more than one class."""
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """bucket, node and comp of the buckets with more than one class."""
     placed = members.select("bucket", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    left = stored(placed.join(mixed.select("bucket"), "bucket"), "mixed")
-    held = sets.join(left.select("node").distinct(), "node", "left_semi")
-    shingles = held.select("node", F.explode("shingles").alias("shingle"))
-    alone = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
-    own = alone.groupBy("node").agg(F.count("*").alias("own"))
-    sizes = held.select("node", F.size("shingles").alias("n")).join(own, "node", "left")
-    return left.join(sizes.select("node", "n", F.coalesce("own", F.lit(0)).alias("own")), "node")
-
-
-def _possible(threshold: float, a: str, b: str) -> Column:
-    """Whether two sets can be alike: they share at most what is not a set's own, of either."""
-    size = lambda x, name: F.col(f"{x}.{name}")
-    most = F.least(size(a, "n") - size(a, "own"), size(b, "n") - size(b, "own"))
-    return most >= threshold * (size(a, "n") + size(b, "n") - most) - 1e-9
-
-
-def _star_pairs(open_members: DataFrame, threshold: float, star_round: int) -> DataFrame:
-    """For each node one centre of another class, from the buckets' centres of this round."""
-    order = F.struct(F.xxhash64("node", F.lit(star_round)).alias("h"), "node", "comp", "n", "own")
-    centres = open_members.groupBy("bucket").agg(F.min(order).alias("c"))
-    met = open_members.withColumn("m", F.struct("n", "own")).join(centres, "bucket").filter("c.comp <> comp").filter(_possible(threshold, "m", "c"))
+    return placed.join(mixed.select("bucket"), "bucket")
+
+
+def _star_pairs(open_members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """For each node one centre of another class, from the centres of its buckets."""
+    centres = open_members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "comp")).alias("c"))
+    met = open_members.join(centres, "bucket").filter("c.comp <> comp")
     chosen = met.groupBy("node").agg(F.min("c").alias("c"))
     return chosen.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
-def _all_pairs(open_members: DataFrame, threshold: float) -> DataFrame:
-    """Every pair of a bucket whose classes differ and that can be alike."""
-    a, b = open_members.alias("x"), open_members.alias("y")
-    differ = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-    return a.join(b, differ & _possible(threshold, "x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+def _crowd_pairs(open_members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs among which are all links between different classes of a crowd, but for those through a third text.
+
+    The reference of a crowd is the text that most of its buckets hold. Texts of the reference's class are compared with
+    texts of other classes only.
+    """
+    share = (1 - threshold) / (1 + threshold)  # of the sizes' sum, by which linked sets may differ
+    centres = open_members.groupBy("bucket").agg(F.min("node").alias("a"))
+    joined = open_members.join(centres, "bucket").filter("a < node").select("a", F.col("node").alias("b")).distinct()
+    crowds = components(joined).withColumnRenamed("comp", "crowd")
+    nodes = stored(open_members.groupBy("node", "comp").agg(F.count("*").alias("held")).join(crowds, "node"), "crowds")
+    heads = nodes.groupBy("crowd").agg(F.max(F.struct("held", F.negative("node").alias("back"), "node", "comp")).alias("h"))
+    heads = heads.select("crowd", F.col("h.node").alias("node"), F.col("h.comp").alias("main"))
+    references = heads.join(sets, "node").select("crowd", "main", F.col("shingles").alias("reference"))
+    with_sets = nodes.select("node", "comp", "crowd").join(sets, "node").join(references, "crowd")
+    differences = with_sets.select(
+        "crowd",
+        "node",
+        "comp",
+        (F.col("comp") != F.col("main")).alias("outside"),
+        F.size("shingles").alias("n"),
+        F.concat(F.array_except("shingles", "reference"), F.array_except("reference", "shingles")).alias("d"),
+    )
+    differences = stored(differences, "differences")
+
+    own = F.size("d") - share * F.col("n")
+    nearest = differences.groupBy("crowd").agg(F.min(F.struct(own.alias("over"), "node", "comp")).alias("m"))
+    stars = differences.join(nearest, "crowd").filter((F.col("m.comp") != F.col("comp")) & (F.col("m.over") + own <= 1e-9))
+    stars = stars.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b"))
+
+    elements = differences.select("crowd", "node", F.explode("d").alias("e"))
+    common = elements.groupBy("crowd", "e").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = elements.join(common, ["crowd", "e"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
+    # Elements that one text alone has come first; a linked text's size is at most n / threshold.
+    alone = F.size("d") - F.size("es")
+    most = share * (F.col("n") + F.col("n") / threshold) + 1e-9
+    placed = (
+        differences.join(ranked, "node")
+        .select("crowd", "node", "comp", "outside", "n", F.size("d").alias("size"), alone.alias("alone"), "es", most.alias("most"))
+        .filter("alone <= most")
+        .select("crowd", "node", "comp", "outside", "n", "size", "alone", F.posexplode(F.expr("slice(es, 1, CAST(floor(most) AS INT) + 1 - alone)")).alias("i", "e"))
+        .select("crowd", "node", "comp", "outside", "n", "size", (F.col("alone") + F.col("i")).alias("place"), F.col("e.e").alias("e"))
+    )
+    placed = stored(placed, "places")
+    x, y = placed.filter("outside").alias("x"), placed.alias("y")
+    allowed = share * (F.col("x.n") + F.col("y.n")) + 1e-9
+    shared = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    met = (
+        (F.col("x.crowd") == F.col("y.crowd"))
+        & (F.col("x.e") == F.col("y.e"))
+        & (F.col("x.comp") != F.col("y.comp"))
+        & (~F.col("y.outside") | (F.col("x.node") < F.col("y.node")))
+        & (F.col("x.place") + F.col("y.place") <= allowed)
+        & (F.col("x.size") + F.col("y.size") - 2 * shared <= allowed)
+    )
+    pairs = x.join(y, met).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    return pairs.unionByName(stars).distinct()
 
 
 def keep_one(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
