@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import pick, small_batches
+from riskspark.llm.common import holds_cache, pick, small_batches
 from riskspark.llm.pretokens import Splitter
 
 LEAF = 256
-CACHED_BYTES = 64  # longer pre-tokens are not kept
-CACHED_ENTRIES = 700_000
+KEPT_BYTES = 64  # longer pre-tokens are not kept
+CACHE_BYTES = 128 << 20  # about what a worker's cache may take
+ENTRY_BYTES = 200  # of a cache entry besides its ids
 
 _loaded: dict[tuple[str, str], "Codec"] = {}
 
@@ -112,6 +113,7 @@ class Codec(dict):
 
     def __init__(self, path: str, pattern: str):
         super().__init__()
+        self.held = 0
         self.ranks = read_ranks(path)
         self.split = Splitter(pattern)
         # All tokens in one run of bytes, by id: where each starts and how long it is.
@@ -124,9 +126,11 @@ class Codec(dict):
     def __missing__(self, piece: str) -> bytes:
         data = piece.encode()
         packed = b"".join(i.to_bytes(4, "little") for i in merge(data, self.ranks))
-        if len(data) <= CACHED_BYTES:
-            if len(self) >= CACHED_ENTRIES:
+        if len(data) <= KEPT_BYTES:
+            if self.held >= CACHE_BYTES:
                 self.clear()
+                self.held = 0
+            self.held += ENTRY_BYTES + len(packed)
             self[piece] = packed
         return packed
 
@@ -143,6 +147,7 @@ class Codec(dict):
 
 def codec(path: str, pattern: str) -> Codec:
     """One per Python worker, kept between tasks."""
+    holds_cache("byte_bpe", _loaded.clear)
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = Codec(path, pattern)
     return _loaded[path, pattern]
@@ -172,6 +177,20 @@ def decode(packed: Column, path: str, pattern: str) -> Column:
     return token_bytes(packed)
 
 
+def coded(text: Column, path: str, pattern: str) -> Column:
+    """Struct of packed ids and of the bytes they decode to. Both are made in one worker, which holds one codec."""
+
+    @F.arrow_udf("struct<ids:binary,decoded:binary>")
+    def round_trips(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(path, pattern)
+        for batch in batches:
+            ids = [own.encode(t.as_py() or "") for t in batch]
+            decoded = [own.decode(packed) for packed in ids]
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["ids", "decoded"])
+
+    return round_trips(text)
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, ids (packed) and decoded bytes of every text. No shuffle; equal rows each give a row.
 
@@ -179,5 +198,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_i
     """
     small_batches(docs.sparkSession)
     rows = pick(docs, doc_id=id_column, text=text_column)
-    rows = rows.select("doc_id", encode(F.col("text"), path, pattern).alias("ids"))
-    return rows.withColumn("decoded", decode(F.col("ids"), path, pattern))
+    return rows.select("doc_id", coded(F.col("text"), path, pattern).alias("c")).select("doc_id", "c.ids", "c.decoded")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +29,32 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return placed.select(*[F.col(f"c{i}").alias(new) for new, i in chosen.items()])
 
 
+def in_place(docs: DataFrame, work: Callable[[DataFrame], DataFrame], **columns: str) -> DataFrame:
+    """work(docs) with docs' own columns, where work may change the named columns (new=old) and drop rows.
+
+    The named columns are found as pick does; all others have names that nothing else has while work runs, so a column of
+    any name is kept, also such as work uses itself.
+    """
+    own = docs.columns
+    held = [f"c{i}" for i in range(len(own))]
+    for new, old in columns.items():
+        places = [i for i, c in enumerate(own) if c == old] or [i for i, c in enumerate(own) if c.lower() == old.lower()]
+        if not places:
+            raise ValueError(f"no column {old!r} among {own}")
+        held[places[0]] = new
+    return work(docs.toDF(*held)).select(*held).toDF(*own)
+
+
+_holders: dict[str, Callable[[], None]] = {}
+
+
+def holds_cache(operator: str, release: Callable[[], None]) -> None:
+    """Say in a Python worker that an operator fills a cache there; what other operators left is let go first."""
+    for other in [name for name in _holders if name != operator]:
+        _holders.pop(other)()
+    _holders[operator] = release
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds by bytes, so long texts do not add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

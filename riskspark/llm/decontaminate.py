@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import pick, small_batches
+from riskspark.llm.common import in_place, pick, small_batches
 
 WINDOW_WORDS = 13
 BLOCK_BYTES = 64 << 20  # most bytes of windows broadcast at a time
@@ -257,5 +257,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
-    return search(docs, benchmark, text_column).filter(~is_contaminated(F.col("found"))).drop("found")
+    """The rows of docs that are not contaminated, with all their columns.
+
+    A null or empty text has no words, so it stays. Repeated rows are judged alike; ids do not matter. An empty table
+    gives no rows, an empty benchmark drops none. Columns may have any names.
+    """
+    return in_place(docs, lambda df: search(df, benchmark, "text").filter(~is_contaminated(F.col("found"))), text=text_column)

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import pick, stored, with_row_id
+from riskspark.llm.common import in_place, pick, stored, with_row_id
 
 MAX_EDITS = 1
 MIN_CHARS = 20  # shorter lines are always kept, unless every line is asked for
@@ -220,14 +220,20 @@ def without_repeated_lines(
 def drop_repeated_lines(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id", every_line: bool = False) -> DataFrame:
     """docs with the lines that stay as text; a document that had lines and loses all of them goes. docs must be a scan.
 
-    Without every_line a copy that holds a short line stays as a stub of its short lines.
+    Without every_line a copy that holds a short line stays as a stub of its short lines. A null or empty text stays as it
+    is. Earlier lines are those of smaller ids (null first), of repeated rows those of the first. An empty table gives no
+    rows. Columns may have any names.
     """
-    numbered = with_row_id(docs, "_row")
     base = with_row_id(pick(docs, doc_id=id_column, text=text_column))
     gone = stored(dropped_lines(base, MAX_EDITS, MIN_CHARS, every_line), "dropped")
-    joined = numbered.join(_small(gone, F.size("gone") + 2).withColumnsRenamed({"row": "_row", "gone": "_gone"}), "_row", "left")
-    lines = F.split(joined[text_column], "\n", -1)
+    few = _small(gone, F.size("gone") + 2).withColumnsRenamed({"row": "_row", "gone": "_gone"})
+    lines = F.split("text", "\n", -1)
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i))
-    kept = F.when(F.col("_gone").isNull(), joined[text_column]).otherwise(F.array_join(left, "\n"))
+    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     emptied = F.col("_gone").isNotNull() & ~F.col("_kept").rlike(NOT_BLANK)
-    return joined.withColumn("_kept", kept).filter(~emptied).withColumn(text_column, F.col("_kept")).select(*docs.columns)
+
+    def cut(df: DataFrame) -> DataFrame:
+        marked = with_row_id(df, "_row").join(few, "_row", "left").withColumn("_kept", kept)
+        return marked.filter(~emptied).withColumn("text", F.col("_kept"))
+
+    return in_place(docs, cut, text=text_column)

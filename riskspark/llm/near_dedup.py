@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import pick, small_batches, stored, text_blocks, with_row_id
+from riskspark.llm.common import holds_cache, in_place, pick, small_batches, stored, text_blocks, with_row_id
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -75,6 +75,7 @@ def shingle_hashes(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
     words = text.encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
+    holds_cache("near_dedup", _word_hashes.clear)
     hashes = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
     size = min(size, len(words))
     out = np.zeros(len(words) - size + 1, np.uint64)
@@ -368,6 +369,10 @@ def _crowd_pairs(open_members: DataFrame, sets: DataFrame, threshold: float) ->
 
 
 def keep_one(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """One row of docs of each near-duplicate class, with all its columns. docs must be a scan."""
+    """One row of docs of each near-duplicate class, with all its columns; docs must be a scan (see with_row_id).
+
+    Of a class stays the row with the smallest id (null first), of equal ids the first. A null or empty text is a class of
+    its own, so its row stays, also if repeated. An empty table gives no rows. Columns may have any names.
+    """
     dropped = classes(docs, id_column, text_column).filter("NOT kept").select(F.col("row").alias("_row"))
-    return with_row_id(docs, "_row").join(dropped, "_row", "left_anti").drop("_row")
+    return in_place(docs, lambda df: with_row_id(df, "_row").join(dropped, "_row", "left_anti"))

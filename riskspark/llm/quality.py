@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import pick, small_batches, text_blocks
+from riskspark.llm.common import in_place, pick, small_batches, text_blocks
 
 MIN_REPEAT = 8  # words
 MAX_COVERED = 0.4  # share of the words inside repeats of at least MIN_REPEAT words
@@ -175,8 +175,11 @@ def quality(
 
 
 def keep_good(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """The rows of docs whose text passes the base rule and the rule on repeats, with all their columns."""
+    """The rows of docs whose text passes the base rule and the rule on repeats, with all their columns.
+
+    A null or empty text has too few words and goes. Repeated rows are judged each for itself and alike; ids do not
+    matter. An empty table gives no rows. Columns may have any names.
+    """
     small_batches(docs.sparkSession)
-    f = figures(docs[text_column])
-    marked = docs.withColumn("_kept", (~base_failed(f) & passes(f)))
-    return marked.filter("_kept").drop("_kept")
+    f = figures(F.col("text"))
+    return in_place(docs, lambda df: df.withColumn("_kept", ~base_failed(f) & passes(f)).filter("_kept"), text=text_column)
