@@ -10,32 +10,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality
-from riskspark.llm.common import pick, stored
+from riskspark.llm.common import in_place, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is long enough and not too repetitive."""
+    """Documents whose text is long enough and not too repetitive; null and empty texts go, repeated rows are judged alike."""
     return quality.keep_good(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that equal or nearly equal an earlier one; documents that lose all lines go."""
+    """Texts without lines that equal or nearly equal an earlier one; documents that lose all lines go. n_chars is set anew.
+
+    Null and empty texts stay (n_chars of null is null); of repeated rows the first keeps its lines.
+    """
     kept = line_dedup.drop_repeated_lines(docs)
-    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    kind = docs.schema["n_chars"].dataType
+    return in_place(kept, lambda df: df.withColumn("n_chars", F.char_length("text").cast(kind)), text="text", n_chars="n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class, that of the smallest id; texts without words stay."""
     return near_dedup.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a notable share of benchmark passages."""
+    """Documents without a notable share of benchmark passages; texts without words stay."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def byte_bpe_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text (packed, little-endian, 32 bits each), and digests of them and of what they decode to."""
+    """Token ids of every text (packed, little-endian, 32 bits each), and digests of them and of what they decode to.
+
+    Null and empty texts have no ids; repeated rows each give a row.
+    """
     coded = byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select(
         "doc_id",
@@ -58,8 +65,8 @@ ORACLE_SQL = None  # near-duplicate classes and BPE ids are beyond SQL; tests ho
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents."""
-    docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text", lang="lang", source="source", n_chars="n_chars")
+    """All stages over the table documents, with all its columns up to the last stage; an empty table gives no rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     *filters, (_, last) = STAGES
     for name, stage in filters:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
