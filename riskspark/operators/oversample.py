@@ -1,106 +1,32 @@
-"""Minority oversampling by interpolation between near neighbours."""
+"""Minority oversampling by interpolation between nearest neighbours."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark import schema as S
 from riskspark.operators import ranks
+from riskspark.operators.neighbours import GROUP_ROWS, nearest_neighbours
 from riskspark.operators.sampling import HASH, row_hash, take_lowest
 
-CHUNK_ROWS = 2_000
-BLOCK_ROWS = 512
-POINT = f"{HASH} long, x array<double>, n long, extra long"
-FOUND = f"{POINT}, near array<array<double>>"
 
+def feature_vector(features: Sequence[str]) -> Column:
+    """The features as an array of doubles."""
+    return F.expr(f"array({', '.join(f'CAST(`{name}` AS double)' for name in features)})")
 
-def nearest(points: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-    """Row numbers of the k nearest points of each query, its own row left out."""
-    square = (points**2).sum(axis=1)
-    result = np.empty((len(queries), k), dtype=np.int64)
-    for start in range(0, len(queries), BLOCK_ROWS):
-        block = queries[start : start + BLOCK_ROWS]
-        distance = square[None, :] - 2.0 * block @ points.T
-        distance[np.arange(len(block)), own[start : start + len(block)]] = np.inf
-        near = np.argpartition(distance, k - 1, axis=1)[:, :k]
-        order = np.argsort(np.take_along_axis(distance, near, axis=1), axis=1, kind="stable")
-        result[start : start + len(block)] = np.take_along_axis(near, order, axis=1)
-    return result
 
+def _nearest_rows(k: int) -> Column:
+    """The vectors of a point's k nearest rows, where a point stands for `n` equal rows.
 
-def nearest_with_copies(data: np.ndarray, counts: np.ndarray, own: np.ndarray, k: int) -> list[list[np.ndarray]]:
-    """The k nearest rows of each query point, where a point stands for ``counts`` equal rows.
-
-    A point's own copies come first, at no distance; then other points, each as often as it has rows.
+    Its own copies come first, at no distance; then other points, each as often as it has rows; itself if there is none.
     """
-    m = len(data)
-    near = nearest(data, data[own], own, min(k, m - 1)) if m > 1 else np.empty((len(own), 0), dtype=int)
-    out = []
-    for point, others in zip(own.tolist(), near.tolist()):
-        chosen = [point] * min(int(counts[point]) - 1, k)
-        for other in others:
-            if len(chosen) >= k:
-                break
-            chosen += [other] * min(int(counts[other]), k - len(chosen))
-        out.append([data[j] for j in chosen or [point]])
-    return out
-
-
-def _exact_neighbours(points: DataFrame, k: int) -> DataFrame:
-    """Neighbours among all points, which are sent to every task: for a minority known to be small."""
-    spark = points.sparkSession
-    held = points.select("x", "n").toArrow()
-    shared = spark.sparkContext.broadcast((np.array(held["x"].to_pylist(), dtype=float), held["n"].to_numpy()))
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        data, counts = shared.value
-        place = {row.tobytes(): i for i, row in enumerate(data)}
-        for pdf in batches:
-            own = np.array([place[np.asarray(x, dtype=float).tobytes()] for x in pdf["x"]], dtype=int)
-            yield pdf.assign(near=[[list(x) for x in near] for near in nearest_with_copies(data, counts, own, k)])
-
-    return points.mapInPandas(find, FOUND)
-
-
-def chunked(points: DataFrame, rows: int, dimensions: int, chunk_rows: int, seed: int) -> DataFrame:
-    """Group near points into chunks of bounded size.
-
-    A point's cell is the sides it takes of random hyperplanes through the data's middle. A cell with
-    more than ``chunk_rows`` points is cut further by their hashes.
-    """
-    planes = max(1, math.ceil(math.log2(max(2.0, rows / chunk_rows))))
-    normals = np.random.default_rng(seed).normal(size=(planes, dimensions))
-
-    def side(normal: np.ndarray) -> Column:
-        return F.expr(" + ".join(f"x[{i}] * {float(w)!r}D" for i, w in enumerate(normal)))
-
-    names = [f"_p{i}" for i in range(planes)]
-    projected = points.withColumns({name: side(n) for name, n in zip(names, normals, strict=True)})
-    sample = projected.select(*names).sample(min(1.0, 100_000 / rows), seed=seed)
-    middle = sample.agg(*[F.percentile_approx(name, 0.5).alias(name) for name in names]).first()
-    cell = F.concat(*[F.when(F.col(name) > F.lit(middle[name] or 0.0), "1").otherwise("0") for name in names])
-    celled = projected.withColumn("cell", cell).drop(*names)
-    sizes = celled.groupBy("cell").agg(F.count("*").alias("cell_rows"))
-    spread = F.pmod(F.xxhash64(HASH, F.lit(seed)), F.ceil(F.col("cell_rows") / chunk_rows))
-    return celled.join(sizes, "cell").withColumn("part", spread)
-
-
-def _chunk_neighbours(points: DataFrame, rows: int, dimensions: int, k: int, chunk_rows: int, seed: int) -> DataFrame:
-    """Neighbours within chunks of near points, for a minority of any size."""
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = np.array(pdf["x"].tolist(), dtype=float)
-        near = nearest_with_copies(data, pdf["n"].to_numpy(), np.arange(len(data)), k)
-        return pdf[[HASH, "x", "n", "extra"]].assign(near=[[list(x) for x in own] for own in near])
-
-    chunks = chunked(points, rows, dimensions, chunk_rows, seed)
-    return chunks.select("cell", "part", HASH, "x", "n", "extra").groupBy("cell", "part").applyInPandas(find, FOUND)
+    copies = F.array_repeat("x", F.least(F.col("n") - 1, F.lit(k)).cast("int"))
+    others = F.flatten(F.transform("found", lambda f: F.array_repeat(f["x"], F.least(f["n"], F.lit(k)).cast("int"))))
+    rows = F.slice(F.concat(copies, others), 1, k)
+    return F.when(F.size(rows) > 0, rows).otherwise(F.array("x"))
 
 
 def oversample(
@@ -109,20 +35,16 @@ def oversample(
     label: str = S.TARGET,
     neighbours: int = 5,
     seed: int = 42,
-    method: str = "chunked",
-    chunk_rows: int = CHUNK_ROWS,
+    group_rows: int = GROUP_ROWS,
 ) -> tuple[DataFrame, dict[str, object]]:
     """Add interpolated minority rows until both classes have the same size.
 
     Returns the enlarged rows (label and features) and a record of what was done. Each minority row
     gets the same number of synthetic rows, the remainder going to the first rows in hash order.
 
-    Neighbours are searched within chunks of ``chunk_rows`` near points ("chunked"), where they are near, not always
-    nearest. The method "exact" compares with all points and is for a minority that the caller knows to be small.
+    Neighbours are the nearest ones of the whole minority, found by a join of parts of about ``group_rows`` points.
     Equal rows are one point that is counted, so a mass of copies is one row of the search.
     """
-    if method not in ("chunked", "exact"):
-        raise ValueError(f"method must be chunked or exact, not {method!r}")
     sizes = train.agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     ).first()
@@ -148,9 +70,8 @@ def oversample(
     need = many - few
     if need == 0 or k < 1:
         return base, info
-    vector = F.expr(f"array({', '.join(f'CAST(`{name}` AS double)' for name in features)})")
     minority = base.filter(F.col(label) == small)
-    minority = minority.select(row_hash(minority, seed, list(features)).alias(HASH), vector.alias("x"))
+    minority = minority.select(row_hash(minority, seed, list(features)).alias(HASH), feature_vector(features).alias("x"))
     each, rest = divmod(need, few)
     # The minority is read several times: it is written once, as hash and vector.
     minority = ranks.work_table(minority, "minority").withColumn("_all", F.lit(0))
@@ -158,11 +79,9 @@ def oversample(
     flagged = take_lowest(minority, takes, "_all", HASH)
     points = flagged.groupBy(HASH, "x").agg(F.count("*").alias("n"), F.count_if("_taken").alias("extra"))
     points = ranks.work_table(points, "points")
-    if method == "exact":
-        found = _exact_neighbours(points, k)
-    else:
-        found = _chunk_neighbours(points, points.count(), len(features), k, chunk_rows, seed)
-    found = found.withColumn("_copies", F.col("n") * each + F.col("extra"))
+    found = nearest_neighbours(points.select(F.col(HASH).alias("id"), "x", "n"), k, group_rows, seed)
+    found = points.join(found.withColumnRenamed("id", HASH), HASH).withColumn("near", _nearest_rows(k))
+    found = found.select(HASH, "x", "near", (F.col("n") * each + F.col("extra")).alias("_copies"))
     drawn = ranks.expand_copies(found, "_copies", "_copy")
     draw = F.xxhash64(F.lit(seed), HASH, "x", "_copy")
     step = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), HASH, "x", "_copy"), 11) / F.lit(float(2**53))

@@ -11,7 +11,8 @@ from riskspark.operators import evaluation as E
 from riskspark.operators import features as X
 from riskspark.operators import isolation, models, ranks, reports, sampling
 from riskspark.operators.alerts import normalize_alerts
-from riskspark.operators.oversample import oversample
+from riskspark.operators.neighbours import nearest_neighbours
+from riskspark.operators.oversample import feature_vector, oversample
 from riskspark.plans import views
 from riskspark.plans.alert_queries import _HOURLY, ALERTS
 from riskspark.plans.registry import comparable, query
@@ -604,6 +605,29 @@ def oversampled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(enlarged)
 
 
+_UNROUNDED = """
+ ln(1 + greatest("Amount", 0)), floor(("Time" % 86400) / 3600)::DOUBLE,
+ CASE WHEN floor(("Time" % 86400) / 3600) >= 22 OR floor(("Time" % 86400) / 3600) < 6 THEN 1 ELSE 0 END::DOUBLE, ("Amount" - 20) / 40
+"""
+
+
+@query(
+    CARDS
+    + f"""
+, m AS (SELECT vec_id, ["Time", {", ".join(_V)}, "Amount", {_UNROUNDED}] AS x FROM cards WHERE "Class" = 1),
+pairs AS (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.x, b.x) AS distance FROM m a JOIN m b ON a.vec_id <> b.vec_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS place FROM pairs)
+SELECT vec_id, place, neighbour, round(distance, 3) AS distance FROM placed WHERE place <= 5"""
+)
+def minority_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of each minority row, over all 34 features."""
+    minority = _card_features(spark, sf_dir).filter(F.col(S.TARGET) == 1)
+    points = ranks.work_table(minority.select(F.col("vec_id").alias("id"), feature_vector(S.FEATURES).alias("x"), F.lit(1).cast("long").alias("n")), "minority")
+    found = nearest_neighbours(points, 5).select(F.col("id").alias("vec_id"), F.posexplode("found").alias("place", "f"))
+    near = found.select("vec_id", (F.col("place") + 1).alias("place"), F.col("f.id").alias("neighbour"), F.sqrt("f.square").alias("distance"))
+    return comparable(near, 3)
+
+
 @query(
     CARDS
     + """

@@ -7,7 +7,7 @@ from riskspark import schema as S
 from riskspark.operators import evaluation as E
 from riskspark.operators import features as X
 from riskspark.operators import isolation, models
-from riskspark.operators.oversample import nearest, oversample
+from riskspark.operators.oversample import oversample
 from riskspark.plans import jobs, model_queries
 from riskspark.sources import alerts as table
 from riskspark.sources import artifacts, messages, model_store
@@ -35,27 +35,23 @@ def features(spark, cards):
     return X.model_columns(X.add_features(raw)).withColumn("Class", F.col("Class").cast("int")).cache()
 
 
-def test_nearest():
-    rng = np.random.default_rng(0)
-    data = rng.normal(size=(700, 5))
-    own = np.arange(700)
-    found = nearest(data, data, own, 5)
-    distance = ((data[:, None, :] - data[None, :, :]) ** 2).sum(axis=2)
-    np.fill_diagonal(distance, np.inf)
-    assert np.array_equal(found, np.argsort(distance, axis=1)[:, :5])
-
-
-@pytest.mark.parametrize("method", ["exact", "chunked"])
-def test_oversample(spark, features, method, monkeypatch):
+def test_oversample(spark, features, monkeypatch):
     monkeypatch.setattr("riskspark.operators.ranks.COPIES_PER_TASK_ROW", 5)
-    enlarged, info = oversample(features, method=method, chunk_rows=25)
+    enlarged, info = oversample(features, group_rows=25)
     counts = {r["Class"]: r["count"] for r in enlarged.groupBy("Class").count().collect()}
     assert counts == {0: 1440, 1: 1440}
     assert info["minority_count_before"] == 60 and info["minority_count_after"] == 1440 and info["k_neighbors"] == 5
-    # Interpolated points stay inside the minority's box.
-    box = features.filter("Class = 1").agg(F.min("V3"), F.max("V3")).first()
-    made = enlarged.filter("Class = 1").agg(F.min("V3"), F.max("V3"), F.countDistinct("V3")).first()
-    assert made[0] >= box[0] - 1e-9 and made[1] <= box[1] + 1e-9 and made[2] > 1000
+    # Every made row lies between a minority row and one of its five nearest.
+    data = np.array(features.filter("Class = 1").select(*S.FEATURES).collect(), dtype=float)
+    made = np.array(enlarged.filter("Class = 1").select(*S.FEATURES).collect(), dtype=float)
+    square = ((data[:, None, :] - data[None, :, :]) ** 2).sum(axis=2)
+    np.fill_diagonal(square, np.inf)
+    ends = [(i, j) for i, row in enumerate(np.argsort(square, axis=1)[:, :5]) for j in row]
+    start, step = data[[i for i, _ in ends]], np.array([data[j] - data[i] for i, j in ends])
+    for point in made:
+        share = ((point - start) * step).sum(axis=1) / (step**2).sum(axis=1)
+        off = ((start + np.clip(share, 0, 1)[:, None] * step - point) ** 2).sum(axis=1)
+        assert off.min() < 1e-6
 
 
 def test_oversample_needs_two_positives(features):
@@ -67,10 +63,9 @@ def test_oversample_needs_two_positives(features):
 def test_oversample_with_copies(spark):
     rows = [(0, float(i), 0.0) for i in range(300)] + [(1, 5.0, 5.0)] * 80
     df = spark.createDataFrame(rows, "Class int, a double, b double")
-    for method in ("exact", "chunked"):
-        enlarged, _ = oversample(df, ["a", "b"], method=method)
-        found = enlarged.filter("Class = 1").groupBy("a", "b").count().collect()
-        assert [tuple(r) for r in found] == [(5.0, 5.0, 300)]
+    enlarged, _ = oversample(df, ["a", "b"])
+    found = enlarged.filter("Class = 1").groupBy("a", "b").count().collect()
+    assert [tuple(r) for r in found] == [(5.0, 5.0, 300)]
 
 
 def test_standardize(spark):
