@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 
 from riskspark import schema as S
 from riskspark.functions import risk
+from riskspark.operators import trees
 from riskspark.operators.alerts import top_drivers
 from riskspark.operators.features import DEFAULT_STATS, scoring_features
 from riskspark.operators.isolation import assemble
@@ -134,69 +133,12 @@ def linear_drivers(
     return driver_array(F.expr(f"array({', '.join(parts)})"), features)
 
 
-def tree_tables(model: GBTClassificationModel) -> list[dict[str, np.ndarray]]:
-    """The boosted trees as node arrays; at most maxIter * 2^(maxDepth + 1) nodes in total."""
-    tables = []
-    for tree, weight in zip(model.trees, model.treeWeights, strict=True):
-        rows: list[list[float]] = []
-        pending = [(tree._call_java("rootNode"), -1, 0)]
-        while pending:
-            node, parent, side = pending.pop()
-            number = len(rows)
-            if parent >= 0:
-                rows[parent][2 + side] = number
-            value = node.prediction() * weight
-            if node.subtreeDepth() == 0:
-                rows.append([-1, 0.0, number, number, value])
-                continue
-            split = node.split()
-            rows.append([split.featureIndex(), split.threshold(), -1, -1, value])
-            pending.append((node.rightChild(), number, 1))
-            pending.append((node.leftChild(), number, 0))
-        table = np.array(rows, dtype=float)
-        tables.append(
-            {
-                "feature": table[:, 0].astype(int),
-                "threshold": table[:, 1],
-                "left": table[:, 2].astype(int),
-                "right": table[:, 3].astype(int),
-                "value": table[:, 4],
-            }
-        )
-    return tables
-
-
 def tree_contributions(
     model: GBTClassificationModel, features: Sequence[str], spark: SparkSession
 ) -> Column:
-    """Path attribution: each split's change of the node value is credited to the split's feature.
-
-    The contributions of a row add up to its margin minus the trees' root values. These are path
-    contributions, not Shapley values.
-    """
-    shared = spark.sparkContext.broadcast(tree_tables(model))
-    width = len(features)
-
-    @F.pandas_udf("array<double>")
-    def contributions(vectors: pd.Series) -> pd.Series:
-        data = np.array(vectors.tolist(), dtype=float).reshape(len(vectors), width)
-        credit = np.zeros_like(data)
-        rows = np.arange(len(data))
-        for tree in shared.value:
-            at = np.zeros(len(data), dtype=int)
-            while True:
-                feature = tree["feature"][at]
-                inner = feature >= 0
-                if not inner.any():
-                    break
-                goes_left = data[rows, np.maximum(feature, 0)] <= tree["threshold"][at]
-                step = np.where(inner, np.where(goes_left, tree["left"][at], tree["right"][at]), at)
-                change = tree["value"][step] - tree["value"][at]
-                credit[rows[inner], feature[inner]] += change[inner]
-                at = step
-        return pd.Series(list(credit))
-
-    return contributions(F.expr(f"array({', '.join(f'CAST(`{name}` AS double)' for name in features)})"))
+    """Exact Shapley values of the trees' margin. A row's values add up to its margin less the mean one."""
+    vector = F.expr(f"array({', '.join(f'CAST(`{name}` AS double)' for name in features)})")
+    return trees.shapley_values(trees.leaf_table(trees.node_table(spark, model)), vector, len(features))
 
 
 def row_drivers(

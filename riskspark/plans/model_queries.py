@@ -9,7 +9,7 @@ from riskspark import schema as S
 from riskspark.functions import risk
 from riskspark.operators import evaluation as E
 from riskspark.operators import features as X
-from riskspark.operators import isolation, models, ranks, reports, sampling
+from riskspark.operators import isolation, models, ranks, reports, sampling, trees
 from riskspark.operators.alerts import normalize_alerts
 from riskspark.operators.neighbours import nearest_neighbours
 from riskspark.operators.oversample import feature_vector, oversample
@@ -667,6 +667,57 @@ def boosted_tree_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(scored.select("vec_id", F.inline("top_shap_features")))
 
 
+# Trees that SQL can fit as well: pairs of features split at their means. Scored and explained by the same leaf tables.
+_PAIRED = [f"V{i}" for i in range(1, 13)]
+
+
+def _split_tree_sql() -> str:
+    """Leaves of all pairs (tree, features a and b, limits, sides, value, shares) and the rows' values of both features."""
+    sides = [(left_a, left_b) for left_a in ("true", "false") for left_b in ("true", "false")]
+    each = []
+    for tree, (a, b) in enumerate(zip(_PAIRED[::2], _PAIRED[1::2])):
+        for left_a, left_b in sides:
+            in_a, in_b = f"({a} <= m{a}) = {left_a}", f"({b} <= m{b}) = {left_b}"
+            each.append(
+                f"SELECT {tree} AS tree, '{a}' AS a, '{b}' AS b, {left_a} AS left_a, {left_b} AS left_b, coalesce(avg(\"Class\") FILTER ({in_a} AND {in_b}), 0) AS value, "
+                f"count(*) FILTER ({in_a}) / count(*)::DOUBLE AS za, coalesce(count(*) FILTER ({in_a} AND {in_b}) / nullif(count(*) FILTER ({in_a}), 0)::DOUBLE, 0) AS zb FROM cards, means"
+            )
+    passing = [
+        f"SELECT vec_id, {tree} AS tree, {a} <= m{a} AS la, {b} <= m{b} AS lb FROM cards, means" for tree, (a, b) in enumerate(zip(_PAIRED[::2], _PAIRED[1::2]))
+    ]
+    means = ", ".join(f"round(avg({f}), 4) AS m{f}" for f in _PAIRED)
+    return (
+        CARDS
+        + f", means AS (SELECT {means} FROM cards), leaves AS ({' UNION ALL '.join(each)}), sides AS ({' UNION ALL '.join(passing)}), "
+        + "met AS (SELECT s.vec_id, l.*, (la = left_a)::INT AS oa, (lb = left_b)::INT AS ob FROM sides s JOIN leaves l USING (tree)) "
+    )
+
+
+def _split_trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _card_features(spark, sf_dir)
+    return rows, ranks.work_table(trees.leaf_table(trees.mean_split_nodes(rows, _PAIRED, S.TARGET)), "leaves")
+
+
+@query(_split_tree_sql() + "SELECT vec_id, round(sum(value * oa * ob), 6) AS margin FROM met GROUP BY vec_id")
+def split_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, leaves = _split_trees(spark, sf_dir)
+    return comparable(rows.select("vec_id", trees.margin(leaves, feature_vector(_PAIRED)).alias("margin")))
+
+
+@query(
+    _split_tree_sql()
+    + """
+, parts AS (SELECT vec_id, a AS feature, value * (oa - za) * (ob + zb) / 2 AS part FROM met
+  UNION ALL SELECT vec_id, b, value * (ob - zb) * (oa + za) / 2 FROM met)
+SELECT vec_id, feature, round(sum(part), 6) + 0 AS shap_value FROM parts GROUP BY vec_id, feature"""
+)
+def split_tree_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, leaves = _split_trees(spark, sf_dir)
+    values = trees.shapley_values(leaves, feature_vector(_PAIRED), len(_PAIRED))
+    named = F.arrays_zip(F.array(*map(F.lit, _PAIRED)).alias("feature"), values.alias("shap_value"))
+    return comparable(rows.select("vec_id", F.inline(named)))
+
+
 # Streams, drained and read back.
 
 
