@@ -15,7 +15,8 @@ from riskspark import schema as S
 from riskspark.functions import risk
 from riskspark.operators import trees
 from riskspark.operators.alerts import top_drivers
-from riskspark.operators.features import DEFAULT_STATS, scoring_features
+from riskspark.operators.boosting import BoostedTrees
+from riskspark.operators.features import DEFAULT_STATS, feature_vector, scoring_features
 from riskspark.operators.isolation import assemble
 
 # Boosted-tree settings.
@@ -33,7 +34,7 @@ BOOSTING = {
 class ScoringModel:
     """A fitted classifier with what scoring needs: feature order, frozen statistics, threshold."""
 
-    classifier: Model
+    classifier: Model | BoostedTrees
     features: list[str] = field(default_factory=lambda: list(S.FEATURES))
     stats: Mapping[str, float] = field(default_factory=lambda: dict(DEFAULT_STATS))
     threshold: float = S.MODEL_THRESHOLD
@@ -48,7 +49,8 @@ def fit_boosted_trees(
     seed: int = 42,
     **settings: object,
 ) -> GBTClassificationModel:
-    """Boosted trees with weighted positives. ``settings`` override the usual ones."""
+    """First-order boosted trees of the ML library with weighted positives; boosting.fit_histogram_trees has second-order
+    gains and L2, and is what training uses. ``settings`` override the usual ones."""
     weighted = train.select(
         F.col(label).cast("double").alias("label"),
         *features,
@@ -62,9 +64,12 @@ def fit_boosted_trees(
 
 
 def with_probability(
-    df: DataFrame, classifier: Model, features: Sequence[str], output: str = "fraud_probability"
+    df: DataFrame, classifier: Model | BoostedTrees, features: Sequence[str], output: str = "fraud_probability"
 ) -> DataFrame:
     """Add the positive-class probability; the model runs on the executors."""
+    if isinstance(classifier, BoostedTrees):
+        p = risk.clip_probability(classifier.probability(df.sparkSession, feature_vector(features)))
+        return df.withColumn(output, p).select(*[c for c in df.columns if c != output], output)
     prepared = df if isinstance(classifier, PipelineModel) else assemble(df, features)
     scored = classifier.transform(prepared)
     p = risk.clip_probability(vector_to_array("probability")[1])
@@ -134,20 +139,20 @@ def linear_drivers(
 
 
 def tree_contributions(
-    model: GBTClassificationModel, features: Sequence[str], spark: SparkSession
+    model: GBTClassificationModel | BoostedTrees, features: Sequence[str], spark: SparkSession
 ) -> Column:
     """Exact Shapley values of the trees' margin. A row's values add up to its margin less the mean one."""
-    vector = F.expr(f"array({', '.join(f'CAST(`{name}` AS double)' for name in features)})")
-    return trees.shapley_values(trees.leaf_table(trees.node_table(spark, model)), vector, len(features))
+    nodes = model.node_table(spark) if isinstance(model, BoostedTrees) else trees.node_table(spark, model)
+    return trees.shapley_values(trees.leaf_table(nodes), feature_vector(features), len(features))
 
 
 def row_drivers(
-    classifier: Model, features: Sequence[str], spark: SparkSession, means: Sequence[float] | None = None
+    classifier: Model | BoostedTrees, features: Sequence[str], spark: SparkSession, means: Sequence[float] | None = None
 ) -> Column:
     """Drivers for the supported classifiers; others get an empty array, as a failed explanation."""
     if isinstance(classifier, PipelineModel):
         classifier = classifier.stages[-1]
-    if isinstance(classifier, GBTClassificationModel):
+    if isinstance(classifier, GBTClassificationModel | BoostedTrees):
         return driver_array(tree_contributions(classifier, features, spark), features)
     if isinstance(classifier, LogisticRegressionModel):
         return linear_drivers(classifier.coefficients.toArray(), means or [0.0] * len(features), features)

@@ -9,15 +9,11 @@ from pyspark.sql import functions as F
 
 from riskspark import schema as S
 from riskspark.operators import ranks
+from riskspark.operators.features import feature_vector
 from riskspark.operators.neighbours import GROUP_ROWS, nearest_neighbours
 from riskspark.operators.sampling import HASH, row_hash, take_lowest
 
 
-def feature_vector(features: Sequence[str]) -> Column:
-    """The features as an array of doubles."""
-    return F.expr(f"array({', '.join(f'CAST(`{name}` AS double)' for name in features)})")
-
-
 def _nearest_rows(k: int) -> Column:
     """The vectors of a point's k nearest rows, where a point stands for `n` equal rows.
 

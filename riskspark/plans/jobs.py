@@ -13,7 +13,7 @@ from riskspark import schema as S
 from riskspark.functions import risk
 from riskspark.operators import evaluation as E
 from riskspark.operators import features as X
-from riskspark.operators import isolation, models, reports, sampling
+from riskspark.operators import boosting, isolation, models, reports, sampling
 from riskspark.operators.alerts import above_cutoff, assemble_alerts, conform, normalize_alerts
 from riskspark.operators.oversample import oversample
 from riskspark.session import shared_folder
@@ -64,7 +64,7 @@ def train(
     use_weight: bool = True,
     trees: int = isolation.TREES,
     seed: int = 42,
-    **boosting: object,
+    **settings: object,
 ) -> Training:
     """Split, oversample, fit both models, compare them, and store holdout, models, metrics and record.
 
@@ -84,8 +84,8 @@ def train(
         oversample(train_rows, seed=seed) if use_oversampling else (train_rows, {"enabled": False})
     )
     enlarged.write.parquet(f"{work}/enlarged")
-    classifier = models.fit_boosted_trees(
-        spark.read.parquet(f"{work}/enlarged"), positive_weight=weight, seed=seed, **boosting
+    classifier = boosting.fit_histogram_trees(
+        spark.read.parquet(f"{work}/enlarged"), positive_weight=weight, seed=seed, **settings
     )
     scored = models.with_probability(holdout, classifier, S.FEATURES, "score")
     boosted_scores = stored(labelled(scored, "score"), f"{work}/boosted_scores")

@@ -9,10 +9,11 @@ from riskspark import schema as S
 from riskspark.functions import risk
 from riskspark.operators import evaluation as E
 from riskspark.operators import features as X
-from riskspark.operators import isolation, models, ranks, reports, sampling, trees
+from riskspark.operators import boosting, isolation, models, ranks, reports, sampling, trees
 from riskspark.operators.alerts import normalize_alerts
+from riskspark.operators.features import feature_vector
 from riskspark.operators.neighbours import nearest_neighbours
-from riskspark.operators.oversample import feature_vector, oversample
+from riskspark.operators.oversample import oversample
 from riskspark.plans import views
 from riskspark.plans.alert_queries import _HOURLY, ALERTS
 from riskspark.plans.registry import comparable, query
@@ -646,9 +647,9 @@ def isolation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(isolation.min_max_scaled(forest.transform(rows)).select("vec_id", "score"))
 
 
-def _boosted(spark: SparkSession, sf_dir: str, **boosting: object) -> tuple[DataFrame, models.ScoringModel]:
+def _boosted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, models.ScoringModel]:
     rows = _card_features(spark, sf_dir)
-    classifier = models.fit_boosted_trees(rows, positive_weight=9.0, **boosting)
+    classifier = boosting.fit_histogram_trees(rows, positive_weight=9.0)
     return rows, models.ScoringModel(classifier, stats={"amount_mean": 20.0, "amount_std": 40.0})
 
 
@@ -662,7 +663,7 @@ def boosted_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def boosted_tree_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, model = _boosted(spark, sf_dir, maxIter=10)
+    rows, model = _boosted(spark, sf_dir)
     scored = models.score_transactions(rows.drop(*S.ENGINEERED_FEATURES), model, explain=True)
     return comparable(scored.select("vec_id", F.inline("top_shap_features")))
 

@@ -9,13 +9,12 @@ from riskspark import schema as S
 from riskspark.operators import evaluation as E
 from riskspark.plans import jobs, views
 from riskspark.plans.alert_queries import ALERTS, NOW
-from riskspark.plans.model_queries import _ENGINEERED, _ROUNDED_V, _SWEEP, _SWEEP_COLUMNS, CARDS, SCORED
+from riskspark.plans.model_queries import _ENGINEERED, _ROUNDED_V, _SWEEP, _SWEEP_COLUMNS, CARDS, SCORED, _score
 from riskspark.plans.registry import comparable, query
 from riskspark.session import shared_folder
 from riskspark.sources import alerts as alert_table
-from riskspark.sources import artifacts, transactions
-
-_SMALL = {"maxIter": 5, "maxDepth": 3, "stepSize": 0.3}
+from riskspark.sources import artifacts, messages, model_store, transactions
+from riskspark.streaming import alerts as streaming
 
 
 def _card_csv(spark: SparkSession, sf_dir: str) -> str:
@@ -136,29 +135,93 @@ def tuning_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _trained(spark: SparkSession, sf_dir: str) -> jobs.Training:
-    work = shared_folder(spark, "training")
-    jobs.build_features(spark, _card_csv(spark, sf_dir), f"{work}/features", f"{work}/stats")
-    features = transactions.read_features(spark, f"{work}/features")
-    features = features.withColumn(S.TARGET, F.col(S.TARGET).cast("int"))
-    stats = transactions.read_stats(spark, f"{work}/stats")
-    return jobs.train(spark, features, f"{work}/out", stats, trees=20, **_SMALL)
+_runs: dict[tuple[str, str], tuple[str, jobs.Training]] = {}
+
+
+def _trained(spark: SparkSession, sf_dir: str) -> tuple[str, jobs.Training]:
+    """The training job on the card rows with its own settings, tuned and stored; one run serves a session's queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _runs:
+        try:
+            model_store.load_scoring_model(spark, _runs[key][0])
+        except FileNotFoundError:  # the work folder was emptied
+            del _runs[key]
+    if key not in _runs:
+        work = shared_folder(spark, "training")
+        jobs.build_features(spark, _card_csv(spark, sf_dir), f"{work}/features", f"{work}/stats")
+        features = transactions.read_features(spark, f"{work}/features")
+        features = features.withColumn(S.TARGET, F.col(S.TARGET).cast("int"))
+        run = jobs.train(spark, features, f"{work}/out", transactions.read_stats(spark, f"{work}/stats"))
+        jobs.tune(run.holdout, run.boosted, f"{work}/out")
+        _runs[key] = (f"{work}/out", run)
+    return _runs[key]
 
 
 @query()
 def training_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole training job on the card rows: both models' metrics."""
-    return comparable(_trained(spark, sf_dir).comparison)
+    return comparable(_trained(spark, sf_dir)[1].comparison)
+
+
+@query()
+def stored_model_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics on the stored holdout of the model that was trained, tuned, stored and loaded."""
+    path, _ = _trained(spark, sf_dir)
+    holdout = transactions.read_holdout(spark, f"{path}/holdout")
+    return comparable(jobs.evaluate(holdout, model_store.load_scoring_model(spark, path)).metrics)
 
 
 @query()
 def generated_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train, then generate a banded sample of alerts from the CSV table and read them back."""
-    run = _trained(spark, sf_dir)
-    path = shared_folder(spark, "generated")
-    jobs.generate_alerts(
-        spark, _card_csv(spark, sf_dir), path, run.boosted, alert_threshold=0.1, max_alerts=30, now=NOW
-    )
-    rows = alert_table.read_alerts(spark, path)
+    """A banded sample of alerts from the CSV table, scored by the loaded model, stored and read back."""
+    path, _ = _trained(spark, sf_dir)
+    made = shared_folder(spark, "generated")
+    model = model_store.load_scoring_model(spark, path)
+    jobs.generate_alerts(spark, _card_csv(spark, sf_dir), made, model, alert_threshold=0.1, max_alerts=30, now=NOW)
+    rows = alert_table.read_alerts(spark, made)
     columns = ["merchant_name", "Amount", "fraud_probability", "risk_score", "decision", "hour_of_day", "actual_class"]
     return comparable(rows.select(*columns, F.size("top_shap_features").alias("drivers")))
+
+
+def _streamed(spark: SparkSession, sf_dir: str, scorer) -> str:
+    """All card rows as messages in two halves, drained by a stream that is started anew for the second, and its last batch
+    offered a second time, as after a crash before it was committed; returns the alert table's folder."""
+    work = shared_folder(spark, "model-stream")
+    rows = views.card_rows(spark, sf_dir)
+    for half in (0, 1):
+        part = messages.transaction_messages(rows.filter(F.col("vec_id") % 2 == half)).select("value")
+        messages.publish_text(part, f"{work}/messages")
+        stream = messages.text_stream(spark, f"{work}/messages")
+        places = (f"{work}/alerts", f"{work}/quarantine", f"{work}/checkpoint", "cards")
+        streaming.start_alert_stream(stream, scorer(), *places, trigger=None).awaitTermination()
+    again = streaming.parse_messages(part)
+    last = streaming.read_batch_figures(spark, f"{work}/alerts").agg(F.max("batch_id")).first()[0]
+    streaming.write_batch(again, last, scorer(), f"{work}/alerts", f"{work}/quarantine", "cards")
+    return f"{work}/alerts"
+
+
+@query()
+def stream_alerts_by_loaded_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of a stream scored by the stored model, loaded at each start, over a restart and a replayed batch."""
+    path, _ = _trained(spark, sf_dir)
+    alerts = _streamed(spark, sf_dir, lambda: streaming.model_scorer(model_store.load_scoring_model(spark, path)))
+    columns = ["Time", "Amount", "fraud_probability", "risk_score", "decision", "actual_class", "hour_of_day"]
+    return comparable(streaming.read_stream_alerts(spark, alerts).select(*columns))
+
+
+@query(
+    CARDS
+    + """
+, s AS (SELECT least(greatest(V1 - V2 + 0.5::DOUBLE, 0), 1) AS p, vec_id % 2 AS half FROM cards)
+SELECT count(DISTINCT half) AS batches, count(*) AS rows, count(*) AS scored, count(*) FILTER (p > 0.5) AS flagged, 0::BIGINT AS rejected,
+  round(max(p), 6) AS max_probability, round(sum(p) / count(*), 6) AS avg_probability
+FROM s"""
+)
+def stream_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of all micro-batches of such a stream, scored by what SQL can state, added up."""
+    figures = streaming.read_batch_figures(spark, _streamed(spark, sf_dir, lambda: _score))
+    added = [F.sum(c).alias(c) for c in ("rows", "scored", "flagged", "rejected")]
+    mean = F.sum(F.col("avg_probability") * F.col("scored")) / F.sum("scored")
+    return comparable(
+        figures.agg(F.count("*").alias("batches"), *added, F.max("max_probability").alias("max_probability"), mean.alias("avg_probability"))
+    )

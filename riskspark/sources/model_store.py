@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import SparkSession
 
 from riskspark.operators import evaluation as E
+from riskspark.operators.boosting import BoostedTrees
 from riskspark.operators.isolation import IsolationModel
 from riskspark.operators.models import ScoringModel
 from riskspark.sources import artifacts
@@ -20,8 +20,8 @@ SETTINGS = (
 def save_models(
     spark: SparkSession, path: str, model: ScoringModel, forest: IsolationModel, contamination: float
 ) -> None:
-    """The boosted trees, the forest's nodes and scaler, and one row of settings."""
-    model.classifier.write().overwrite().save(f"{path}/boosted_trees")
+    """The boosted trees' nodes, the forest's nodes and scaler, and one row of settings."""
+    model.classifier.node_table(spark).write.mode("overwrite").parquet(f"{path}/boosted_trees")
     forest.scaler_table(spark).write.mode("overwrite").parquet(f"{path}/forest_scaler")
     spark.createDataFrame(forest.nodes).write.mode("overwrite").parquet(f"{path}/forest_nodes")
     mean, std = float(model.stats["amount_mean"]), float(model.stats["amount_std"])
@@ -45,7 +45,7 @@ def load_scoring_model(spark: SparkSession, path: str) -> ScoringModel:
     record = artifacts.latest_record(spark, f"{path}/run_metrics/training", "training")
     threshold = E.resolve_threshold(spark, None if tuned is None else E.best_f1(tuned), record).first()["threshold"]
     stats = {"amount_mean": settings["amount_mean"], "amount_std": settings["amount_std"]}
-    classifier = GBTClassificationModel.load(f"{path}/boosted_trees")
+    classifier = BoostedTrees.from_nodes(spark.read.parquet(f"{path}/boosted_trees"), settings["features"])
     return ScoringModel(classifier, list(settings["features"]), stats, threshold)
 
 

@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 from riskspark import schema as S
 from riskspark.operators import evaluation as E
 from riskspark.operators import features as X
-from riskspark.operators import isolation, models
+from riskspark.operators import boosting, isolation, models
 from riskspark.operators.oversample import oversample
 from riskspark.plans import jobs, model_queries
 from riskspark.sources import alerts as table
 from riskspark.sources import artifacts, messages, model_store
 from riskspark.streaming import alerts as streaming
 
-BOOST = {"maxIter": 8, "maxDepth": 3, "stepSize": 0.3}
+BOOST = {"rounds": 8, "depth": 3, "rate": 0.3}
+FIRST_ORDER = {"maxIter": 8, "maxDepth": 3, "stepSize": 0.3}
 
 
 @pytest.fixture(scope="module")
@@ -90,7 +91,7 @@ def test_isolation_forest_separates(spark, features):
 
 def test_tree_drivers_add_up(spark, features):
     """Contributions of a row sum to its margin less the same constant for every row."""
-    classifier = models.fit_boosted_trees(features, positive_weight=3.0, **BOOST)
+    classifier = models.fit_boosted_trees(features, positive_weight=3.0, **FIRST_ORDER)
     contributions = models.tree_contributions(classifier, S.FEATURES, spark)
     raw = classifier.transform(isolation.assemble(features.limit(200), S.FEATURES))
     total = F.aggregate(contributions, F.lit(0.0), lambda a, b: a + b)
@@ -199,10 +200,10 @@ def test_registered_boosted_tree_scores_come_from_all_iterations(spark, monkeypa
     class Asked(Exception):
         pass
 
-    def fit(rows, *args, **kwargs):
-        raise Asked(models.BOOSTING | kwargs)
+    def fit(rows, *args, rounds=boosting.ROUNDS, depth=boosting.DEPTH, **kwargs):
+        raise Asked(rounds, depth)
 
-    monkeypatch.setattr(models, "fit_boosted_trees", fit)
+    monkeypatch.setattr(boosting, "fit_histogram_trees", fit)
     with pytest.raises(Asked) as asked:
         model_queries.boosted_tree_scores(spark, "/root/testdata/sf0.001")
-    assert (asked.value.args[0]["maxIter"], asked.value.args[0]["maxDepth"]) == (450, 4)
+    assert asked.value.args == (450, 4)

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskspark.operators import isolation, models, trees
-from riskspark.operators.oversample import feature_vector
+from riskspark.operators.features import feature_vector
 
 NAMES = ["a", "b", "c", "d", "e"]
 
