@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,7 +179,7 @@ def banded_sample(
     """A varied choice of alerts over the decision bands and, with amounts, over amount pools.
 
     Every stratum (band, pool, large or tiny) is cut to its ``max_alerts`` lowest hashes on the
-    executors. The quota rules then run over those survivors, at most 24 strata of them.
+    executors. The quota rules then run over those survivors, at most 24 strata of them, as window expressions.
     ``position`` numbers the result: large amounts first, then by probability and amount.
     """
     if max_alerts <= 0:
@@ -203,43 +201,49 @@ def banded_sample(
     rows = amount_pools(rows) if amount else rows.withColumn("pool", F.lit(None).cast("int"))
     rows = rows.withColumn("_large", F.col("_amount") > TINY_AMOUNT)
     survivors = lowest_per_group(rows, ["band", "pool", "_large"], HASH, max_alerts)
-    quotas = band_quotas(max_alerts)
-    with_amounts = amount is not None
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _fill_quotas(pdf, quotas, max_alerts, with_amounts)
-
-    schema = survivors.withColumn("position", F.lit(0)).schema
-    together = F.col("band") * 0
-    chosen = survivors.groupBy(together.alias("_all")).applyInPandas(choose, schema)
-    return chosen.select(*df.columns, "position").orderBy("position")
-
-
-def _fill_quotas(pdf: pd.DataFrame, quotas: list[int], total: int, with_amounts: bool) -> pd.DataFrame:
-    """Apply the quota rules to the bounded set of survivors."""
-    pdf = pdf.sort_values([HASH, "_p", "_amount"]).reset_index(drop=True)
-    taken = np.zeros(len(pdf), dtype=bool)
-    band, pool = pdf["band"].to_numpy(), pdf["pool"].to_numpy(dtype=float)
-    large = pdf["_large"].to_numpy(dtype=bool) & with_amounts
-
-    def take(pool_rows: np.ndarray, places: int) -> int:
-        rows = np.flatnonzero(pool_rows & ~taken)[: max(places, 0)]
-        taken[rows] = True
-        return len(rows)
-
-    def large_if_any(rows: np.ndarray) -> np.ndarray:
-        return rows & large if (rows & large).any() else rows
-
-    for number, quota in enumerate(quotas, start=1):
-        left = min(quota, total - int(taken.sum()))
-        share = max(1, left // 3)
-        members = band == number
-        for third in (0.0, 1.0, 2.0):
-            left -= take(members & (pool == third), min(share, left))
-        take(large_if_any(members & ~taken), left)
-    saved = pdf["_saved"].to_numpy(dtype=bool)
-    take(large_if_any(saved), total - int(taken.sum()))
-    take(saved, total - int(taken.sum()))
-    order = ["_large", "_p", "_amount"] if with_amounts else ["_p"]
-    result = pdf[taken].sort_values(order, ascending=False, kind="stable").head(total)
-    return result.assign(position=np.arange(1, len(result) + 1, dtype="int32"))
+    survivors = survivors.withColumn("_large", F.col("_large") & F.lit(amount is not None))
+    order = ["_large", "_p", "_amount"] if amount else ["_p"]
+    ranked = Window.partitionBy("_all").orderBy(*[F.desc(c) for c in order], *_TURN)
+    chosen = fill_quotas(survivors.withColumn("_all", F.lit(0)), band_quotas(max_alerts), max_alerts)
+    numbered = chosen.withColumn("position", F.row_number().over(ranked))
+    return numbered.select(*df.columns, "position").orderBy("position")
+
+
+_TURN = [HASH, "_p", "_amount"]
+
+
+def fill_quotas(survivors: DataFrame, quotas: Sequence[int], total: int) -> DataFrame:
+    """The rows that the quota rules choose, from a bounded table (band, pool, _large, _saved, constant _all, in turn by _TURN).
+
+    Band by band: a third of the band's places for each amount pool, as far as the pool reaches; then places that are left
+    go to the band's other rows, only to large ones if there are any. Last, what the bands leave of the total goes to saved
+    rows, large ones first. All is counting and ranking over the survivors, a few rows for each place asked for.
+    """
+    everyone = Window.partitionBy("_all")
+
+    def met(condition: Column) -> Column:
+        return F.sum(condition.cast("int")).over(everyone)
+
+    def turn(eligible: str) -> Column:
+        return F.row_number().over(Window.partitionBy("_all", eligible).orderBy(*_TURN))
+
+    no = F.lit(False)
+    rows = survivors.withColumn("_in_pool", F.row_number().over(Window.partitionBy("_all", "band", "pool").orderBy(*_TURN)))
+    rows = rows.withColumn("_taken", no)
+    for band, quota in enumerate(quotas, start=1):
+        own = F.col("band") == band
+        left = F.least(F.lit(quota), F.lit(total) - met(F.col("_taken")))
+        rows = rows.withColumn("_left", left).withColumn("_share", F.greatest(F.lit(1), F.floor(F.col("_left") / 3)))
+        for pool in range(3):
+            inside = own & F.coalesce(F.col("pool") == pool, no)
+            rows = rows.withColumn("_places", F.greatest(F.least("_share", "_left", met(inside)), F.lit(0)))
+            rows = rows.withColumn("_taken", F.col("_taken") | (inside & (F.col("_in_pool") <= F.col("_places"))))
+            rows = rows.withColumn("_left", F.col("_left") - F.col("_places"))
+        open_rows = own & ~F.col("_taken")
+        rows = rows.withColumn("_eligible", open_rows & (F.col("_large") | (met(open_rows & F.col("_large")) == 0)))
+        rows = rows.withColumn("_taken", F.col("_taken") | (F.col("_eligible") & (turn("_eligible") <= F.col("_left"))))
+    rows = rows.withColumn("_eligible", F.col("_saved") & ~F.col("_taken")).withColumn("_left", F.lit(total) - met(F.col("_taken")))
+    later = ~F.col("_large") & (met(F.col("_saved") & F.col("_large")) > 0)
+    rows = rows.withColumn("_later", later)
+    last = F.row_number().over(Window.partitionBy("_all", "_eligible").orderBy("_later", *_TURN))
+    return rows.withColumn("_taken", F.col("_taken") | (F.col("_eligible") & (last <= F.col("_left")))).filter("_taken")

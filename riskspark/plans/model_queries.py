@@ -520,7 +520,44 @@ def _banded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.banded_sample(rows, 40, 0.1, views.MODEL_THRESHOLD, key=["transaction_id"])
 
 
-@query()
+def _quota_sql(quotas: list[int], total: int) -> str:
+    """The quota rules over pooled (transaction_id, p, amount, decision, band, pool, large, saved, h), step by step."""
+    own = "transaction_id, p, amount, decision, band, pool, large, saved, h, r"
+    steps = ["t0 AS (SELECT *, row_number() OVER (PARTITION BY band, pool ORDER BY h) AS r, false AS taken FROM pooled)"]
+    for b, quota in enumerate(quotas, start=1):
+        counts = ", ".join(f"count(*) FILTER (band = {b} AND pool = {k}) OVER () AS n{k}" for k in range(3))
+        inside = " OR ".join(f"(pool = {k} AND r <= k{k})" for k in range(3))
+        steps += [
+            f"l{b} AS (SELECT *, least({quota}, {total} - count(*) FILTER (taken) OVER ()) AS places, {counts} FROM t{b - 1})",
+            f"p{b} AS (SELECT *, least(greatest(1, places // 3), places, n0) AS k0 FROM l{b})",
+            f"q{b} AS (SELECT *, least(greatest(1, places // 3), places - k0, n1) AS k1 FROM p{b})",
+            f"r{b} AS (SELECT *, least(greatest(1, places // 3), places - k0 - k1, n2) AS k2 FROM q{b})",
+            f"s{b} AS (SELECT {own}, taken OR coalesce(band = {b} AND ({inside}), false) AS taken, places - k0 - k1 - k2 AS places FROM r{b})",
+            f"e{b} AS (SELECT *, band = {b} AND NOT taken AND (large OR count(*) FILTER (band = {b} AND NOT taken AND large) OVER () = 0) AS open FROM s{b})",
+            f"t{b} AS (SELECT {own}, taken OR (open AND row_number() OVER (PARTITION BY open ORDER BY h) <= places) AS taken FROM e{b})",
+        ]
+    steps += [
+        f"f AS (SELECT *, {total} - count(*) FILTER (taken) OVER () AS places, saved AND NOT taken AS open, NOT large AND count(*) FILTER (saved AND large) OVER () > 0 AS later FROM t3)",
+        "chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY open ORDER BY later, h) AS turn FROM f) WHERE taken OR (open AND turn <= places))",
+    ]
+    return ", ".join(steps)
+
+
+@query(
+    ALERTS
+    + """
+, b AS (SELECT transaction_id, p, amount, decision, CASE decision WHEN 'BLOCKED' THEN 3 WHEN 'FLAGGED' THEN 2 ELSE 1 END AS band,
+    amount > 1 AS large, true AS saved, ('0x' || substr(md5('42|' || transaction_id), 1, 15))::BIGINT AS h,
+    count(*) FILTER (amount > 1) OVER (PARTITION BY decision) AS n_large FROM alerts WHERE decision <> 'APPROVED'),
+c AS (SELECT decision, quantile_cont(amount, 0.33) AS low, quantile_cont(amount, 0.66) AS high FROM b WHERE n_large < 3 OR amount > 1 GROUP BY 1),
+pooled AS (SELECT b.* EXCLUDE (n_large), CASE WHEN n_large >= 3 AND amount <= 1 THEN NULL WHEN amount <= low THEN 0 WHEN amount <= high THEN 1 ELSE 2 END AS pool
+  FROM b JOIN c USING (decision)),
+"""
+    + _quota_sql(sampling.band_quotas(40), 40)
+    + """
+SELECT row_number() OVER (ORDER BY large DESC, p DESC, amount DESC, h) AS position, transaction_id, round(p, 6) AS fraud_probability,
+  round(amount, 6) AS "Amount", decision FROM chosen"""
+)
 def banded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(_banded(spark, sf_dir).select("position", "transaction_id", "fraud_probability", "Amount", "decision"))
 

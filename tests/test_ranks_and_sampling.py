@@ -130,3 +130,48 @@ def test_amount_pools(spark):
     found = sampling.amount_pools(spark.createDataFrame(rows, "band int, _amount double")).collect()
     by_row = {(r["band"], r["_amount"]): r["pool"] for r in found}
     assert by_row == {(1, 0.5): None, (1, 2.0): 0, (1, 3.0): 1, (1, 4.0): 2, (1, 5.0): 2, (2, 0.2): 0, (2, 9.0): 0, (3, 4.0): 0}
+
+
+def plain_quotas(rows, quotas, total):
+    """The quota rules, taken row by row from (band, pool, large, saved) in turn; returns row numbers."""
+    taken = set()
+
+    def take(allowed, places):
+        for i, r in enumerate(rows):
+            if places <= 0:
+                return
+            if i not in taken and allowed(r):
+                taken.add(i)
+                places -= 1
+
+    for band, quota in enumerate(quotas, start=1):
+        left = min(quota, total - len(taken))
+        share = max(1, left // 3)
+        for pool in range(3):
+            before = len(taken)
+            take(lambda r: r[0] == band and r[1] == pool, min(share, left))
+            left -= len(taken) - before
+        any_large = any(r[0] == band and r[2] for i, r in enumerate(rows) if i not in taken)
+        take(lambda r: r[0] == band and (r[2] or not any_large), left)
+    if any(r[2] and r[3] for r in rows):
+        take(lambda r: r[2] and r[3], total - len(taken))
+    take(lambda r: r[3], total - len(taken))
+    return taken
+
+
+@pytest.mark.parametrize("total", [1, 2, 3, 5, 9, 20, 50])
+def test_quota_rules_equal_a_plain_version(spark, total):
+    rng = random.Random(total)
+    tables, rows = [], []
+    for number in range(6):
+        weights = [rng.random() for _ in range(3)]
+        own = [
+            (rng.choices([1, 2, 3], weights)[0], rng.choice([None, 0, 1, 2]), rng.random() < rng.choice([0.0, 0.1, 0.8]), rng.random() < 0.7)
+            for _ in range(rng.choice([0, 3, 12, 80]))
+        ]
+        tables.append(own)
+        rows += [(number, i, 0.5, 1.0, *r) for i, r in enumerate(own)]
+    df = spark.createDataFrame(rows, "_all int, _hash long, _p double, _amount double, band int, pool int, _large boolean, _saved boolean")
+    got = sampling.fill_quotas(df, sampling.band_quotas(total), total).select("_all", "_hash").collect()
+    for number, own in enumerate(tables):
+        assert {r["_hash"] for r in got if r["_all"] == number} == plain_quotas(own, sampling.band_quotas(total), total)
