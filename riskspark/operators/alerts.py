@@ -88,14 +88,13 @@ def normalize_alerts(
     )
 
 
-def conform(df: DataFrame) -> DataFrame:
-    """The full alert schema, absent fields null."""
-
+def conform(df: DataFrame, schema: T.StructType = S.ALERT_SCHEMA) -> DataFrame:
+    """The full alert schema, absent fields null; other columns go (stored alerts keep them, see unknown_fields)."""
     present = set(df.columns)
     return df.selectExpr(
         *[
             f"TRY_CAST({f'`{f.name}`' if f.name in present else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`"
-            for f in S.ALERT_SCHEMA.fields
+            for f in schema.fields
         ]
     )
 
@@ -210,22 +209,49 @@ def top_drivers(drivers: Column, n: int = 5) -> Column:
     return F.slice(F.array_sort(drivers, larger_first), 1, n)
 
 
+def without_nans(value: Column, dtype: T.DataType) -> Column:
+    """A value with NaN as null at every depth."""
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return risk.null_if_nan(value)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda item: without_nans(item, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        fields = [without_nans(value.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(dtype, T.MapType):
+        return F.transform_values(value, lambda _, item: without_nans(item, dtype.valueType))
+    return value
+
+
+def joined_objects(first: Column, second: Column) -> Column:
+    """One JSON object text from two that share no field; null or `{}` adds nothing."""
+    empty = lambda text: text.isNull() | (text == "{}")
+    both = F.concat(F.left(first, F.char_length(first) - 1), F.lit(","), F.substring(second, 2, 2**31 - 1))
+    return F.when(empty(second), first).when(empty(first), second).otherwise(both)
+
+
+def unknown_fields(df: DataFrame) -> Column:
+    """The columns that the alert schema does not have, with those a variant `more` already holds, as one variant.
+
+    NaN is null at every depth; a document without such fields has null. Labels and the marks of streams are left out.
+    """
+    known = {name.lower() for name in [*S.ALERT_SCHEMA.names, S.MORE, S.TARGET, "amount", "stored_date", "stream_name", "batch_id"]}
+    fields = [f for f in df.schema.fields if f.name.lower() not in known and not f.name.startswith("_")]
+    held = F.lit(None).cast("string")
+    if S.MORE in df.columns and isinstance(df.schema[S.MORE].dataType, T.VariantType):
+        held = F.to_json(S.MORE)
+    if fields:
+        own = F.to_json(F.struct(*[without_nans(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields]))
+        held = joined_objects(held, own)
+    return F.parse_json(F.when(held != "{}", held))
+
+
 def json_documents(df: DataFrame) -> DataFrame:
-    """Each alert as a JSON document: NaN as null at every depth, times as display text."""
-
-    def cleaned(value: Column, dtype: T.DataType) -> Column:
-        if isinstance(dtype, (T.DoubleType, T.FloatType)):
-            return risk.null_if_nan(value)
-        if isinstance(dtype, T.ArrayType):
-            return F.transform(value, lambda item: cleaned(item, dtype.elementType))
-        if isinstance(dtype, T.StructType):
-            fields = [cleaned(value[f.name], f.dataType).alias(f.name) for f in dtype.fields]
-            return F.when(value.isNotNull(), F.struct(*fields))
-        if isinstance(dtype, T.MapType):
-            return F.transform_values(value, lambda _, item: cleaned(item, dtype.valueType))
-        return value
-
-    rows = df.select(*[cleaned(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
-    moments = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)]
+    """Each alert as a JSON document: NaN as null at every depth, times as display text, unknown fields beside the others."""
+    fields = [f for f in df.schema.fields if f.name != S.MORE]
+    more = F.to_json(S.MORE) if S.MORE in df.columns else F.lit(None).cast("string")
+    rows = df.select(*[without_nans(F.col(f.name), f.dataType).alias(f.name) for f in fields], more.alias("_more"))
+    moments = [f.name for f in fields if isinstance(f.dataType, T.TimestampType)]
     shown = times.format_time_columns(rows, moments)
-    return shown.select("transaction_id", text.compact_json(*shown.columns).alias("document"))
+    own = text.compact_json(*[f.name for f in fields])
+    return shown.select("transaction_id", joined_objects(own, F.col("_more")).alias("document"))

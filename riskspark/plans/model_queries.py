@@ -698,13 +698,6 @@ def boosted_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(scored.select(*columns))
 
 
-@query()
-def boosted_tree_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, model = _boosted(spark, sf_dir)
-    scored = models.score_transactions(rows.drop(*S.ENGINEERED_FEATURES), model, explain=True)
-    return comparable(scored.select("vec_id", F.inline("top_shap_features")))
-
-
 # Trees that SQL can fit as well: pairs of features split at their means. Scored and explained by the same leaf tables.
 _PAIRED = [f"V{i}" for i in range(1, 13)]
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark import schema as S
 from riskspark.operators import evaluation as E
+from riskspark.operators import models
+from riskspark.operators.alerts import json_documents
 from riskspark.plans import jobs, views
 from riskspark.plans.alert_queries import ALERTS, NOW
 from riskspark.plans.model_queries import _ENGINEERED, _ROUNDED_V, _SWEEP, _SWEEP_COLUMNS, CARDS, SCORED, _score
@@ -135,6 +137,53 @@ def tuning_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    ALERTS
+    + """
+SELECT transaction_id, 'd' || (event_id % 7) AS device, CASE WHEN event_id % 3 <> 0 THEN round(p, 6) END AS second_reading,
+  CASE WHEN event_id % 2 = 0 THEN 'kept' END AS note, round(amount, 6) AS amount, CASE WHEN event_id % 2 = 0 THEN 'again' END AS later, false AS has_nan
+FROM alerts"""
+)
+def open_alert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts with fields that the schema does not have, nested and with NaN in them: stored, read, added to and stored
+    again, read, and exported as JSON documents."""
+    documents = views.alert_documents(spark, sf_dir).withColumn("n", F.regexp_extract("transaction_id", "[0-9]+", 0).cast("long"))
+    p = F.col("fraud_probability")
+    reading = F.struct(p.alias("first"), F.when(F.col("n") % 3 == 0, float("nan")).otherwise(p).alias("second"))
+    meta = F.struct(F.concat(F.lit("d"), F.col("n") % 7).alias("device"), F.array(reading).alias("readings"))
+    open_documents = documents.withColumns({"meta": meta, "note": F.when(F.col("n") % 2 == 0, "kept")}).drop("n")
+    once, twice = shared_folder(spark, "alerts"), shared_folder(spark, "alerts")
+    alert_table.write_alerts(open_documents, once, NOW)
+    stored = alert_table.read_alerts(spark, once)
+    note = F.try_variant_get(S.MORE, "$.note", "string")
+    alert_table.write_alerts(stored.withColumn("later", F.when(note == "kept", "again")), twice, NOW)
+    out = json_documents(alert_table.read_alerts(spark, twice))
+
+    def field(path: str) -> Column:
+        return F.get_json_object("document", path)
+
+    return comparable(
+        out.select(
+            "transaction_id",
+            field("$.meta.device").alias("device"),
+            field("$.meta.readings[0].second").cast("double").alias("second_reading"),
+            field("$.note").alias("note"),
+            field("$.Amount").cast("double").alias("amount"),
+            field("$.later").alias("later"),
+            F.contains("document", F.lit("NaN")).alias("has_nan"),
+        )
+    )
+
+
+@query()
+def boosted_tree_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five greatest Shapley values of every card row, by the stored model."""
+    path, _ = _trained(spark, sf_dir)
+    model = model_store.load_scoring_model(spark, path)
+    scored = models.score_transactions(views.card_rows(spark, sf_dir), model, explain=True)
+    return comparable(scored.select("vec_id", F.inline("top_shap_features")))
+
+
 _runs: dict[tuple[str, str], tuple[str, jobs.Training]] = {}
 
 

@@ -99,6 +99,10 @@ ALERT_SCHEMA = T.StructType(
     + [T.StructField(name, T.TimestampType(), True) for name in ALERT_TIMES]
 )
 
+# Stored alerts keep the fields that this schema does not know, at any depth, in one variant.
+MORE = "more"
+STORED_ALERT_SCHEMA = T.StructType([*ALERT_SCHEMA.fields, T.StructField(MORE, T.VariantType(), True)])
+
 SCORED_SCHEMA = T.StructType(
     [T.StructField("label", T.IntegerType()), T.StructField("score", T.DoubleType())]
 )

@@ -10,14 +10,16 @@ from pyspark.sql import types as T
 
 from riskspark import schema as S
 from riskspark.functions import risk, times
-from riskspark.operators.alerts import conform, export_columns, normalize_alerts
+from riskspark.operators.alerts import conform, export_columns, normalize_alerts, unknown_fields
 from riskspark.operators.features import null_nans
 from riskspark.sources.transactions import read_or_none
 
 
 def storable(df: DataFrame, now: datetime | None = None) -> DataFrame:
-    """Alerts as they are stored: normalised, NaN as null, with a stored time, in the full schema."""
-    alerts = conform(null_nans(normalize_alerts(df)))
+    """Alerts as they are stored: normalised, NaN as null, with a stored time, in the full schema and a variant of all
+    other fields."""
+    rows = null_nans(normalize_alerts(df))
+    alerts = conform(rows.withColumn(S.MORE, unknown_fields(rows)), S.STORED_ALERT_SCHEMA)
     moment = F.lit(now) if now else F.current_timestamp()
     return alerts.withColumn("stored_at_utc", F.coalesce("stored_at_utc", moment))
 
@@ -35,10 +37,10 @@ def write_alerts(df: DataFrame, path: str, now: datetime | None = None) -> int:
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """All stored alerts, normalised; an absent table reads as empty."""
-    rows = read_or_none(lambda: spark.read.schema(S.ALERT_SCHEMA).parquet(path))
+    """All stored alerts, normalised, their unknown fields in the variant `more`; an absent table reads as empty."""
+    rows = read_or_none(lambda: spark.read.schema(S.STORED_ALERT_SCHEMA).parquet(path))
     if rows is None:
-        rows = spark.createDataFrame([], S.ALERT_SCHEMA)
+        rows = spark.createDataFrame([], S.STORED_ALERT_SCHEMA)
     return normalize_alerts(rows)
 
 
