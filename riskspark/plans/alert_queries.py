@@ -350,6 +350,23 @@ def merchant_summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _money(reports.merchant_summary(views.line_alerts(spark, sf_dir)), "total_amount")
 
 
+_RAW_SCORE = "((l_partkey * 7919 + l_orderkey) % 99991) / 999.91::DOUBLE"
+
+
+@query(
+    LINE_ALERTS.replace("(l_partkey % 1000) / 999.0::DOUBLE AS p,", f"(l_partkey % 1000) / 999.0::DOUBLE AS p, {_RAW_SCORE} AS raw,")
+    + ", raw_alerts AS (SELECT * REPLACE (CASE WHEN merchant_name::BIGINT % 2 = 0 THEN 'most' ELSE merchant_name END AS merchant_name, raw AS risk) FROM alerts)"
+    + _MERCHANTS.format(name="merchant_name", time="event_time", source="raw_alerts")
+)
+def merchant_summary_raw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores that are not rounded, and one merchant with half of all alerts."""
+    alerts = views.line_alerts(spark, sf_dir)
+    part, order = (F.split("transaction_id", "-")[i].cast("long") for i in (2, 0))
+    most = F.when(F.col("merchant_name").cast("long") % 2 == 0, "most").otherwise(F.col("merchant_name"))
+    raw = ((part * 7919 + order) % 99991) / F.lit(999.91)
+    return _money(reports.merchant_summary(alerts.withColumns({"risk_score": raw, "merchant_name": most})), "total_amount")
+
+
 @query(
     _SPARSE
     + ", risky AS (SELECT *, computed AS decision, round(p * 100, 2) AS risk FROM sparse), ranked AS ("
