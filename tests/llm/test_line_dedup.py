@@ -44,14 +44,18 @@ def test_banded_automaton_equals_edit_distance(spark, k):
         assert r.near == (edits(r.a, r.b) <= k), (r.a, r.b)
 
 
-def brute(rows, k, least):
+def brute(rows, k, least, every_line=False):
     order = lambda x: (x[0] is not None, x[0] or 0, x[1], x[2])
     places = sorted(((doc, row, pos, line) for row, (doc, text) in enumerate(rows) if text is not None for pos, line in enumerate(text.split("\n"))), key=order)
     seen, gone = {}, set()
     for doc, row, pos, line in places:
         if len(line) < least:
+            if every_line and line.strip(" \t\n\v\f\r"):
+                if line in seen:
+                    gone.add((row, pos))
+                seen[line] = True
             continue
-        if line in seen or any(abs(len(line) - len(x)) <= k and edits(line, x) <= k for x in seen):
+        if line in seen or any(len(x) >= least and abs(len(line) - len(x)) <= k and edits(line, x) <= k for x in seen):
             gone.add((row, pos))
         seen[line] = True
     out = []

@@ -33,7 +33,7 @@ def expected():
     ]
     rows = [r for r, ok in zip(rows, good) if ok]
     yield rows
-    rows = [(i, t) for i, _, _, t in brute_lines(rows, line_dedup.MAX_EDITS, line_dedup.MIN_CHARS) if t.split()]
+    rows = [(i, t) for i, _, _, t in brute_lines(rows, line_dedup.MAX_EDITS, line_dedup.MIN_CHARS, every_line=True) if t.split()]
     yield rows
     seen = set()
     rows = [r for r, c in zip(rows, brute_classes([t for _, t in rows])) if not (c in seen or seen.add(c))]
