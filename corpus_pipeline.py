@@ -21,9 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that equal or nearly equal an earlier one; documents that lose all lines go. n_chars is set anew.
 
-    Null and empty texts stay (n_chars of null is null); of repeated rows the first keeps its lines.
+    Every non-blank line that equals an earlier one goes, however short, so an exact copy leaves nothing behind. Null and empty texts stay (n_chars of null is null); of repeated rows the first keeps its lines.
     """
-    kept = line_dedup.drop_repeated_lines(docs)
+    kept = line_dedup.drop_repeated_lines(docs, every_line=True)
     kind = docs.schema["n_chars"].dataType
     return in_place(kept, lambda df: df.withColumn("n_chars", F.char_length("text").cast(kind)), text="text", n_chars="n_chars")
 
