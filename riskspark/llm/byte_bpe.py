@@ -25,7 +25,7 @@ from riskspark.llm.pretokens import Splitter
 
 LEAF = 256
 KEPT_BYTES = 64  # longer pre-tokens are not kept
-CACHE_BYTES = 128 << 20  # about what a worker's cache may take
+CACHE_BYTES = 96 << 20  # about what a worker's cache may take
 ENTRY_BYTES = 200  # of a cache entry besides its ids
 
 _loaded: dict[tuple[str, str], "Codec"] = {}
