@@ -17,7 +17,6 @@ SAVE_THRESHOLD = 0.10
 MODEL_THRESHOLD = 0.50
 FLAG_THRESHOLD = 0.50
 STREAM_CUTOFF = 0.5
-SEED_THRESHOLD = 0.999
 FALSE_POSITIVE_COST = 1.0
 FALSE_NEGATIVE_COST = 20.0
 ACTIONS = {
@@ -28,7 +27,6 @@ ACTIONS = {
 }
 AMOUNT_FROM_CSV = "raw_creditcard_csv"
 AMOUNT_MISSING = "fallback_missing_amount"
-AMOUNT_FROM_SEED = "deployment_seed_alert"
 
 # Column choices of the two alert tables shown to analysts.
 EXPORT_COLUMNS = [

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskspark import schema as S
-from riskspark.functions import risk, times
+from riskspark.functions import times
 from riskspark.operators.alerts import conform, export_columns, normalize_alerts, unknown_fields
 from riskspark.operators.features import null_nans
 from riskspark.sources.transactions import read_or_none
