@@ -5,8 +5,10 @@ pre-tokens. Tier one is a compact table of frequent pre-tokens and their token c
 (FREQUENT entries at most). Tier two is a cache in each Python worker: what tier one lacks is encoded by the library
 once and kept, up to a bound. The counts are one pass over the texts that shuffles nothing.
 
-Tier one is found by a pass of its own over all texts: tasks count their pre-tokens, and each distinct one is shuffled
-once per task (more often if a task holds more than FLUSH_WORDS of them). It only saves work and never changes a count.
+Tier one is found by a pass of its own over all texts that shuffles no pre-tokens either: each task keeps a Misra-Gries
+summary of SUMMARY counters, and summaries, one row a task, are merged MERGED at a time in a tree, each merge again cut to
+SUMMARY counters. A pre-token that makes up more than one in SUMMARY of all is surely in the last summary, and its
+counter is too low by at most that share. The table only saves work and never changes a count.
 """
 
 from __future__ import annotations
@@ -18,14 +20,16 @@ from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import pick, small_batches
+from riskspark.llm.common import pick, small_batches, stored
 from riskspark.llm.pretokens import Splitter, is_plain
 
 FREQUENT = 32_768
-FLUSH_WORDS = 300_000  # distinct pre-tokens a task counts before it hands them on
+SUMMARY = 4 * FREQUENT  # counters of a summary
+MERGED = 16  # summaries that one task merges
 CACHED_ENTRIES = 1_000_000
 CACHED_CHARS = 64
 
@@ -84,34 +88,72 @@ def lengths(path: str) -> Lengths:
     return _loaded[path]
 
 
-def frequent_lengths(texts: DataFrame, path: str, most: int = FREQUENT) -> dict[str, int]:
-    """Token counts of the `most` most frequent pre-tokens in all of column `text`."""
+def shrink(counts: Counter, most: int) -> None:
+    """Cut a Misra-Gries summary to at most `most` counters: all lose the largest count that has no place, the rest go."""
+    if len(counts) > most:
+        lost = sorted(counts.values(), reverse=True)[most]
+        kept = {w: n - lost for w, n in counts.items() if n > lost}
+        counts.clear()
+        counts.update(kept)
+
+
+SUMMARIES = "place long, words array<string>, ns array<long>"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = lengths(path), Counter()
 
-        def made() -> pa.RecordBatch:
-            words, ns = list(seen), list(seen.values())
-            seen.clear()
-            return pa.record_batch({"word": pa.array(words, pa.string()), "n": pa.array(ns, pa.int64())})
+def _summary_row(place: int, counts: Counter) -> pa.RecordBatch:
+    words, ns = pa.array([list(counts)], pa.list_(pa.string())), pa.array([list(counts.values())], pa.list_(pa.int64()))
+    return pa.record_batch({"place": pa.array([place], pa.int64()), "words": words, "ns": ns})
 
+
+def task_summaries(texts: DataFrame, path: str, counters: int) -> DataFrame:
+    """place (0, 1, ... by task), words and ns: a summary of the pre-tokens of each task's texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = lengths(path), Counter()
         for batch in batches:
             for text in batch.column("text"):
                 for piece in own.pieces(text.as_py() or ""):
                     seen.update(w for w in own.words(piece) if len(w) <= CACHED_CHARS)
-                if len(seen) >= FLUSH_WORDS:
-                    yield made()
-        yield made()
+                if len(seen) > 2 * counters:
+                    shrink(seen, counters)
+        shrink(seen, counters)
+        yield _summary_row(TaskContext.get().partitionId(), seen)
+
+    return texts.select("text").mapInArrow(count, SUMMARIES)
+
+
+def merge_summaries(summaries: DataFrame, counters: int, merged: int = MERGED) -> DataFrame:
+    """One summary of all (no row if there are none), merged `merged` at a time."""
+
+    def merge(rows: pa.Table) -> pa.Table:
+        seen: Counter = Counter()
+        for words, ns in zip(rows.column("words"), rows.column("ns")):
+            for word, n in zip(words.as_py(), ns.as_py()):
+                seen[word] += n
+            if len(seen) > 2 * counters:
+                shrink(seen, counters)
+        shrink(seen, counters)
+        return pa.Table.from_batches([_summary_row(rows.column("place")[0].as_py() // merged, seen)])
+
+    held = stored(summaries, "summaries")
+    while held.count() > 1:
+        grouped = held.groupBy((F.col("place") / merged).cast("long"))
+        held = stored(grouped.applyInArrow(merge, SUMMARIES), "summaries")
+    return held
+
+
+def frequent_lengths(texts: DataFrame, path: str, most: int = FREQUENT, counters: int = SUMMARY) -> dict[str, int]:
+    """Token counts of the `most` most frequent pre-tokens in all of column `text`, by a summary of `counters` counters."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lengths(path)
         for batch in batches:
-            words = batch.column("word")
-            yield pa.record_batch({"word": words, "tokens": pa.array([own[w] for w in words.to_pylist()], pa.int32())})
+            for words, ns in zip(batch.column("words"), batch.column("ns")):
+                top = [w for _, w in sorted((-n, w) for w, n in zip(words.as_py(), ns.as_py()))[:most]]
+                yield pa.record_batch({"word": pa.array(top, pa.string()), "tokens": pa.array([own[w] for w in top], pa.int32())})
 
-    counted = texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(most).select("word")
-    return {r.word: r.tokens for r in top.mapInArrow(encode, "word string, tokens int").collect()}
+    summary = merge_summaries(task_summaries(texts, path, counters), counters)
+    return {r.word: r.tokens for r in summary.mapInArrow(encode, "word string, tokens int").collect()}
 
 
 def count_tokens(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -87,8 +88,7 @@ def test_token_counts_equal_the_library(odd):
     assert by_id(token_counts.count_tokens(odd, WORD_BPE), "n_bytes", "n_tokens") == want
 
 
-def test_frequent_pre_tokens_are_those_of_all_documents(spark, monkeypatch):
-    monkeypatch.setattr(token_counts, "FLUSH_WORDS", 500)
+def test_frequent_pre_tokens_are_those_of_all_documents(spark):
     names = ["".join("abcdefghij"[int(c)] for c in f"{i:04}") for i in range(2500)]
     texts = [f"same {name} same" for name in names] + [None, "", "w" * 65]
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
@@ -98,6 +98,31 @@ def test_frequent_pre_tokens_are_those_of_all_documents(spark, monkeypatch):
     assert token_counts.frequent_lengths(docs, WORD_BPE, most=3) == {w: size(w) for w in ["same", *names[:2]]}
 
 
+def test_summaries_keep_every_frequent_pre_token(spark):
+    rng = random.Random(4)
+    spell = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:05}")
+    words = [spell(min(int(rng.paretovariate(0.7)), 99_999)) for _ in range(30_000)]
+    exact = Counter(words)
+    docs = spark.createDataFrame([(" ".join(words[i : i + 300]),) for i in range(0, len(words), 300)], "text string").repartition(23)
+    counters = 100
+    made = token_counts.task_summaries(docs, WORD_BPE, counters)
+    assert made.count() == 23 and all(len(r.words) <= counters for r in made.collect())
+    for merged in (2, 5, 16):
+        (row,) = token_counts.merge_summaries(made, counters, merged).collect()
+        held = dict(zip(row.words, row.ns))
+        assert len(held) <= counters
+        for word, n in exact.items():
+            assert n - len(words) / (counters + 1) <= held.get(word, 0) <= n
+    few = spark.createDataFrame([], "text string")
+    assert token_counts.frequent_lengths(few, WORD_BPE) == {}
+
+
+def test_counts_do_not_depend_on_the_frequent_table(odd, monkeypatch):
+    want = by_id(token_counts.count_tokens(odd, WORD_BPE), "n_bytes", "n_tokens")
+    monkeypatch.setattr(token_counts, "frequent_lengths", lambda texts, path: {})
+    assert by_id(token_counts.count_tokens(odd, WORD_BPE), "n_bytes", "n_tokens") == want
+
+
 def test_plain_texts_normalize_like_the_library():
     own = token_counts.Lengths(WORD_BPE)
     for start in range(0, 0x250, 8):
