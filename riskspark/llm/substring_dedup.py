@@ -11,7 +11,8 @@ its core, the bytes that all its strings share (the q-gram of its initial bucket
 that any of them has (the later offsets on both sides). Cells alone in their core's bucket hold no repeated string;
 cells whose contexts share a bucket repeat wholly; all others are cut into smaller cells, whose longer cores refine the
 bucket, down to single strings, where core and context are the string itself. Each round refines only what the round
-before left open, with one place for every bucket of equal contexts, so crowds of copies are rows of counts.
+before left open, with one place for every bucket of equal contexts, so crowds of copies are rows of counts. Places of
+a hot bucket are spread over tasks before they meet what is known of it.
 
 Identifiers are hashes, two of 64 bits each, so buckets need no numbering by the driver.
 """
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import pick, small_batches, stored, with_row_id
+from riskspark.llm.common import having_key, pick, small_batches, stored, with_row_id
 from riskspark.llm.near_dedup import mix
 
 LENGTH = 200
@@ -164,10 +165,10 @@ def _refine(places: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = stored(
         places.groupBy("core", "ctx").agg(F.count("*").alias("n"), F.max("open").alias("open"), F.min(F.struct("row", "spot", "whole")).alias("place")), "buckets"
     )
-    repeated = places.filter("open").join(buckets.filter("n > 1").select("core", "ctx"), ["core", "ctx"], "left_semi").select("row", "spot")
+    repeated = having_key(places.filter("open"), buckets.filter("n > 1"), ["core", "ctx"], ["row", "spot"]).select("row", "spot")
     left = buckets.select("core", "place.*", (F.col("open") & (F.col("n") == 1)).alias("open"))
     cores = left.groupBy("core").agg(F.count("*").alias("n"), F.max("open").alias("wanted")).filter("n > 1 AND wanted")
-    return repeated, left.join(cores.select("core"), "core", "left_semi").select("row", "spot", "whole", "open")
+    return repeated, having_key(left, stored(cores, "open-cores"), ["core"], ["row", "spot"]).select("row", "spot", "whole", "open")
 
 
 def _contexts(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
@@ -239,8 +240,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     width = length - GRAM + 1
     sizes = cell_sizes(length)
     cells = first_cells(docs, length, sizes[0])
-    shared = cells.groupBy("core").count().filter("count > 1").select("core")
-    places = stored(cells.join(shared, "core", "left_semi"), "places").withColumn("open", F.lit(True)).withColumn("whole", F.col("spot"))
+    shared = stored(cells.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1"), "shared-cores")
+    places = stored(having_key(cells, shared, ["core"], ["row", "spot"]), "places").withColumn("open", F.lit(True)).withColumn("whole", F.col("spot"))
     repeated, left = _refine(places)
     repeats = [repeated]
     whole = stored(_contexts(docs, left, length).withColumn("whole", F.col("spot")), "contexts")

@@ -1,0 +1,24 @@
+"""Helpers of the text operators."""
+
+from pyspark.sql import functions as F
+
+from riskspark.llm import common
+
+
+def test_rows_of_hot_keys_are_found_whole(spark, tmp_path):
+    rows = [(1, i % 7, i) for i in range(3_000)] + [(k, 0, k) for k in range(2, 2_000)] + [(5, 0, 5)] * 2
+    df = spark.createDataFrame(rows, "k long, l long, place long").repartition(5)
+    for on in (["k"], ["k", "l"]):
+        counts = common.stored(df.groupBy(*on).agg(F.count("*").alias("n")).filter("n > 1"), "counts")
+        want = df.join(counts.select(*on), on, "left_semi")
+        got = common.having_key(df, counts, on, ["place"])
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*df.columns).collect()))
+        assert got.count() == 3_003
+
+
+def test_no_keys(spark):
+    df = spark.createDataFrame([(1, 2)], "k long, place long")
+    none = spark.createDataFrame([], "k long, n long")
+    assert common.having_key(df, none, ["k"], ["place"]).collect() == []
+    assert common.having_key(df.limit(0), common.stored(df.withColumn("n", F.lit(1)), "one"), ["k"], ["place"]).collect() == []
