@@ -76,25 +76,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-HOT_SHARE = 1_000  # a key with more than one in so many rows is hot, so fewer than so many keys are
-SALTS = 64
-
-
-def having_key(rows: DataFrame, keys: DataFrame, on: list[str], place: list[str]) -> DataFrame:
-    """Rows whose key (columns `on`) is in keys, a stored table of one row a key with n, the rows of that key.
-
-    The rows of a hot key are spread over SALTS tasks by the columns `place`. The hot keys, fewer than HOT_SHARE, are
-    broadcast. No key may be null.
-    """
-    least = (keys.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE
-    hot = F.col("n") > least
-    known = F.broadcast(keys.filter(hot).select(*on, F.lit(True).alias("hot")))
-    salted = rows.join(known, on, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(*place), F.lit(SALTS))).otherwise(0))
-    salts = F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    wanted = keys.select(*on, F.explode(salts).alias("salt"))
-    return salted.join(wanted, [*on, "salt"], "left_semi").select(*rows.columns)
-
-
 def with_row_id(df: DataFrame, name: str = "row") -> DataFrame:
     """df with a number for each row, the same whenever the same scan is computed again.
 
