@@ -52,6 +52,37 @@ def hourly_counts(df: DataFrame) -> DataFrame:
     )
 
 
+def day_hour_figures(df: DataFrame) -> DataFrame:
+    """Figures per UTC day of storing (null: not known) and hour, all of a kind that can be added up or compared over days.
+
+    24 keys a day, so it also serves as a streaming state.
+    """
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(times.time_column(df, "stored_at_utc")) / 86400).cast("int"))
+    hour = F.least(F.greatest(F.coalesce("hour_of_day", F.lit(0)), F.lit(0)), F.lit(23))
+    return (
+        _report_rows(df)
+        .groupBy(day.alias("day"), hour.cast("int").alias("hour_of_day"))
+        .agg(
+            F.count("*").alias("fraud_alerts"),
+            F.sum("fraud_probability").alias("total_probability"),
+            F.max("fraud_probability").alias("max_probability"),
+            F.sum("risk_score").alias("total_risk_score"),
+            F.max("risk_score").alias("max_risk_score"),
+            F.sum("Amount").alias("total_amount"),
+            F.count_if(_is(S.BLOCKED)).alias("blocked_count"),
+            F.count_if(_is(S.REVIEW, S.FLAGGED)).alias("flagged_count"),
+        )
+    )
+
+
+def hourly_profile_of_days(figures: DataFrame) -> DataFrame:
+    """The hourly profile (see hourly_profile) of the alerts behind such figures, of all days that are given."""
+    added = [F.sum(c).alias(c) for c in ("fraud_alerts", "total_amount", "blocked_count", "flagged_count")]
+    means = [(F.sum(f"total_{c}") / F.sum("fraud_alerts")).alias(f"avg_{c}") for c in ("probability", "risk_score")]
+    highest = [F.max(c).alias(c) for c in ("max_probability", "max_risk_score")]
+    return fill_hours(figures.groupBy("hour_of_day").agg(*added, *means, *highest))
+
+
 def hourly_profile(df: DataFrame) -> DataFrame:
     """Alerts per hour of day, all 24 hours present. Flagged counts REVIEW and FLAGGED together.
 

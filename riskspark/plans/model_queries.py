@@ -839,6 +839,44 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(rows.withColumn("total_amount", F.round("total_amount", 4)))
 
 
+def _day_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view per day and hour over the alert documents: two halves, each drained by a stream that is started anew, and the
+    last batch's changes offered a second time, as after a crash before it was committed."""
+    work = shared_folder(spark, "day-hours")
+    documents = views.alert_documents(spark, sf_dir)
+    late = F.crc32("transaction_id") % 2 == 1
+    for half in (documents.filter(~late), documents.filter(late)):
+        half.write.mode("append").parquet(f"{work}/documents")
+        stream = normalize_alerts(streaming.replay_files(spark, documents.schema, f"{work}/documents", files_per_trigger=2))
+        streaming.start_day_hour_view(stream, f"{work}/view", f"{work}/checkpoint", trigger=None, fold_every=2).awaitTermination()
+    changes = spark.read.parquet(f"{work}/view/changes")
+    last = changes.agg(F.max("batch_id")).first()[0]
+    again = ranks.work_table(changes.filter(F.col("batch_id") == last).drop("epoch", "batch_id"), "replayed")
+    streaming.write_day_hours(again, last, f"{work}/view", fold_every=2)
+    return streaming.read_day_hours(spark, f"{work}/view", fold_every=2)
+
+
+@query(
+    ALERTS
+    + """
+SELECT strftime(stored_at, '%Y-%m-%d') AS day, hour_of_day, count(*) AS fraud_alerts, round(sum(p), 4) AS total_probability,
+       round(max(p), 6) AS max_probability, round(sum(risk), 4) AS total_risk_score, round(max(risk), 6) AS max_risk_score,
+       round(sum(amount), 4) AS total_amount, count(*) FILTER (decision = 'BLOCKED') AS blocked_count,
+       count(*) FILTER (decision IN ('REVIEW', 'FLAGGED')) AS flagged_count
+FROM alerts GROUP BY 1, 2"""
+)
+def stream_day_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _day_hours(spark, sf_dir).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    totals = ("total_probability", "total_risk_score", "total_amount")
+    return comparable(rows.withColumns({name: F.round(name, 4) for name in totals}))
+
+
+@query(ALERTS + _HOURLY)
+def stream_hourly_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reports.hourly_profile_of_days(_day_hours(spark, sf_dir))
+    return comparable(rows.withColumn("total_amount", F.round("total_amount", 4)))
+
+
 @query(
     ALERTS
     + """

@@ -17,13 +17,18 @@ from riskspark import schema as S
 from riskspark.operators.alerts import above_cutoff, assemble_alerts
 from riskspark.operators.features import split_complete
 from riskspark.operators.models import ScoringModel, score_transactions
-from riskspark.operators.reports import fill_hours, hourly_counts
+from riskspark.operators.reports import day_hour_figures, fill_hours, hourly_counts
 from riskspark.sources.alerts import storable
 from riskspark.sources.transactions import read_or_none
 
 TRIGGER = "10 seconds"
 CORRUPT = "_corrupt_record"
 ROWS_PER_FILE = 1_000_000
+FOLD_EVERY = 50  # batches between two whole copies of the view per day and hour
+DAY_HOUR_SCHEMA = (
+    "day date, hour_of_day int, fraud_alerts long, total_probability double, max_probability double, "
+    "total_risk_score double, max_risk_score double, total_amount double, blocked_count long, flagged_count long"
+)
 log = logging.getLogger(__name__)
 
 
@@ -172,6 +177,64 @@ def start_hourly_view(
     return _start_view(hourly_counts(alerts), fill_hours, path, checkpoint, trigger)
 
 
+def write_day_hours(batch: DataFrame, batch_id: int, path: str, fold_every: int = FOLD_EVERY) -> None:
+    """Store the keys (day, hour) that a micro-batch changed, with their new figures; after every fold_every batches the whole view.
+
+    A batch has a folder of its own, which a replay overwrites with the same rows. Rows are 24 a day at most.
+    """
+    epoch = batch_id // fold_every
+    batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/changes/epoch={epoch}/batch_id={batch_id}")
+    if (batch_id + 1) % fold_every == 0:
+        whole = _day_hours(batch.sparkSession, path, epoch, fold_every)
+        whole.coalesce(1).write.mode("overwrite").parquet(f"{path}/whole/epoch={epoch}")
+
+
+def _day_hours(spark: SparkSession, path: str, epoch: int, fold_every: int) -> DataFrame:
+    """The view of the epochs before this one, with the changes of this one merged in by key."""
+
+    def rows(folder: str, schema: str) -> DataFrame:
+        found = read_or_none(lambda: spark.read.schema(schema).parquet(folder))
+        return spark.createDataFrame([], schema) if found is None else found
+
+    changes = rows(f"{path}/changes/epoch={epoch}", f"{DAY_HOUR_SCHEMA}, batch_id long")
+    before = rows(f"{path}/whole/epoch={epoch - 1}", DAY_HOUR_SCHEMA).withColumn("batch_id", F.lit(-1).cast("long"))
+    figures = F.struct(*[c for c in changes.columns if c not in ("day", "hour_of_day", "batch_id")])
+    latest = before.unionByName(changes).groupBy("day", "hour_of_day").agg(F.max_by(figures, "batch_id").alias("f"))
+    return latest.select("day", "hour_of_day", "f.*")
+
+
+def read_day_hours(spark: SparkSession, path: str, fold_every: int = FOLD_EVERY) -> DataFrame:
+    """Figures per day and hour of all alerts that the view at path has seen; of each key what its last batch wrote.
+
+    Only the last whole copy and the changes after it are read. fold_every must be that of the writer; no view has no rows.
+    """
+    folds = read_or_none(lambda: spark.read.schema("day date, epoch long").parquet(f"{path}/whole"))
+    last = None if folds is None else folds.agg(F.max("epoch")).first()[0]
+    return _day_hours(spark, path, 0 if last is None else last + 1, fold_every)
+
+
+def start_day_hour_view(
+    alerts: DataFrame, path: str, checkpoint: str, trigger: str | None = TRIGGER, fold_every: int = FOLD_EVERY
+) -> StreamingQuery:
+    """Keep figures per day and hour of an alert stream up to date (see read_day_hours), writing only what a batch changed.
+
+    The stream's state holds the figures of every key, so a changed key is written with its new totals, never with a
+    difference that a replay could add twice. A new checkpoint counts from nothing, so give it a new path.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        write_day_hours(batch, batch_id, path, fold_every)
+
+    writer = (
+        day_hour_figures(alerts)
+        .writeStream.foreachBatch(merge)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+    )
+    writer = writer.trigger(availableNow=True) if trigger is None else writer.trigger(processingTime=trigger)
+    return writer.start()
+
+
 def start_kpi_view(
     alerts: DataFrame,
     summary: Callable[[DataFrame], DataFrame],

@@ -167,6 +167,61 @@ def test_hourly_view_equals_batch(spark, tmp_path):
         assert a.asDict() == pytest.approx(b.asDict())
 
 
+def hours(df):
+    return {(r.day, r.hour_of_day): r.asDict() for r in df.collect()}
+
+
+def test_day_hour_view_survives_crashes(spark, tmp_path, monkeypatch):
+    """Batches that fail after writing (a fold among them) run again at the next start; late alerts change earlier days."""
+    documents = views.alert_documents(spark, SF)
+    documents.repartition(7).write.parquet(str(tmp_path / "docs"))
+    stream = normalize_alerts(streaming.replay_files(spark, documents.schema, str(tmp_path / "docs"), 1))
+    out, whole = str(tmp_path / "view"), streaming.write_day_hours
+    assert streaming.read_day_hours(spark, out, 3).count() == 0
+    runs = []
+
+    def failing(batch, batch_id, *args):
+        whole(batch, batch_id, *args)
+        runs.append(batch_id)
+        if batch_id in (0, 2, 5) and runs.count(batch_id) == 1:
+            raise RuntimeError("lost before the commit")
+
+    monkeypatch.setattr(streaming, "write_day_hours", failing)
+    for _ in range(3):
+        with pytest.raises(Exception, match="lost before the commit"):
+            streaming.start_day_hour_view(stream, out, str(tmp_path / "c"), None, 3).awaitTermination()
+    streaming.start_day_hour_view(stream, out, str(tmp_path / "c"), None, 3).awaitTermination()
+    assert runs == [0, 0, 1, 2, 2, 3, 4, 5, 5, 6]
+    batch = normalize_alerts(documents)
+    want, got = hours(reports.day_hour_figures(batch)), hours(streaming.read_day_hours(spark, out, 3))
+    assert got.keys() == want.keys() and len(want) > 24
+    for key in want:
+        assert got[key] == pytest.approx(want[key])
+    live = reports.hourly_profile_of_days(streaming.read_day_hours(spark, out, 3)).orderBy("hour_of_day").collect()
+    for a, b in zip(live, reports.hourly_profile(batch).orderBy("hour_of_day").collect(), strict=True):
+        assert a.asDict() == pytest.approx(b.asDict())
+
+
+def test_day_hour_view_on_a_timed_trigger(spark, tmp_path):
+    """The view keeps up while its stream runs; alerts without a time have a null day of their own."""
+    documents = views.alert_documents(spark, SF)
+    first, second = documents.limit(300), documents.limit(20).withColumn("stored_at_utc", F.lit(None).cast("timestamp"))
+    first.write.parquet(str(tmp_path / "docs"))
+    stream = normalize_alerts(streaming.replay_files(spark, documents.schema, str(tmp_path / "docs"), 10))
+    out = str(tmp_path / "view")
+    query = streaming.start_day_hour_view(stream, out, str(tmp_path / "c"), "1 second")
+    try:
+        query.processAllAvailable()
+        assert streaming.read_day_hours(spark, out).agg(F.sum("fraud_alerts")).first()[0] == 300
+        second.write.mode("append").parquet(str(tmp_path / "docs"))
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    rows = streaming.read_day_hours(spark, out)
+    assert rows.agg(F.sum("fraud_alerts")).first()[0] == 320
+    assert rows.filter("day IS NULL").agg(F.sum("fraud_alerts")).first()[0] == 20
+
+
 def test_shared_folder_uses_the_session_setting(spark):
     assert shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 
