@@ -125,6 +125,24 @@ def class_distribution(df: DataFrame) -> DataFrame:
     )
 
 
+def _joined_deviation() -> Column:
+    """Deviation over the records of all classes, joined by counts, means and squared differences.
+
+    Differences are taken from means, never between large squares, so large amounts lose no digits.
+    """
+    part = F.struct(F.col("amounts").cast("double").alias("n"), "mean", (F.col("amounts") * F.col("variance")).alias("m2"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("amounts") > 0, part)))
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def join(a: Column, b: Column) -> Column:
+        n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+        return F.struct(
+            n.alias("n"), (a["mean"] + apart * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + apart * apart * a["n"] * b["n"] / n).alias("m2")
+        )
+
+    return F.aggregate(parts, none, join, lambda s: F.sqrt(F.try_divide(s["m2"], s["n"])))
+
+
 def dataset_statistics(df: DataFrame, approximate_median: bool = False) -> DataFrame:
     """One record: counts, class map, amount summary and the feature list.
 
@@ -150,7 +168,6 @@ def dataset_statistics(df: DataFrame, approximate_median: bool = False) -> DataF
         return F.coalesce(F.sum(F.when(F.col("cls") == name, F.col("n"))), F.lit(0))
 
     mean = F.sum("total") / F.sum("amounts")
-    square = F.sum(F.col("amounts") * (F.col("variance") + F.col("mean") * F.col("mean"))) / F.sum("amounts")
     if approximate_median:
         median = df.agg(F.percentile_approx(amount, 0.5).alias("value")).select("value").scalar()
     else:
@@ -166,7 +183,7 @@ def dataset_statistics(df: DataFrame, approximate_median: bool = False) -> DataF
             of_class("1").alias("fraud_count"),
             of_class("0").alias("non_fraud_count"),
             or_zero(mean).alias("amount_mean"),
-            or_zero(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))).alias("amount_std"),
+            or_zero(_joined_deviation()).alias("amount_std"),
             or_zero(F.min("low")).alias("amount_min"),
             or_zero(F.max("high")).alias("amount_max"),
         )

@@ -1,4 +1,6 @@
+import math
 import random
+import statistics
 from datetime import datetime, timezone
 
 import pytest
@@ -138,6 +140,18 @@ def test_features_edge_cases(spark):
         X.scoring_features(df)
 
 
+def test_deviation_of_large_amounts(spark):
+    """Amounts that differ little beside their size, over several classes, one of them without amounts."""
+    amounts = [(1e12 + i % 7, float(i % 3)) for i in range(500)] + [(None, 5.0), (1e12, None)]
+    known = [a for a, _ in amounts if a is not None]
+    centre = statistics.fmean(a - 1e12 for a in known)
+    want = math.sqrt(sum((a - 1e12 - centre) ** 2 for a in known) / len(known))
+    stats = X.dataset_statistics(spark.createDataFrame(amounts, "Amount double, Class double")).first()
+    assert stats["amount_std"] == pytest.approx(want, rel=1e-6) and stats["row_count"] == 502
+    none = X.dataset_statistics(spark.createDataFrame([], "Amount double, Class double")).first()
+    assert none["amount_std"] == 0.0 and none["row_count"] == 0
+
+
 def test_enrichment_is_repeatable(spark):
     df = spark.range(200).select(F.col("id").cast("double").alias("Time"), F.lit(1.0).alias("Amount"))
     now = datetime(2026, 1, 2, tzinfo=timezone.utc)
