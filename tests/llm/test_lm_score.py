@@ -7,6 +7,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+import sentencepiece
 
 from riskspark.llm import lm_score
 
@@ -56,16 +57,46 @@ def plain(rows):
 
 
 def model_score(seen, ends):
-    own = lm_score.Pieces(PATH)
-    counts = [0.0] * own.size
+    """One round of expectation and maximisation in plain probabilities, from the library's pieces alone."""
+    lib = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    every = range(lib.get_piece_size())
+    spelled = {int(lib.id_to_piece(i)[1:-1], 16): i for i in every if lib.is_byte(i)}
+    usual = [i for i in every if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i))]
+    number = {lib.id_to_piece(i): i for i in usual}
+    longest = max(map(len, number))
+    ranked = sorted(usual, key=lambda i: (-lib.get_score(i), i)) + sorted(spelled.values())
+    whole = sum(1 / (k + 10) for k in range(len(ranked)))
+    first = {i: 1 / (k + 10) / whole for k, i in enumerate(ranked)}
+
+    def arcs(word):
+        for i in range(len(word)):
+            for j in range(i + 1, min(i + longest, len(word)) + 1):
+                if word[i:j] in number:
+                    yield i, j, [number[word[i:j]]]
+            if word[i] not in number:
+                yield i, i + 1, [spelled[b] for b in word[i].encode()]
+
+    def ways(word, p):
+        """Sums over the segmentations of each beginning and of each rest of a word."""
+        own = [(i, j, ids, math.prod(p[x] for x in ids)) for i, j, ids in arcs(word)]
+        before, after = [1.0] + [0.0] * len(word), [0.0] * len(word) + [1.0]
+        for i, j, _, q in own:  # by the place where they start
+            before[j] += before[i] * q
+        for i, j, _, q in reversed(own):
+            after[i] += q * after[j]
+        return own, before, after
+
+    counts = Counter()
     for w, c in seen.items():
-        lm_score.expected_pieces(own.edges("▁" + w.decode(), own.initial), c, counts)
-    real = [i for i, x in enumerate(own.initial) if x > -math.inf]
-    total = sum(counts) + ends + 0.1 * (len(real) + 1)
-    weights = [math.log((c + 0.1) / total) for c in counts]
-    assert math.isclose(sum(math.exp(weights[i]) for i in real) + (ends + 0.1) / total, 1.0, rel_tol=1e-9)
-    lp = lambda w: lm_score.forward(own.edges("▁" + w.decode(), weights))[-1]
-    return lambda text: (sum(map(lp, (text or "").encode().lower().split())) + math.log((ends + 0.1) / total)) / math.log(10)
+        own, before, after = ways("▁" + w.decode(), first)
+        for i, j, ids, q in own:
+            for x in ids:
+                counts[x] += c * before[i] * q * after[j] / before[-1]
+    total = sum(counts.values()) + ends + 0.1 * (len(ranked) + 1)
+    p = {i: (counts[i] + 0.1) / total for i in ranked}
+    assert math.isclose(sum(p.values()) + (ends + 0.1) / total, 1.0, rel_tol=1e-9)
+    log10 = lambda w: math.log10(ways("▁" + w.decode(), p)[1][-1])
+    return lambda text: sum(map(log10, (text or "").encode().lower().split())) + math.log10((ends + 0.1) / total)
 
 
 @pytest.mark.parametrize("frequent", [40, lm_score.FREQUENT])
