@@ -28,6 +28,7 @@ from riskspark.llm.common import pick, small_batches, stored, with_row_id
 
 FREQUENT = 200_000  # words broadcast with their figures
 FLUSH_WORDS = 300_000  # distinct words a task counts before it hands them on
+WORDS_PER_TASK = 100_000  # distinct words whose lattices one task walks, some seconds of work
 SMOOTHING = 0.1
 MARK = "▁"
 _LOG10 = math.log(10)
@@ -161,6 +162,11 @@ def count_words(rows: DataFrame) -> DataFrame:
     return rows.select("text", "held_out").mapInArrow(count, "word binary, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
+def spread_words(words: DataFrame) -> DataFrame:
+    """words dealt by hash over tasks of about WORDS_PER_TASK; read as stored, the small table makes few tasks of much work."""
+    return words.repartition(max(1, math.ceil(words.count() / WORDS_PER_TASK)), "word")
+
+
 def fit_weights(words: DataFrame, ends: int, path: str) -> tuple[list[float], float]:
     """Log weights of all pieces and of the end, from words (word, c) and the number of training texts."""
     vocabulary = pieces(path)
@@ -215,8 +221,9 @@ def score_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_
     ends = base.filter("NOT held_out").count()
     trained = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count("*").alias("v")).first()
     tokens, distinct = trained.c + ends, trained.v + (ends > 0)
-    weights, end_weight = fit_weights(words, ends, path)
-    scored_words = stored(word_scores(words, weights, path), "word-scores")
+    spread = spread_words(words)
+    weights, end_weight = fit_weights(spread, ends, path)
+    scored_words = stored(word_scores(spread, weights, path), "word-scores")
     bottom = SMOOTHING * (distinct + 1) + tokens
     shift = math.log10(bottom) if bottom else 0.0
     listed = scored_words.orderBy(F.desc("n"), "word").limit(frequent).select("word", "c", "lp").toArrow()

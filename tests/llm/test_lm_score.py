@@ -118,6 +118,13 @@ def test_scores_equal_plain_figures(spark, tmp_path, frequent):
         assert math.isclose(a[5], b[5], rel_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-9)
 
 
+def test_words_are_spread_by_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lm_score, "WORDS_PER_TASK", 10)
+    spark.range(95).selectExpr("cast(id as string) AS word", "id AS c").coalesce(1).write.parquet(str(tmp_path / "words"))
+    spread = lm_score.spread_words(spark.read.parquet(str(tmp_path / "words")))
+    assert spread.rdd.getNumPartitions() == 10 and spread.count() == 95
+
+
 def test_no_documents(spark, tmp_path):
     path = str(tmp_path / "none")
     spark.createDataFrame([], "doc_id long, text string").write.parquet(path)
