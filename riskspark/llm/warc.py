@@ -16,6 +16,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -36,6 +37,7 @@ DATE = "2020-01-01T00:00:00Z"  # records carry no clock time, so archives are th
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 
+NO_ID = "<urn:page>"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 MANIFEST = "record_id string, bundle string, frame int, frame_offset long, frame_bytes long, record_offset long, record_bytes long"
 RECORD = "bundle string, record_id string, page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string"
@@ -47,7 +49,13 @@ def payload_digest(payload: bytes) -> str:
 
 
 def record_id(page_id: str | None) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}>"
+    """The record's URN, on one line for any text; a null id has no part of its own, so no text is taken for it."""
+    return NO_ID if page_id is None else f"<urn:page:{quote(page_id, safe='')}>"
+
+
+def page_of(urn: str) -> str | None:
+    """The page id of a record's URN."""
+    return None if urn == NO_ID else unquote(urn.removeprefix("<urn:page:").removesuffix(">"))
 
 
 def _clean(value: str) -> str:
@@ -89,15 +97,14 @@ def read_records(data: bytes) -> Iterator[dict]:
         head = dict(line.split(": ", 1) for line in lines)
         first = end + 4
         block = data[first : first + int(head["Content-Length"])]
-        page = head["WARC-Record-ID"].removeprefix("<urn:page:").removesuffix(">")
         revisit = head["WARC-Type"] == "revisit"
         payload = b"" if revisit else block[block.index(b"\r\n\r\n") + 4 :]
         yield {
             "record_id": head["WARC-Record-ID"],
-            "page_id": None if page == "null" else page,
+            "page_id": page_of(head["WARC-Record-ID"]),
             "url": head.get("WARC-Target-URI"),
             "record_type": head["WARC-Type"],
-            "refers_to": head["WARC-Refers-To"].removeprefix("<urn:page:").removesuffix(">") if revisit else None,
+            "refers_to": page_of(head["WARC-Refers-To"]) if revisit else None,
             "payload": payload,
             "payload_bytes": int(head["X-Payload-Length"]) if revisit else len(payload),
             "payload_digest": head["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else payload_digest(payload),

@@ -92,3 +92,18 @@ def test_small_payloads_stay_responses(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     kinds = {r.page_id: r.record_type for r in warc.archive(pages, least=5).collect()}
     assert kinds == {"1": "response", "2": "response", "3": "response", "4": "revisit"}
+
+
+def test_any_text_is_an_id(spark):
+    """Ids that look like none, or hold line ends, marks and percent signs, come back as they are, also as what is revisited."""
+    ids = [None, "null", "", "a>b", "x\r\nWARC-Type: revisit", "%41", "é 漢", "urn:page:"]
+    rows = [(i, "u", html) for i in ids for html in ("same", f"own {i!r}")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    folder = f"file://{shared_folder(spark, 'warc-ids')}"
+    manifest = warc.write_archives(warc.plan_records(pages), folder)
+    found = warc.read_archives(spark, folder, manifest).collect()
+    assert Counter(r.page_id for r in found) == Counter({i: 2 for i in ids})
+    assert {r.page_id for r in found if r.refers_to is None and r.payload_bytes == 4} == {""}
+    assert {r.refers_to for r in found if r.record_type == "revisit"} == {""}
+    names = [warc.record_id(i) for i in ids]
+    assert len(set(names)) == len(ids) and [warc.page_of(n) for n in names] == ids
