@@ -19,7 +19,9 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ _loaded: dict[str, "Pieces"] = {}
 
 
 class Pieces:
-    """A vocabulary: numbers of its pieces, of the beginnings of pieces, and of its byte pieces."""
+    """A vocabulary: numbers of its pieces and of its byte pieces, and the beginnings of pieces."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -54,7 +56,9 @@ class Pieces:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.number[piece] = i
                 scores[i] = model.get_score(i)
-        self.beginnings = {p[:k] for p in self.number for k in range(1, len(p) + 1)}
+        # Beginnings of pieces, with the number of the piece that they are, or -1.
+        self.known = {p[:k]: -1 for p in self.number for k in range(1, len(p))} | self.number
+        self.alone = [(i,) for i in range(self.size)]
         # Scores fall with the merge order; bytes come last.
         order = sorted(scores, key=lambda i: (-scores[i], i)) + sorted(set(self.bytes))
         self.initial = [-math.inf] * self.size
@@ -64,21 +68,18 @@ class Pieces:
 
     def edges(self, word: str, weights: list[float]) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each place of a word: (end, log weight, pieces) of what may start there."""
-        number, beginnings = self.number, self.beginnings
+        known, alone = self.known.get, self.alone
         n = len(word)
         out = []
         for i in range(n):
             own = []
-            single = False
             for j in range(i + 1, n + 1):
-                part = word[i:j]
-                if part not in beginnings:
+                piece = known(word[i:j])
+                if piece is None:
                     break
-                piece = number.get(part)
-                if piece is not None:
-                    own.append((j, weights[piece], (piece,)))
-                    single = single or j == i + 1
-            if not single:
+                if piece >= 0:
+                    own.append((j, weights[piece], alone[piece]))
+            if not own or own[0][0] > i + 1:  # no piece is this character
                 spelled = tuple(self.bytes[b] for b in word[i].encode())
                 own.append((i + 1, sum(weights[p] for p in spelled), spelled))
             out.append(own)
@@ -95,6 +96,9 @@ def pieces(path: str) -> Pieces:
 def _log_sum(terms: list[float]) -> float:
     if len(terms) == 1:
         return terms[0]
+    if len(terms) == 2:
+        a, b = terms
+        return a + math.log1p(math.exp(b - a)) if a > b else b + math.log1p(math.exp(a - b))
     top = max(terms)
     return top + math.log(sum([math.exp(t - top) for t in terms]))
 
@@ -104,8 +108,8 @@ def forward(edges: list[list[tuple[int, float, tuple[int, ...]]]]) -> list[float
     arriving: list[list[float]] = [[] for _ in range(len(edges) + 1)]
     arriving[0].append(0.0)
     alpha = []
-    for i, own in enumerate(edges):
-        a = _log_sum(arriving[i])
+    for own, terms in zip(edges, arriving):
+        a = terms[0] if len(terms) == 1 else _log_sum(terms)
         alpha.append(a)
         for end, weight, _ in own:
             arriving[end].append(a + weight)
@@ -116,15 +120,17 @@ def forward(edges: list[list[tuple[int, float, tuple[int, ...]]]]) -> list[float
 def expected_pieces(edges: list[list[tuple[int, float, tuple[int, ...]]]], times: float, counts: list[float]) -> None:
     """Add the expected number of each piece in a word that occurs `times` times."""
     n = len(edges)
+    exp = math.exp
     alpha = forward(edges)
     beta = [0.0] * (n + 1)
     for i in range(n - 1, -1, -1):
-        beta[i] = _log_sum([weight + beta[end] for end, weight, _ in edges[i]])
+        own = edges[i]
+        beta[i] = own[0][1] + beta[own[0][0]] if len(own) == 1 else _log_sum([weight + beta[end] for end, weight, _ in own])
     total = alpha[n]
     for i, own in enumerate(edges):
         start = alpha[i] - total
         for end, weight, held in own:
-            share = times * math.exp(start + weight + beta[end])
+            share = times * exp(start + weight + beta[end])
             for piece in held:
                 counts[piece] += share
 
@@ -227,23 +233,24 @@ def score_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_
     bottom = SMOOTHING * (distinct + 1) + tokens
     shift = math.log10(bottom) if bottom else 0.0
     listed = scored_words.orderBy(F.desc("n"), "word").limit(frequent).select("word", "c", "lp").toArrow()
-    table = spark.sparkContext.broadcast((listed["word"].to_pylist(), listed["c"].to_numpy(), listed["lp"].to_numpy()))
+    c = listed["c"].to_numpy()
+    places = {w: i for i, w in enumerate(listed["word"].to_pylist())}
+    table = spark.sparkContext.broadcast((places, np.log10(c + SMOOTHING), c > 0, listed["lp"].to_numpy()))
     end = (math.log10(ends + SMOOTHING), int(ends > 0), end_weight / _LOG10)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: (math.log10(c + SMOOTHING), int(c > 0), lp) for w, c, lp in zip(table.value[0], table.value[1].tolist(), table.value[2].tolist())}
-        figures = known.get
+        place, bases, in_training, lps = table.value[0].get, *table.value[1:]
         for batch in batches:
             rows: dict[str, list] = {"n_tokens": [], "n_known": [], "base": [], "lp": [], "rest": []}
             for text in batch.column("text"):
                 words = words_of(text.as_py())
-                found = list(map(figures, words))
-                rest = Counter([w for w, f in zip(words, found) if f is None]) if None in found else {}
-                bases, in_training, lps = zip(end, *[f for f in found if f is not None])
+                found = np.fromiter(map(place, words, repeat(-1)), np.int64, len(words))
+                rest = Counter([words[i] for i in np.flatnonzero(found < 0).tolist()])
+                found = found[found >= 0]
                 rows["n_tokens"].append(len(words) + 1)
-                rows["n_known"].append(sum(in_training))
-                rows["base"].append(math.fsum(bases) - shift * (len(words) + 1))
-                rows["lp"].append(math.fsum(lps))
+                rows["n_known"].append(end[1] + int(np.count_nonzero(in_training[found])))
+                rows["base"].append(end[0] + float(bases[found].sum()) - shift * (len(words) + 1))
+                rows["lp"].append(end[2] + float(lps[found].sum()))
                 rows["rest"].append([{"word": w, "times": n} for w, n in rest.items()])
             yield pa.record_batch(
                 {
