@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from riskspark.llm.common import pick, small_batches, stored, with_row_id
 
-FREQUENT = 200_000  # words broadcast with their figures
+FREQUENT = 200_000  # most words broadcast with their figures
 FLUSH_WORDS = 300_000  # distinct words a task counts before it hands them on
 WORDS_PER_TASK = 100_000  # distinct words whose lattices one task walks, some seconds of work
+CLASSES = 64  # classes of word counts to a factor of e
 SMOOTHING = 0.1
 MARK = "▁"
 _LOG10 = math.log(10)
@@ -211,6 +212,22 @@ def word_scores(words: DataFrame, weights: list[float], path: str) -> DataFrame:
     return words.select("word", "c", "n").mapInArrow(score, "word binary, c long, n long, lp double")
 
 
+def frequent_words(words: DataFrame, most: int) -> DataFrame:
+    """The most frequent of words (word, n), `most` at most: all from the least count on that leaves no more.
+
+    Counts are first put into classes by their logarithm, some thousand at most, so that no task orders the words.
+    """
+    kind = F.floor(F.log("n") * CLASSES)
+    sizes = {r.kind: r.words for r in words.groupBy(kind.alias("kind")).agg(F.count("*").alias("words")).collect()}
+    least, held = None, 0
+    for k in sorted(sizes, reverse=True):
+        held += sizes[k]
+        if held > most:
+            break
+        least = k
+    return words.filter(F.lit(False) if least is None else kind >= least)
+
+
 def score_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text; docs must be a scan.
 
@@ -232,7 +249,7 @@ def score_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_
     scored_words = stored(word_scores(spread, weights, path), "word-scores")
     bottom = SMOOTHING * (distinct + 1) + tokens
     shift = math.log10(bottom) if bottom else 0.0
-    listed = scored_words.orderBy(F.desc("n"), "word").limit(frequent).select("word", "c", "lp").toArrow()
+    listed = frequent_words(scored_words, frequent).select("word", "c", "lp").toArrow()
     c = listed["c"].to_numpy()
     places = {w: i for i, w in enumerate(listed["word"].to_pylist())}
     table = spark.sparkContext.broadcast((places, np.log10(c + SMOOTHING), c > 0, listed["lp"].to_numpy()))

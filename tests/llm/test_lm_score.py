@@ -125,6 +125,15 @@ def test_words_are_spread_by_their_number(spark, tmp_path, monkeypatch):
     assert spread.rdd.getNumPartitions() == 10 and spread.count() == 95
 
 
+def test_frequent_words_are_whole_classes_of_counts(spark):
+    words = spark.createDataFrame([(f"w{i}", n) for i, n in enumerate([900, 900, 500, 40, 2, 2, 1, 1, 1])], "word string, n long")
+    counts = lambda most: sorted((r.n for r in lm_score.frequent_words(words, most).collect()), reverse=True)
+    assert counts(0) == counts(1) == []
+    assert counts(2) == [900, 900] and counts(4) == counts(5) == [900, 900, 500, 40]
+    assert counts(8) == [900, 900, 500, 40, 2, 2] and len(counts(9)) == 9
+    assert lm_score.frequent_words(words.limit(0), 5).count() == 0
+
+
 def test_no_documents(spark, tmp_path):
     path = str(tmp_path / "none")
     spark.createDataFrame([], "doc_id long, text string").write.parquet(path)
