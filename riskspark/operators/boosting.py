@@ -2,10 +2,11 @@
 
 Features are cut into bins at quantiles once, and rows are kept as blocks: a byte per feature and row, with label, weight,
 hash and margin. A level of a tree is one job: each task adds up gradients and second derivatives per (node, feature, bin)
-over its blocks, the sums of tasks are added in a tree of bounded width, and the driver, which holds one histogram,
-chooses the level's splits. Rows are sampled by their hash and columns by a seeded choice, so a lost task redoes the same
-work. These small jobs, four a tree, run over the rows of the blocks as an RDD: planned as DataFrames each took some 50 ms
-before any work, so 29. Margins are written with the blocks every CHECKPOINT rounds; between, a task adds the trees made since.
+over its blocks, the sums of tasks are added in a tree of bounded width, and the task that adds the last of them chooses the
+level's splits: the driver gets a few numbers a node, never a histogram. Rows are sampled by their hash and columns by a
+seeded choice, so a lost task redoes the same work. These small jobs, four a tree, run over the rows of the blocks as an
+RDD: planned as DataFrames each took some 50 ms before any work, so 29. Margins are written with the blocks every CHECKPOINT
+rounds; between, a task adds the trees made since.
 """
 
 from __future__ import annotations
@@ -203,16 +204,16 @@ class Block:
         return at
 
 
-def _added(parts: RDD, number: int) -> np.ndarray:
-    """The sum of the histograms (place, sums) of all partitions, added in places of at most WIDTH, in a fixed order."""
+def _added(parts: RDD, number: int) -> RDD:
+    """One row: the sum of the histograms (place, sums) of all partitions, added in places of at most WIDTH, in a fixed order."""
 
     def total(held: list[tuple[int, np.ndarray]]) -> np.ndarray:
         return sum(sums for _, sums in sorted(held, key=lambda part: part[0]))
 
-    while number > WIDTH:
+    while number > 1:
         number = -(-number // WIDTH)
         parts = parts.map(lambda part: (part[0] // WIDTH, part)).groupByKey(number).mapValues(lambda held: total(list(held)))
-    return total(parts.collect())
+    return parts.values()
 
 
 def best_splits(sums: np.ndarray, l2: float, least: float) -> list[tuple[float, int, int, float, float, float, float]]:
@@ -270,7 +271,8 @@ def fit_histogram_trees(
     rng = np.random.default_rng(seed)
     since, run = 0, uuid.uuid4().hex
 
-    def level_sums(done: int, tree: int, level: int, columns: np.ndarray) -> np.ndarray:
+    def level_splits(done: int, tree: int, level: int, columns: np.ndarray) -> tuple[tuple[float, float], list[tuple]]:
+        """The sums of the level's first node, and the best split of each of its nodes."""
         earlier = [(feature[t], cut_bins[t], value[t]) for t in range(done, tree)]
         own_feature, own_cut = feature[tree].copy(), cut_bins[tree].copy()
         nodes, first = 2**level, 2**level - 1
@@ -291,19 +293,22 @@ def fit_histogram_trees(
                     total[1, j] += np.bincount(slot, h, nodes * most)
             yield place, total
 
-        total = _added(held.mapPartitionsWithIndex(add), held.getNumPartitions())
-        return total.reshape(2, len(columns), nodes, most).transpose(2, 1, 3, 0)
+        def choose(total: np.ndarray) -> tuple[tuple[float, float], list[tuple]]:
+            sums = total.reshape(2, len(columns), nodes, most).transpose(2, 1, 3, 0)
+            g, h = map(float, sums[0, 0].sum(axis=0))
+            return (g, h), best_splits(sums, l2, min_child_weight)
+
+        return _added(held.mapPartitionsWithIndex(add), held.getNumPartitions()).map(choose).first()
 
     for tree in range(rounds):
         columns = np.sort(rng.choice(width, max(1, round(column_share * width)), replace=False))
         for level in range(depth):
             first = 2**level - 1
-            sums = level_sums(since, tree, level, columns)
+            (g, h), splits = level_splits(since, tree, level, columns)
             if level == 0:
-                g, h = sums[0, 0].sum(axis=0)
                 value[tree, 0], cover[tree, 0] = -rate * g / (h + l2), h
             grown = False
-            for i, (gain, column, cut, *sides) in enumerate(best_splits(sums, l2, min_child_weight)):
+            for i, (gain, column, cut, *sides) in enumerate(splits):
                 node = first + i
                 if gain <= 1e-6 or (node and feature[tree, (node - 1) // 2] < 0):
                     continue

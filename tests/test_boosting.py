@@ -1,7 +1,10 @@
 """Histogram boosting against a plain version of the same sums, over blocks and tasks, with gaps and odd tables."""
 
+import pickle
+
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from riskspark.operators import boosting, trees
@@ -75,6 +78,22 @@ def test_equals_a_plain_version(table, monkeypatch, block_rows):
     assert np.allclose([got[i] for i in range(len(y))], 1 / (1 + np.exp(-want)), atol=1e-9)
 
 
+def test_the_driver_gets_splits_and_no_histograms(table, monkeypatch):
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(boosting, "WIDTH", 3)
+    sent = []
+    for name in ("collect", "take"):
+
+        def spied(self, *args, own=getattr(RDD, name)):
+            got = own(self, *args)
+            sent.append(len(pickle.dumps(got)))
+            return got
+
+        monkeypatch.setattr(RDD, name, spied)
+    boosting.fit_histogram_trees(table, NAMES, "Class", **SETTINGS)
+    assert len(sent) >= 15 and max(sent) < 2_000  # a histogram of one node and column alone is more
+
+
 def test_settings_learn_and_repeat(table):
     fit = lambda: boosting.fit_histogram_trees(table, NAMES, "Class", rounds=30, rate=0.2)
     one, two = fit(), fit()
