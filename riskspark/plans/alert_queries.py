@@ -14,7 +14,7 @@ from riskspark.operators import models, reports
 from riskspark.plans import views
 from riskspark.plans.registry import comparable, query
 from riskspark.session import shared_folder
-from riskspark.sources.alerts import read_seed_alerts, storable
+from riskspark.sources.alerts import RECORD_SEPARATOR, read_seed_alerts, storable
 from riskspark.sources.transactions import enrich_events
 
 NOW = datetime(2024, 1, 20, 15, 30, tzinfo=timezone.utc)
@@ -281,7 +281,8 @@ def seed_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     arrays = documents.groupBy("file").agg(F.to_json(F.collect_list("document")).alias("value"))
     arrays = arrays.withColumn("value", F.replace("value", F.lit('"Amount_"'), F.lit('"Amount"')))
-    arrays.write.partitionBy("file").text(path)
+    # Many arrays a file, each behind a record separator: a file per array is a folder per fifty alerts.
+    arrays.select("value").write.option("lineSep", RECORD_SEPARATOR).text(path)
     columns = ["transaction_id", "merchant_name", "Amount", "fraud_probability", "decision", "event_time_utc"]
     return comparable(read_seed_alerts(spark, path).select(*columns))
 

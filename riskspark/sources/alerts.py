@@ -14,6 +14,8 @@ from riskspark.operators.alerts import conform, export_columns, normalize_alerts
 from riskspark.operators.features import null_nans
 from riskspark.sources.transactions import read_or_none
 
+RECORD_SEPARATOR = "\x1e"  # of JSON text sequences
+
 
 def storable(df: DataFrame, now: datetime | None = None) -> DataFrame:
     """Alerts as they are stored: normalised, NaN as null, with a stored time, in the full schema and a variant of all
@@ -59,12 +61,13 @@ def export_alerts_csv(df: DataFrame, path: str) -> None:
 
 
 def read_seed_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """Packaged alerts from a JSON array, in file order (``position``); non-objects are dropped.
+    """Packaged alerts from JSON arrays, in the order of their array (``position``); non-objects are dropped.
 
-    Documents are read as variants, so either spelling of the amount and any set of fields works.
-    An empty or unreadable file is an error.
+    A file holds one array over any lines, or several apart by RECORD_SEPARATOR, which valid JSON never has inside, so
+    that large files are split and small ones need not be many; all in UTF-8. Documents are read as variants, so either
+    spelling of the amount and any set of fields works. An empty or unreadable file is an error.
     """
-    document = spark.read.option("multiLine", True).option("singleVariantColumn", "doc").json(path)
+    document = spark.read.option("lineSep", RECORD_SEPARATOR).option("singleVariantColumn", "doc").json(path)
     items = F.posexplode(F.col("doc").try_cast("array<variant>")).alias("position", "item")
     records = document.select(items)
     if records.isEmpty():

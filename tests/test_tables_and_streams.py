@@ -62,6 +62,22 @@ def test_seeds(spark, seed_path, tmp_path):
             table.read_seed_alerts(spark, str(empty))
 
 
+def test_seeds_of_many_arrays_in_a_file(spark, tmp_path):
+    texts = [f'[{{"transaction_id": "a{i}",\n "Amount": {i}}},\n {{"transaction_id": "b{i}", "amount": {i}}}]\n' for i in range(40)]
+    path = tmp_path / "seeds.json"
+    path.write_text("\x1e" + "\x1e".join(texts), encoding="utf-8")
+    rows = table.read_seed_alerts(spark, str(path)).select("position", "transaction_id", "Amount").collect()
+    assert sorted(map(tuple, rows)) == sorted((p, f"{c}{i}", float(i)) for i in range(40) for p, c in enumerate("ab"))
+
+
+def test_seed_refresh_writes_no_file_per_array(spark, tmp_path, monkeypatch):
+    from riskspark.plans import alert_queries
+
+    monkeypatch.setattr(alert_queries, "shared_folder", lambda spark, purpose: str(tmp_path / purpose))
+    assert alert_queries.seed_refresh(spark, SF).count() == 1000
+    assert len(list((tmp_path / "seeds").rglob("part-*"))) <= 8  # of 20 arrays, by 8 tasks at most
+
+
 def test_csv_checks(spark, tmp_path):
     rows = views.card_rows(spark, SF).select(*S.RAW_COLUMNS)
     path = str(tmp_path / "cards")
