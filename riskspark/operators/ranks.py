@@ -22,6 +22,7 @@ from riskspark.session import shared_folder
 ROWS_PER_RANGE = 1_000_000
 SAMPLES_PER_RANGE = 100
 COPIES_PER_TASK_ROW = 10_000
+FANOUT = 128  # cuts looked through at once
 
 RANGE = "_range"
 _SPLIT_KEY = "_range_key"
@@ -42,7 +43,8 @@ def range_ends(
         return []
     fraction = min(1.0, SAMPLES_PER_RANGE * ranges / rows)
     sample = keys.sample(fraction, seed=7) if fraction < 1.0 else keys
-    shares = [i / ranges for i in range(1, ranges)]
+    # One constant, not a column per share: there may be very many.
+    shares = F.split(F.lit(",".join(repr(i / ranges) for i in range(1, ranges))), ",").cast("array<double>")
     ends = sample.agg(F.percentile_approx("k", shares, max(10_000, 10 * ranges)).alias("ends")).first()["ends"]
     return sorted(ends or [])
 
@@ -62,6 +64,37 @@ def with_range(df: DataFrame, key: Column, ends: Sequence[float]) -> DataFrame:
     return placed.withColumn(RANGE, F.col(RANGE).cast("int")).drop(_SPLIT_KEY)
 
 
+def with_part(df: DataFrame, cuts: DataFrame, group: str, value: str, most: int, part: str) -> DataFrame:
+    """Add how many cuts of its group are at most a row's value: 0 in a group without cuts, or without a value.
+
+    cuts is a table (group, cut), at most ``most`` different ones a group. They are laid out as a search tree of nodes of less
+    than FANOUT cuts, a broadcast table a level, so that a row meets few cuts however many its group has. Cut number b
+    parts the nodes of the highest level whose width divides b.
+    """
+    depth = 1
+    while FANOUT**depth <= most:
+        depth += 1
+    order = Window.partitionBy("_group").orderBy("_cut")
+    numbered = cuts.select(F.col(group).alias("_group"), F.col("cut").alias("_cut")).filter("_cut IS NOT NULL").distinct()
+    numbered = work_table(numbered.withColumn("_number", F.row_number().over(order).cast("long")), "part-cuts")
+    steps = [1 << i for i in reversed(range((FANOUT - 1).bit_length()))]
+    found = df.withColumn(part, F.lit(0).cast("long"))
+    for level in reversed(range(depth)):
+        width, above = FANOUT**level, FANOUT ** (level + 1)
+        number = F.col("_number")
+        own = numbered.filter((number % width == 0) & (number % above != 0))
+        nodes = own.groupBy("_group", F.floor(number / above).alias("_node")).agg(F.sort_array(F.collect_list("_cut")).alias("_cuts"))
+        met = (F.col(group) == F.col("_group")) & (F.col(part) == F.col("_node"))
+        passed = F.aggregate(
+            F.array(*map(F.lit, steps)),
+            F.lit(0),
+            lambda at, step: F.when(F.get("_cuts", at + step - 1) <= F.col(value), at + step).otherwise(at),
+        )
+        found = found.join(F.broadcast(nodes), met, "left").withColumn(part, F.col(part) * FANOUT + passed)
+        found = found.drop("_group", "_node", "_cuts")
+    return found.withColumn(part, F.col(part).cast("int"))
+
+
 def before_range(totals: DataFrame, sums: Sequence[str], by: Sequence[str] = (RANGE,)) -> DataFrame:
     """Totals of all earlier ranges. The input has one row per range, a millionth of the rows or so."""
     earlier = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -293,15 +294,16 @@ def cumulative_amount(df: DataFrame, rows_per_range: int = ranks.ROWS_PER_RANGE)
     """Running alerted amount by (event time, transaction id), rows without a time dropped.
 
     Rows are cut into time ranges by a sample. A moment that holds many alerts gets ranges of its own, cut by ids that
-    were sampled at that moment; the cuts are a small table that is joined by the moment. Exact copies of one alert at
-    such a moment are counted first and repeated last, which keeps a mass of copies out of any one task.
+    were sampled at that moment; the cuts are a small table in which a row's part is searched (ranks.with_part). Exact
+    copies of one alert at such a moment are counted first and repeated last, which keeps a mass of copies out of any one
+    task.
     """
     rows = df.withColumns(
         {"_event_time": times.event_time(df), "Amount": risk.finite(F.col("Amount"))}
     ).filter(F.col("_event_time").isNotNull())
     moment = F.unix_micros("_event_time").cast("double")
     ends = ranks.range_ends(rows, moment, rows_per_range)
-    shares = {end: ends.count(end) for end in set(ends) if ends.count(end) > 1}
+    shares = {end: n for end, n in Counter(ends).items() if n > 1}
     # A crowded moment gets a range of its own: from the moment up to the next microsecond.
     placed = ranks.with_range(rows, moment, sorted(set(ends) | {end + 1 for end in shares}))
     order = [F.col("_event_time"), F.col("transaction_id")]
@@ -311,19 +313,21 @@ def cumulative_amount(df: DataFrame, rows_per_range: int = ranks.ROWS_PER_RANGE)
 
     spark = df.sparkSession
     wanted = spark.createDataFrame([(end, n + 1) for end, n in shares.items()], "_moment double, _parts int")
-    crowded = placed.withColumn("_moment", moment).join(F.broadcast(wanted), "_moment")
+    placed = placed.withColumn("_at", moment).join(F.broadcast(wanted), F.col("_at") == F.col("_moment"), "left")
+    crowded = placed.filter("_moment IS NOT NULL AND transaction_id IS NOT NULL").select("_moment", "_parts", "transaction_id")
     # About SAMPLES_PER_RANGE ids per part are drawn; a part's cut is the id at its share of them.
     share = min(1.0, ranks.SAMPLES_PER_RANGE / rows_per_range)
-    drawn = crowded.select("_moment", "_parts", "transaction_id").sample(share, seed=11) if share < 1.0 else crowded
-    ids = drawn.groupBy("_moment", "_parts").agg(F.sort_array(F.collect_list("transaction_id")).alias("ids"))
-    at = F.transform(
-        F.sequence(F.lit(1), F.col("_parts") - 1),
-        lambda i: F.get("ids", F.floor(i * F.size("ids") / F.col("_parts")).cast("int")),
-    )
-    cuts = ids.select("_moment", F.array_distinct(at).alias("_cuts"))
-    parted = placed.withColumn("_moment", moment).join(F.broadcast(cuts), "_moment", "left")
-    part = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= F.col("transaction_id"))), F.lit(0))
-    placed = parted.withColumns({"_part": part, "_crowded": F.col("_cuts").isNotNull()}).drop("_moment", "_cuts")
+    drawn = crowded.sample(share, seed=11) if share < 1.0 else crowded
+    drawn = ranks.work_table(drawn, "drawn-ids")
+    numbers = drawn.groupBy("_moment").agg(F.count("*").alias("_ids"))
+    turn = F.row_number().over(Window.partitionBy("_moment").orderBy("transaction_id"))
+    turned = drawn.withColumn("_place", turn.cast("long") - 1).join(F.broadcast(numbers), "_moment")
+    # The first place at or after i * ids / parts is a cut, for every i in 1 to parts - 1.
+    before = F.floor((F.col("_place") - 1) * F.col("_parts") / F.col("_ids"))
+    at = F.floor(F.col("_place") * F.col("_parts") / F.col("_ids"))
+    cuts = turned.filter((F.col("_place") > 0) & (at > before)).select("_moment", F.col("transaction_id").alias("cut"))
+    placed = ranks.with_part(placed, cuts, "_moment", "transaction_id", max(shares.values()) + 1, "_part")
+    placed = placed.withColumn("_crowded", F.col("_moment").isNotNull()).drop("_at", "_moment", "_parts")
     keys = [c for c in placed.columns if c != "_crowded"]
     copies = placed.filter("_crowded").groupBy(*keys).agg(F.count("*").alias("_copies"))
     alone = placed.filter("NOT _crowded").select(*keys, F.lit(1).cast("long").alias("_copies"))

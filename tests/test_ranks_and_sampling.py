@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskspark.operators import ranks, sampling
+from riskspark.operators import ranks, reports, sampling
 
 
 @pytest.mark.parametrize("rows_per_range", [10**6, 100])
@@ -175,3 +175,33 @@ def test_quota_rules_equal_a_plain_version(spark, total):
     got = sampling.fill_quotas(df, sampling.band_quotas(total), total).select("_all", "_hash").collect()
     for number, own in enumerate(tables):
         assert {r["_hash"] for r in got if r["_all"] == number} == plain_quotas(own, sampling.band_quotas(total), total)
+
+
+def test_parts_are_searched_in_nodes_of_few_cuts(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "FANOUT", 4)
+    ids = [f"k{i:03d}" for i in range(0, 300, 3)]
+    cuts = spark.createDataFrame([(1.0, c) for c in ids + ids[:9]] + [(2.0, "k100")], "m double, cut string")
+    values = [None, "a", "z", *[f"k{i:03d}" for i in range(300)]]
+    rows = spark.createDataFrame([(m, v) for m in (1.0, 2.0, 3.0, None) for v in values], "m double, v string")
+    found = ranks.with_part(rows, cuts, "m", "v", len(ids), "part")
+    held = {1.0: ids, 2.0: ["k100"]}
+    assert found.columns == ["m", "v", "part"] and found.count() == rows.count()
+    assert all(r["part"] == sum(c <= r["v"] for c in held.get(r["m"], []) if r["v"]) for r in found.collect())
+
+
+def test_cumulative_amount_of_one_moment_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "FANOUT", 4)
+    lines = [(f"t{i % 900:04d}", 1.0 + i % 7, "2024-01-01T00:00:00Z" if i % 10 else f"2024-01-{2 + i % 20:02d}T00:00:00Z") for i in range(3000)]
+    df = spark.createDataFrame(lines, "transaction_id string, Amount double, event_time_utc string")
+    searched = []
+    monkeypatch.setattr(ranks, "with_part", lambda *args, own=ranks.with_part: searched.append(args[4]) or own(*args))
+    got = reports.cumulative_amount(df, rows_per_range=30).collect()
+    assert searched and searched[0] > 50
+    got.sort(key=lambda r: (r["_event_time"], r["transaction_id"], r["cum_amount"]))
+    total, want = 0.0, {}
+    for time, name, amount in sorted((t, n, a) for n, a, t in lines):
+        total += amount
+        want[time, name] = total
+    assert [r["cum_amount"] for r in got] == sorted(r["cum_amount"] for r in got) and len(got) == 3000
+    last = {(r["_event_time"].strftime("%Y-%m-%dT%H:%M:%SZ"), r["transaction_id"]): r["cum_amount"] for r in got}
+    assert last == want
