@@ -159,7 +159,7 @@ def _start_view(
     counts: DataFrame, finish: Scorer, path: str, checkpoint: str, trigger: str | None
 ) -> StreamingQuery:
     def replace(batch: DataFrame, batch_id: int) -> None:
-        finish(batch).coalesce(1).write.mode("overwrite").parquet(path)
+        finish(batch).repartition(1).write.mode("overwrite").parquet(path)
 
     writer = (
         counts.writeStream.foreachBatch(replace)
@@ -180,13 +180,14 @@ def start_hourly_view(
 def write_day_hours(batch: DataFrame, batch_id: int, path: str, fold_every: int = FOLD_EVERY) -> None:
     """Store the keys (day, hour) that a micro-batch changed, with their new figures; after every fold_every batches the whole view.
 
-    A batch has a folder of its own, which a replay overwrites with the same rows. Rows are 24 a day at most.
+    A batch has a folder of its own, which a replay overwrites with the same rows. Rows are 24 a day at most. They are
+    shuffled into their one file: coalesced, one task would hold the memory of all partitions of the aggregation.
     """
     epoch = batch_id // fold_every
-    batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/changes/epoch={epoch}/batch_id={batch_id}")
+    batch.repartition(1).write.mode("overwrite").parquet(f"{path}/changes/epoch={epoch}/batch_id={batch_id}")
     if (batch_id + 1) % fold_every == 0:
         whole = _day_hours(batch.sparkSession, path, epoch, fold_every)
-        whole.coalesce(1).write.mode("overwrite").parquet(f"{path}/whole/epoch={epoch}")
+        whole.repartition(1).write.mode("overwrite").parquet(f"{path}/whole/epoch={epoch}")
 
 
 def _day_hours(spark: SparkSession, path: str, epoch: int, fold_every: int) -> DataFrame:

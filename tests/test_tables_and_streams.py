@@ -78,6 +78,23 @@ def test_seed_refresh_writes_no_file_per_array(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "seeds").rglob("part-*"))) <= 8  # of 20 arrays, by 8 tasks at most
 
 
+def test_views_are_written_apart_from_their_aggregation(spark, tmp_path):
+    """The one task that writes a view's file does not compute its partitions."""
+    from pyspark import TaskContext
+
+    task = F.udf(lambda _: float(TaskContext.get().partitionId()), "double")
+    rows = spark.range(64).repartition(8).select(
+        F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("day"),
+        F.lit(1).alias("hour_of_day"),
+        *[F.lit(1).cast("long").alias(c) for c in ("fraud_alerts", "blocked_count", "flagged_count")],
+        *[task("id").alias(c) for c in ("total_probability", "max_probability", "total_risk_score", "max_risk_score", "total_amount")],
+    )
+    streaming.write_day_hours(rows, 0, str(tmp_path / "view"), fold_every=1)
+    view = streaming.read_day_hours(spark, str(tmp_path / "view"), fold_every=1)
+    assert view.count() == 64 and view.select("total_amount").distinct().count() == 8
+    assert len(list((tmp_path / "view").rglob("part-*.parquet"))) == 2
+
+
 def test_csv_checks(spark, tmp_path):
     rows = views.card_rows(spark, SF).select(*S.RAW_COLUMNS)
     path = str(tmp_path / "cards")
