@@ -13,10 +13,15 @@ from riskspark.functions import risk, text, times
 
 
 def _row_id(df: DataFrame) -> Column:
-    """A hash of all a row holds, the same whenever its partition is computed again. Maps are hashed as text."""
+    """A hash of all a row holds, the same whenever its partition is computed again. Maps are hashed as text.
+
+    Both halves share one expression over the seeds, for the reason with_parsed_times gives: two hashes of all columns
+    written out make a method that the JVM does not compile.
+    """
     kinds = [(F.col(f"`{f.name}`"), f.dataType.simpleString()) for f in df.schema.fields]
     held = [F.to_json(c) if "map<" in kind else c for c, kind in kinds if "variant" not in kind]
-    return F.lower(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *held)), 16, "0") for seed in (1, 2)]))
+    halves = F.transform(F.array(F.lit(1), F.lit(2)), lambda seed: F.lpad(F.hex(F.xxhash64(seed, *held)), 16, "0"))
+    return F.lower(F.array_join(halves, ""))
 
 
 def _one_amount(df: DataFrame) -> DataFrame:

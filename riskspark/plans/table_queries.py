@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark import schema as S
@@ -159,17 +159,17 @@ def open_alert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     alert_table.write_alerts(stored.withColumn("later", F.when(note == "kept", "again")), twice, NOW)
     out = json_documents(alert_table.read_alerts(spark, twice))
 
-    def field(path: str) -> Column:
-        return F.get_json_object("document", path)
-
+    # Each document is parsed once for all of its fields.
+    shape = "Amount double, note string, later string, meta struct<device: string, readings: array<struct<second: double>>>"
+    read = out.withColumn("d", F.from_json("document", shape))
     return comparable(
-        out.select(
+        read.select(
             "transaction_id",
-            field("$.meta.device").alias("device"),
-            field("$.meta.readings[0].second").cast("double").alias("second_reading"),
-            field("$.note").alias("note"),
-            field("$.Amount").cast("double").alias("amount"),
-            field("$.later").alias("later"),
+            F.col("d.meta.device").alias("device"),
+            F.get(F.col("d.meta.readings"), F.lit(0))["second"].alias("second_reading"),
+            F.col("d.note").alias("note"),
+            F.col("d.Amount").alias("amount"),
+            F.col("d.later").alias("later"),
             F.contains("document", F.lit("NaN")).alias("has_nan"),
         )
     )

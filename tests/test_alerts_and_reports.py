@@ -178,3 +178,15 @@ def test_missing_ids_are_repeatable(spark):
     df = spark.range(50).select(F.col("id").cast("double").alias("Amount"), F.lit(0.4).alias("fraud_probability"))
     ids = [sorted((r["Amount"], r["transaction_id"]) for r in normalize_alerts(rows).collect()) for rows in (df, df.repartition(7))]
     assert ids[0] == ids[1] and len({i for _, i in ids[0]}) == 50
+
+
+def test_missing_ids_share_one_hash_expression(spark):
+    rows = [(None, 1.0, {"a": 1}, [1]), ("", 2.0, None, None), ("given", 3.0, {}, [])]
+    df = spark.createDataFrame(rows, "transaction_id string, Amount double, tags map<string, int>, parts array<int>")
+    held = ["transaction_id", "Amount", F.to_json("tags"), "parts"]
+    both = [F.lpad(F.hex(F.xxhash64(F.lit(seed), *held)), 16, "0") for seed in (1, 2)]
+    want = [r[0] for r in df.select(F.lower(F.concat(*both))).collect()]
+    alerts = normalize_alerts(df)
+    ids = {r["Amount"]: r["transaction_id"] for r in alerts.collect()}
+    assert ids == {1.0: want[0], 2.0: want[1], 3.0: "given"}
+    assert alerts._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") == 1
